@@ -179,10 +179,10 @@ def clamp_contamination(value) -> float:
 def iforest_outliers(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     features = [f for f in op.get("features") or default_features(df, order) if f in df.columns]
     if not features:
-        raise ValueError("Isolation Forest needs at least one numeric column - cast your numeric-looking text columns first.")
+        raise ValueError("No numeric feature for the isolation forest: cast a column to a number first.")
     rows = df.count()
     if rows < FEWEST_ROWS:
-        raise ValueError("Isolation Forest needs at least 20 rows to be meaningful.")
+        raise ValueError(f"An isolation forest needs {FEWEST_ROWS} rows or more, this table has {rows}.")
     scored = with_scores(df, fit_forest(df, features, order, rows), "__score")
     bar = top_threshold(scored, F.col("__score"), clamp_contamination(op.get("contamination")))
     return scored.filter(F.col("__score") < F.lit(bar)).drop("__score")

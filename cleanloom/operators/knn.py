@@ -64,7 +64,7 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
     missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("known"), F.approx_count_distinct(missing).alias("masks"), *aggs).first()
     if seen.known == 0:
-        raise ValueError(f'KNN imputation needs some numeric values in "{column}" to learn from.')
+        raise ValueError(f'Column "{column}" has no numeric value to learn neighbours from.')
     if seen.known == seen.rows:
         return df
     if not features or seen.rows < k + 1:

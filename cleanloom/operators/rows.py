@@ -45,16 +45,18 @@ def fingerprint(columns: list[str]) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 71)]
 
 
-def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows minus distinct rows, as a one-row table.
+def duplicate_count(df: DataFrame, columns: list[str] | None = None, *totals: Column) -> DataFrame:
+    """Rows minus distinct rows, as a one-row table; ``totals`` are named sums over all rows.
 
     Only a 128-bit fingerprint per distinct row is shuffled, not the row.
     """
-    columns = columns or df.columns
-    first, second = fingerprint(columns)
-    groups = df.groupBy(first.alias("h1"), second.alias("h2")).agg(F.count(F.lit(1)).alias("n"))
-    extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
-    return groups.agg(extra.alias("duplicates"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    first, second = fingerprint(columns or df.columns)
+    inner = df.select(first.alias("h1"), second.alias("h2"), "*").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *totals)
+    extra = [c for c in inner.columns if c not in ("h1", "h2", "n")]
+    zero = F.lit(0).cast("bigint")
+    return inner.agg(
+        F.coalesce(F.sum(F.col("n") - 1), zero).alias("duplicates"), F.coalesce(F.sum("n"), zero).alias("rows"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in extra])
 
 
 OPERATORS = {

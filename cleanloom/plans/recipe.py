@@ -234,7 +234,7 @@ def op_label(op_json: Column) -> Column:
     on = F.coalesce(F.concat(F.lit(" on "), column), F.lit(""))
     strategy = or_else("strategy", "constant")
     value = F.when((field_("strategy") == "constant") & field_("value").isNotNull(), text(': "', field_("value"), '"')).otherwise("")
-    share = F.format_number(F.coalesce(field_("contamination").cast("double"), F.lit(0.05)) * 100, "0.0")
+    share = F.format_number(F.coalesce(field_("contamination").cast("double"), F.lit(0.05)) * 100, 1)
     scaler = F.when(field_("scaler") == "minmax", "MinMax").otherwise("Standard")
     row = F.coalesce(field_("index").cast("bigint"), F.lit(0)) + 1
     labels = {

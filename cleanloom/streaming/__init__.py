@@ -1 +1 @@
-
+"""Structured Streaming: ingest counters and replay of fitted recipes."""

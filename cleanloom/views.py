@@ -68,10 +68,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def derived(spark: SparkSession, folder: str, sql: str, source: str) -> DataFrame:
+    """Run SQL text over one given table."""
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", f"FROM {{{source}}}")
+    return spark.sql(text, **{source: table(spark, folder, source)})
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A dirty view over the table it is derived from."""
-    source = SOURCES[name]
-    return spark.sql(VIEWS[name].replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: table(spark, folder, source)})
+    return derived(spark, folder, VIEWS[name], SOURCES[name])
 
 
 def with_views(names: list[str], body: str) -> str:

@@ -78,8 +78,9 @@ def stream_replay(spark, sf_dir):
     return spark.read.parquet(out).withColumn("value", F.round("value", 4))
 
 
-def _u(label: str) -> str:
-    return f"(CAST('0x' || substr(md5('{demo.SEED}|{label}|' || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+def _u(label: str, source: str = "src") -> str:
+    at = demo.LABELS.index(label)
+    return f"(CAST('0x' || substr(md5('{demo.SEED}|{at // 4}|' || {source}), {8 * (at % 4) + 1}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
 def _pick(words: list[str], label: str) -> str:
@@ -93,7 +94,7 @@ def _whole(label: str, low: int, n: int) -> str:
 BARE = [w.strip().lower() for w in demo.FIRST], [w.strip().lower() for w in demo.LAST]
 DAY = f"(DATE '2025-01-01' + floor({_u('day')} * 365)::INTEGER)"
 MESSY_SQL = f"""
-WITH i AS (SELECT o_orderkey AS id, CAST('0x' || substr(md5('{demo.SEED}|dup|' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS d FROM orders),
+WITH i AS (SELECT o_orderkey AS id, {_u('dup', 'o_orderkey')} AS d FROM orders),
 s AS (SELECT id, coalesce(last_value(CASE WHEN d >= {demo.DUPLICATE} THEN id END IGNORE NULLS) OVER (ORDER BY id), id) AS src FROM i)
 SELECT id AS row_no, src + 1000 AS record_id, {_pick(demo.FIRST, 'first')} || ' ' || {_pick(demo.LAST, 'last')} AS full_name,
 CASE WHEN {_u('noemail')} >= {demo.NO_EMAIL} THEN '  ' || {_pick(BARE[0], 'mail1')} || '.' || {_pick(BARE[1], 'mail2')} || '@' || {_pick(demo.HOST, 'host')} END AS email,

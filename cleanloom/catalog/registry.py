@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanloom.functions.text import CURRENCY_PATTERN, NUMERIC_BODY, NUMERIC_LOOK, PLAIN_NUMBER, TRIM_PATTERN
+from cleanloom.functions.text import NUMERIC_BODY, NUMERIC_LOOK, PLAIN_NUMBER
+
+# White space as a regular-expression class for the SQL side.
+SPACE_CHARS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+TRIM_PATTERN = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
+CURRENCY_PATTERN = f"[$,€£%{SPACE_CHARS}]"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

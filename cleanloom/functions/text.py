@@ -16,10 +16,9 @@ INGEST_NULLS = ["", "NA", "N/A", "na", "null", "NULL", "None", "NaN"]
 # Cells that never count as numeric-looking (trimmed, lower-cased).
 NULL_TOKENS = ["", "na", "n/a", "null", "none", "nan", "-"]
 # White space removed by a trim; the same class works in Java and RE2 regexes.
-SPACE_CHARS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-TRIM_PATTERN = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Symbols dropped before a cell is read as a number, and what must then remain.
-CURRENCY_PATTERN = f"[$,€£%{SPACE_CHARS}]"
+CURRENCY = "$,€£%"
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 # Numeric-looking text (before commas are removed) and after their removal.
 NUMERIC_LOOK = r"^-?[0-9.,]+%?$"
@@ -59,7 +58,7 @@ def dtype_name(dt: T.DataType) -> str:
 
 def strip(c: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, TRIM_PATTERN, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def norm_name(c: Column) -> Column:
@@ -82,7 +81,7 @@ def to_numeric(c: Column, dt: T.DataType) -> Column:
     if is_numeric(dt):
         return finite(c)
     if is_text(dt):
-        bare = F.regexp_replace(c, CURRENCY_PATTERN, "")
+        bare = F.translate(c, CURRENCY + SPACES, "")
         return F.when(bare.rlike(PLAIN_NUMBER), finite(bare.try_cast("double")))
     return F.lit(None).cast("double")
 
@@ -90,7 +89,7 @@ def to_numeric(c: Column, dt: T.DataType) -> Column:
 def numeric_like(c: Column) -> Column:
     """True when trimmed text is a plain or comma-grouped numeral (no currency, no percent)."""
     t = strip(c)
-    body = F.regexp_replace(t, ",", "")
+    body = F.translate(t, ",", "")
     return F.coalesce(t.rlike(NUMERIC_LOOK) & body.rlike(NUMERIC_BODY) & ~is_null_token(c), F.lit(False))
 
 
@@ -111,11 +110,12 @@ def number_text(c: Column, dt: T.DataType) -> Column:
     """Short decimal text of a number: at most six decimals, no trailing zeros, no exponent below 1e21."""
     if is_integral(dt):
         return c.cast("string")
+    # Six decimals are always written, so only fraction zeros can be cut off.
+    fixed = F.rtrim(F.rtrim(c.try_cast("decimal(38,6)").cast("string"), F.lit("0")), F.lit("."))
+    fixed = F.when(fixed.isin("-0", "-", ""), "0").otherwise(fixed)
     if isinstance(dt, T.DecimalType):
-        return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
-    d = c.cast("double")
-    fixed = F.regexp_replace(d.try_cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
-    return F.when(F.abs(d) < F.lit(1e21), F.when(fixed.isin("-0", ""), F.lit("0")).otherwise(fixed)).otherwise(d.cast("string"))
+        return fixed
+    return F.when(F.abs(c) < F.lit(1e21), fixed).otherwise(c.cast("string"))
 
 
 def display(c: Column, dt: T.DataType) -> Column:

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cleanloom.functions.text import (
-    display, dtype_name, exact_text, finite, half_up, is_numeric, is_text, numeric_like, percent, strip, to_numeric,
+    display, dtype_name, exact_text, half_up, is_integral, is_numeric, is_text, numeric_like, percent, strip, to_numeric,
 )
 from cleanloom.operators.base import RowOrder, dtype_of
 from cleanloom.operators.outliers import bounds_from, clamp_multiplier
@@ -46,13 +46,9 @@ def first_rows(df: DataFrame, order: RowOrder, n: int) -> DataFrame:
 def value_tally(df: DataFrame, columns: Sequence[str], order: RowOrder, exact: bool = False) -> DataFrame:
     """(ci, v, cnt, first): column number, value text, rows, first position."""
     form = exact_text if exact else display
-    texts = [form(F.col(f"`{c}`"), dtype_of(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]
-    wide = df.select(_position(order).alias("first"), *texts)
-    long = wide.unpivot(["first"], [f"c{i}" for i in range(len(columns))], "c", "v")
-    return (
-        long.groupBy(F.substring("c", 2, 9).cast("int").alias("ci"), "v")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
-    )
+    cells = [x for i, c in enumerate(columns) for x in (F.lit(i), form(F.col(f"`{c}`"), dtype_of(df, c)))]
+    long = df.select(_position(order).alias("first"), F.stack(F.lit(len(columns)), *cells).alias("ci", "v"))
+    return long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
 
 
 def _filled(c: str = "v") -> Column:
@@ -135,6 +131,19 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return one.select("rows", F.inline(packed)).select("name", "nulls", percent(F.col("nulls"), F.col("rows")).alias("null_pct"))
 
 
+def number_code(c: Column, dt: T.DataType) -> Column | None:
+    """Distinct bigint per distinct value of a type of at most eight bytes, else None."""
+    if is_integral(dt):
+        return c.cast("bigint")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(c.isNotNull(), F.xxhash64(c.cast("double")))
+    return None
+
+
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct non-blank values per column; ``approx`` uses one sketch per column and no shuffle of values."""
     columns = list(columns or df.columns)
@@ -143,9 +152,20 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: b
         one = df.agg(*[F.approx_count_distinct(t).alias(f"u{i}") for i, t in enumerate(texts)])
         packed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("unique")) for i, c in enumerate(columns)])
         return one.select(F.inline(packed))
-    tally = value_tally(df, columns, RowOrder(), exact=True)
+    # Values of at most eight bytes become one number each: integers and times as they are,
+    # fractions by xxhash64, which maps eight-byte inputs one to one.
+    fixed = [(i, number_code(F.col(f"`{c}`"), dtype_of(df, c))) for i, c in enumerate(columns)]
+    narrow = [(i, code) for i, code in fixed if code is not None]
+    text = [(i, exact_text(F.col(f"`{columns[i]}`"), dtype_of(df, columns[i]))) for i, code in fixed if code is None]
+    parts = []
+    for cells in (narrow, text):
+        if cells:
+            flat = [x for i, c in cells for x in (F.lit(i), c)]
+            values = df.select(F.stack(F.lit(len(cells)), *flat).alias("ci", "v")).filter(F.col("v").isNotNull())
+            values = values if cells is narrow else values.filter(F.col("v") != "")
+            parts.append(values.distinct().groupBy("ci").agg(F.count(F.lit(1)).alias("unique")))
     names = df.sparkSession.createDataFrame(list(enumerate(columns)), "ci int, name string")
-    found = tally.groupBy("ci").agg(F.count(F.when(_filled(), 1)).alias("unique"))
+    found = reduce(DataFrame.unionByName, parts)
     return names.join(found, "ci", "left").select("name", F.coalesce("unique", F.lit(0).cast("bigint")).alias("unique"))
 
 

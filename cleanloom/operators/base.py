@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanloom.functions.text import dtype_name, finite, is_numeric
 from cleanloom.plans.quantiles import exact_quantiles
@@ -67,6 +67,11 @@ def dtype_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
+def ref(name: str) -> Column:
+    """Column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column_of(df: DataFrame, op: Op) -> str:
     column = op.get("column")
     if not column:
@@ -90,7 +95,7 @@ def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
 
 def with_values(df: DataFrame, new: dict[str, Any]) -> DataFrame:
     """Replace columns in place, keeping the column order, in one projection."""
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[new[c].alias(c) if c in new else ref(c) for c in df.columns])
 
 
 def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
@@ -98,7 +103,7 @@ def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
     wanted = list(dict.fromkeys(needs))
     out: dict[Need, Any] = {}
     # Missing features are skipped: infinities and NaN are not numbers here.
-    values = {n.column: finite(F.col(f"`{n.column}`")) for n in wanted if n.kind not in ("mode",)}
+    values = {n.column: finite(ref(n.column)) for n in wanted if n.kind not in ("mode",)}
     simple = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
     flat = [n for n in wanted if n.kind in simple]
     quantiles = [n for n in wanted if n.kind == "quantiles"]
@@ -122,6 +127,6 @@ def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
 
 def most_frequent(df: DataFrame, column: str) -> Any:
     """Most frequent non-null value; the smallest one wins a tie."""
-    tally = df.select(F.col(f"`{column}`").alias("v")).filter("v is not null").groupBy("v").count()
+    tally = df.select(ref(column).alias("v")).filter("v is not null").groupBy("v").count()
     top = tally.orderBy(F.col("count").desc(), F.col("v").asc()).first()
     return top.v if top else None

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from cleanloom.functions.text import is_integral, is_numeric, is_text
-from cleanloom.operators.base import Need, Op, Operator, RowOrder, column_of, dtype_of, with_values
+from cleanloom.operators.base import column_of, dtype_of, Need, Op, Operator, ref, RowOrder, with_values
 from cleanloom.plans.ordering import forward_filled
 
 STRATEGIES = ("mean", "median", "mode", "forward", "constant")
@@ -40,7 +40,7 @@ def _fit(df: DataFrame, op: Op, stats: dict, order: RowOrder) -> dict:
 
 def fill_null(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     column, strategy = column_of(df, op), _strategy(op)
-    dt, c = dtype_of(df, column), F.col(column)
+    dt, c = dtype_of(df, column), ref(column)
     if strategy == "forward":
         return forward_filled(df, column, order.order_by, op.get("partition_by"))
     if strategy == "constant":

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cleanloom.functions.text import is_integral, is_numeric, to_numeric
-from cleanloom.operators.base import Need, Op, Operator, RowOrder, collect_stats, column_of, dtype_of, with_values
+from cleanloom.operators.base import collect_stats, column_of, dtype_of, Need, Op, Operator, ref, RowOrder, with_values
 from cleanloom.operators.impute import fill_null
 from cleanloom.plans.lookup import attach
 from cleanloom.plans.ordering import as_keys, with_bucket, with_row_number
@@ -57,9 +57,9 @@ def feature_columns(df: DataFrame, column: str, order: RowOrder) -> list[str]:
 
 def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     column, k = column_of(df, op), clamp_k(op.get("k"))
-    target = to_numeric(F.col(column), dtype_of(df, column))
+    target = to_numeric(ref(column), dtype_of(df, column))
     features = feature_columns(df, column, order)
-    views = {f"f{i}": to_numeric(F.col(f), dtype_of(df, f)) for i, f in enumerate(features)}
+    views = {f"f{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))]
     missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("known"), F.approx_count_distinct(missing).alias("masks"), *aggs).first()
@@ -90,7 +90,7 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
     wide = source.select("*", target.alias("__y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()])
     merged = attach(wide, answers, names, "weight", seen.rows - seen.known, gaps, F.col("__y").isNull())
     result = F.coalesce(F.col("__y"), F.col("answer"))
-    return merged.select(*[result.alias(c) if c == column else F.col(c) for c in df.columns])
+    return merged.select(*[result.alias(c) if c == column else ref(c) for c in df.columns])
 
 
 def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]], k: int, seen):

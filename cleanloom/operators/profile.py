@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from cleanloom.functions.text import (
     display, dtype_name, exact_text, half_up, is_integral, is_numeric, is_text, numeric_like, percent, strip, to_numeric,
 )
-from cleanloom.operators.base import RowOrder, dtype_of
+from cleanloom.operators.base import dtype_of, ref, RowOrder
 from cleanloom.operators.outliers import bounds_from, clamp_multiplier
 from cleanloom.operators.rows import duplicate_count
 from cleanloom.plans.quantiles import exact_quantiles
@@ -35,7 +35,7 @@ def _position(order: RowOrder) -> Column:
     if not keys:
         # Without an order the first-seen value is the smallest one.
         return F.lit(0).cast("bigint")
-    return F.col(f"`{keys[0]}`") if len(keys) == 1 else F.struct(*[F.col(f"`{k}`") for k in keys])
+    return ref(keys[0]) if len(keys) == 1 else F.struct(*[ref(k) for k in keys])
 
 
 def first_rows(df: DataFrame, order: RowOrder, n: int) -> DataFrame:
@@ -46,7 +46,7 @@ def first_rows(df: DataFrame, order: RowOrder, n: int) -> DataFrame:
 def value_tally(df: DataFrame, columns: Sequence[str], order: RowOrder, exact: bool = False) -> DataFrame:
     """(ci, v, cnt, first): column number, value text, rows, first position."""
     form = exact_text if exact else display
-    cells = [x for i, c in enumerate(columns) for x in (F.lit(i), form(F.col(f"`{c}`"), dtype_of(df, c)))]
+    cells = [x for i, c in enumerate(columns) for x in (F.lit(i), form(ref(c), dtype_of(df, c)))]
     long = df.select(_position(order).alias("first"), F.stack(F.lit(len(columns)), *cells).alias("ci", "v"))
     return long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
 
@@ -102,7 +102,7 @@ def table_profile(df: DataFrame, order: RowOrder | None = None, sample_rows: int
     tally = value_tally(df if sample_rows is None else first_rows(df, order, sample_rows), columns, order)
     parts = _measures(tally).join(first_values(tally), "ci", "left").join(case_collisions(tally, order), "ci", "left")
     if sample_rows is not None:
-        full = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)])
+        full = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(ref(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)])
         nulls = full.select("rows", F.posexplode(F.array(*[f"n{i}" for i in range(len(columns))])).alias("ci", "nulls"))
         parts = parts.drop("rows", "nulls").join(nulls, "ci")
     text = F.col("is_text")
@@ -125,7 +125,7 @@ def table_profile(df: DataFrame, order: RowOrder | None = None, sample_rows: int
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Null count and share per column, in one pass without a shuffle of rows."""
     columns = list(columns or df.columns)
-    aggs = [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)]
+    aggs = [F.count(F.when(ref(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)]
     one = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
     packed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(columns)])
     return one.select("rows", F.inline(packed)).select("name", "nulls", percent(F.col("nulls"), F.col("rows")).alias("null_pct"))
@@ -148,13 +148,13 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: b
     """Distinct non-blank values per column; ``approx`` uses one sketch per column and no shuffle of values."""
     columns = list(columns or df.columns)
     if approx:
-        texts = [F.when(F.col(f"`{c}`").cast("string") != "", F.col(f"`{c}`")) for c in columns]
+        texts = [F.when(ref(c).cast("string") != "", ref(c)) for c in columns]
         one = df.agg(*[F.approx_count_distinct(t).alias(f"u{i}") for i, t in enumerate(texts)])
         packed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("unique")) for i, c in enumerate(columns)])
         return one.select(F.inline(packed))
     # Values of at most eight bytes become one number each: integers and times as they are,
     # fractions by xxhash64, which maps eight-byte inputs one to one.
-    fixed = [(i, number_code(F.col(f"`{c}`"), dtype_of(df, c))) for i, c in enumerate(columns)]
+    fixed = [(i, number_code(ref(c), dtype_of(df, c))) for i, c in enumerate(columns)]
     narrow = [(i, code) for i, code in fixed if code is not None]
     text = [(i, exact_text(F.col(f"`{columns[i]}`"), dtype_of(df, columns[i]))) for i, code in fixed if code is None]
     parts = []
@@ -174,7 +174,7 @@ def numeric_decision(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     columns = list(columns or df.columns)
     aggs = []
     for i, c in enumerate(columns):
-        dt, col = dtype_of(df, c), F.col(f"`{c}`")
+        dt, col = dtype_of(df, c), ref(c)
         nonblank = F.when(col.cast("string") != "", 1)
         aggs += [F.count(to_numeric(col, dt)).alias(f"p{i}"), F.count(nonblank).alias(f"b{i}")]
     one = df.agg(*aggs)
@@ -191,7 +191,7 @@ def numeric_decision(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """min, quartiles, max, mean, deviation and range of the numeric view, four decimals."""
-    views = {f"v{i}": to_numeric(F.col(f"`{c}`"), dtype_of(df, c)) for i, c in enumerate(columns)}
+    views = {f"v{i}": to_numeric(ref(c), dtype_of(df, c)) for i, c in enumerate(columns)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items()
             for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))]
     row = df.agg(*aggs).first()
@@ -209,7 +209,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Equal-width bins of the numeric view, empty ones included; no rows for a constant column."""
-    x = to_numeric(F.col(f"`{column}`"), dtype_of(df, column))
+    x = to_numeric(ref(column), dtype_of(df, column))
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     spark = df.sparkSession
     if ends.lo is None or not ends.hi > ends.lo:
@@ -272,7 +272,7 @@ def column_profile(df: DataFrame, column: str, order: RowOrder | None = None, mu
 
 def outlier_row(df: DataFrame, column: str, multiplier: float) -> dict:
     """Outlier count and bounds of the numeric view of any column."""
-    x = to_numeric(F.col(f"`{column}`"), dtype_of(df, column))
+    x = to_numeric(ref(column), dtype_of(df, column))
     b = bounds_from(exact_quantiles(df, {"x": x}, (0.25, 0.75))["x"], multiplier)
     outside = F.count(F.when((x < b["lower"]) | (x > b["upper"]), 1))
     row = df.agg(
@@ -306,7 +306,7 @@ def dataset_summary(df: DataFrame, order: RowOrder | None = None) -> DataFrame:
     """Rows, columns, numeric and text columns, share of missing cells, duplicates: one row, one shuffle."""
     columns = (order or RowOrder()).data_columns(df)
     numeric = sum(is_numeric(dtype_of(df, c)) for c in columns)
-    missing = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("bigint") for c in columns])
+    missing = reduce(lambda a, b: a + b, [ref(c).isNull().cast("bigint") for c in columns])
     return duplicate_count(df, columns, F.sum(missing).alias("missing")).select(
         "rows", F.lit(len(columns)).alias("cols"), F.lit(numeric).alias("numeric_cols"), F.lit(len(columns) - numeric).alias("text_cols"),
         F.col("duplicates").alias("dupes"), percent(F.col("missing"), F.col("rows") * len(columns)).alias("missing_pct"))

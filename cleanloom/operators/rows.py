@@ -6,14 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanloom.operators.base import Op, Operator, RowOrder, column_of
+from cleanloom.operators.base import column_of, Op, Operator, ref, RowOrder
 from cleanloom.plans.ordering import as_keys, rows_at
 
 
 def drop_nulls(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     columns = [column_of(df, op)] if op.get("column") else df.columns
     # NaN is a value, so df.na.drop() would remove too much.
-    return df.filter(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
+    return df.filter(reduce(lambda a, b: a & b, [ref(c).isNotNull() for c in columns]))
 
 
 def drop_rows(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_rows(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame
     keys = as_keys(order.order_by)
     gone = rows_at(df, keys, indices)
     # The caller lists the positions, so the right side has no more rows than that list.
-    return df.join(F.broadcast(gone), keys, "left_anti").select(*df.columns)
+    return df.join(F.broadcast(gone), keys, "left_anti").select(*map(ref, df.columns))
 
 
 def drop_duplicates(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
@@ -34,14 +34,14 @@ def drop_duplicates(df: DataFrame, op: Op, params: dict, order: RowOrder) -> Dat
         return df.dropDuplicates()
     ids = [c for c in df.columns if c in order.row_id]
     if len(ids) == 1:
-        return df.groupBy(*data).agg(F.min(ids[0]).alias(ids[0])).select(*df.columns)
-    firsts = df.groupBy(*data).agg(F.min(F.struct(*order.row_id)).alias("__id"))
-    return firsts.select(*[F.col(f"__id.{c}").alias(c) if c in ids else F.col(c) for c in df.columns])
+        return df.groupBy(*map(ref, data)).agg(F.min(ref(ids[0])).alias(ids[0])).select(*map(ref, df.columns))
+    firsts = df.groupBy(*map(ref, data)).agg(F.min(F.struct(*map(ref, order.row_id))).alias("__id"))
+    return firsts.select(*[F.col("__id").getField(c).alias(c) if c in ids else ref(c) for c in df.columns])
 
 
 def fingerprint(columns: list[str]) -> list[Column]:
     """Two independent 64-bit hashes of a whole row; nulls keep their place."""
-    parts = [p for c in columns for p in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    parts = [p for c in columns for p in (ref(c).isNull(), ref(c))]
     return [F.xxhash64(F.lit(seed), *parts) for seed in (17, 71)]
 
 

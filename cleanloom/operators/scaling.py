@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleanloom.functions.text import finite, half_up, to_numeric
-from cleanloom.operators.base import Need, Op, Operator, RowOrder, dtype_of, numeric_column, with_values
+from cleanloom.operators.base import dtype_of, Need, numeric_column, Op, Operator, ref, RowOrder, with_values
 from cleanloom.plans.quantiles import exact_quantiles
 
 SCALED_DIGITS = 6
@@ -33,12 +33,12 @@ def _fit(df: DataFrame, op: Op, stats: dict, order: RowOrder) -> dict:
 
 def scale(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     column = op["column"]
-    scaled = (finite(F.col(column)) - F.lit(params["shift"])) / F.lit(params["width"])
+    scaled = (finite(ref(column)) - F.lit(params["shift"])) / F.lit(params["width"])
     return with_values(df, {column: half_up(scaled, SCALED_DIGITS)})
 
 
 def numeric_views(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
-    return {f: to_numeric(F.col(f"`{f}`"), dtype_of(df, f)) for f in features}
+    return {f: to_numeric(ref(f), dtype_of(df, f)) for f in features}
 
 
 def imputed_features(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:

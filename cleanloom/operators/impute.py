@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from cleanloom.functions.text import is_integral, is_numeric, is_text
-from cleanloom.operators.base import column_of, dtype_of, Need, Op, Operator, ref, RowOrder, with_values
+from cleanloom.operators.base import Need, Op, Operator, RowOrder, column_of, dtype_of, ref, with_values
 from cleanloom.plans.ordering import forward_filled
 
 STRATEGIES = ("mean", "median", "mode", "forward", "constant")

@@ -13,7 +13,7 @@ Comparing every gap with every known row would be quadratic. Instead
 2. known rows are put into cells (which features are missing x quantile bins);
    the cells are few and their bounding boxes fit the driver;
 3. the boxes alone give each gap an upper limit for its k-th distance, hence
-   the exact set of cells that can hold a neighbour;
+   every cell that can hold a neighbour; gaps of one cell share that search;
 4. cells are cut into packets of bounded size, gaps are sent to the packets of
    their cells, and each meeting returns only its ``k`` best.
 """
@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cleanloom.functions.text import is_integral, is_numeric, to_numeric
-from cleanloom.operators.base import collect_stats, column_of, dtype_of, Need, Op, Operator, ref, RowOrder, with_values
+from cleanloom.operators.base import Need, Op, Operator, RowOrder, collect_stats, column_of, dtype_of, ref, with_values
 from cleanloom.operators.impute import fill_null
 from cleanloom.plans.lookup import attach
 from cleanloom.plans.ordering import as_keys, with_bucket, with_row_number
@@ -41,8 +41,9 @@ K_MIN, K_MAX, K_DEFAULT, MAX_FEATURES = 1, 25, 5, 8
 DISTANCE_DIGITS = 9
 PACKET_ROWS = 2_048
 GAPS_PER_PACKET = 1_024
-MAX_CELLS = 4_096
-BINNED_FEATURES = 3
+GAPS_PER_TASK = 65_536
+MAX_CELLS = 65_536
+BINNED_FEATURES, CELL_ROUNDS = 3, 3
 
 
 def clamp_k(value) -> int:
@@ -60,7 +61,7 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
     target = to_numeric(ref(column), dtype_of(df, column))
     features = feature_columns(df, column, order)
     views = {f"f{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
-    aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))]
+    aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("d", F.approx_count_distinct))]
     missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("known"), F.approx_count_distinct(missing).alias("masks"), *aggs).first()
     if seen.known == 0:
@@ -106,7 +107,7 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
         *[f(n).alias(f"{t}_{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max))],
     )
     asking = gaps.groupBy("cell").agg(F.count(F.lit(1)).alias("gaps"))
-    frame = boxes.join(asking, "cell", "full").fillna(0, ["rows", "gaps"]).toPandas()  # a few thousand cells
+    frame = boxes.join(asking, "cell", "full").fillna(0, ["rows", "gaps"]).toPandas()  # at most MAX_CELLS rows
     n_gaps = int(frame["gaps"].sum())
     cells = _Cells.of(frame, names, scale)
     if not len(cells.ids):
@@ -127,7 +128,12 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
     )
     d = len(names)
     vector = [(n, F.coalesce(F.col(n), F.lit(float("nan"))).alias(n)) for n in names]
-    asks = gaps.select(*[c for _, c in vector]).mapInPandas(
+    # Gaps of a cell travel together (a crowded cell in several parts): they share the search for cells in reach.
+    crowd = spark.createDataFrame(
+        [(int(c), -(-int(g) // GAPS_PER_TASK)) for c, g in zip(frame["cell"], frame["gaps"]) if g], "cell bigint, parts int")
+    part = F.pmod(F.xxhash64(*names), F.col("parts"))
+    asking = gaps.join(F.broadcast(crowd), "cell").repartition("cell", part).sortWithinPartitions("cell", *names)
+    asks = asking.select("cell", *[c for _, c in vector]).mapInPandas(
         lambda it: _ask(it, _Cells(**plan.value), k), "cell bigint, packet int, copy int, q array<double>"
     )
     meetings = asks.join(packets, ["cell", "packet", "copy"])
@@ -146,21 +152,44 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
 
 
 def _with_cells(base: DataFrame, names: list[str], seen) -> DataFrame:
-    """Cell number: which features are missing, then the quantile bins of the leading features."""
+    """Cell number: which features are missing, then quantile bins, finer where rows crowd.
+
+    Any cells give the same answers, so estimates and hash collisions are harmless here.
+    """
     wanted = min(MAX_CELLS, max(1, seen.known // PACKET_ROWS)) // max(1, seen.masks)
-    binned = names[:BINNED_FEATURES]
-    per_feature = int(max(1, wanted) ** (1 / len(binned)))
     mask = sum((F.col(n).isNull().cast("bigint") * F.lit(1 << i) for i, n in enumerate(names)), F.lit(0).cast("bigint"))
-    out, cell = base, mask
-    if per_feature > 1:
-        grid = [i / per_feature for i in range(1, per_feature)]
-        cuts = base.agg(*[F.percentile_approx(n, grid, 1000).alias(n) for n in binned]).first()
-        for n in binned:
-            edges = sorted(set(cuts[n] or []))
-            if edges:
-                out = with_bucket(out, F.col(n), edges, f"b_{n}")
-                cell = cell * F.lit(MAX_CELLS) + F.col(f"b_{n}")
-    return out.withColumn("cell", cell).select("cell", "rid", "y", *names)
+    out = base.withColumn("cell", mask)
+    if wanted > 1:
+        spark = base.sparkSession
+        ranked = sorted(names, key=lambda n: -seen[f"{n}_d"])
+        limit = 4 * max(PACKET_ROWS, seen.known // wanted)
+        crowded = spark.createDataFrame([(m,) for m in range(1 << len(names))], "cell bigint")
+        for at in range(CELL_ROUNDS):
+            binned = ranked[BINNED_FEATURES * at:BINNED_FEATURES * (at + 1)] or ranked[:BINNED_FEATURES]
+            out = _split(out, crowded, binned, max(2, int(wanted ** (1 / len(binned)))))
+            if at + 1 < CELL_ROUNDS:
+                vectors = F.approx_count_distinct(F.xxhash64(*[F.coalesce(n, F.lit(float("nan"))) for n in names]))
+                sizes = out.filter(F.col("y").isNotNull()).groupBy("cell").agg(vectors.alias("n"))
+                big = sizes.filter(F.col("n") > limit).select("cell").collect()  # fewer than MAX_CELLS
+                if not big:
+                    break
+                crowded, wanted = spark.createDataFrame(big, "cell bigint"), max(8, wanted // len(big))
+    return out.select("cell", "rid", "y", *names)
+
+
+def _split(celled: DataFrame, crowded: DataFrame, binned: list[str], bins: int) -> DataFrame:
+    """Divide the crowded cells by the quantiles that their rows have together."""
+    marked = celled.join(F.broadcast(crowded.withColumn("crowd", F.lit(True))), "cell", "left")
+    grid = [i / bins for i in range(1, bins)]
+    cuts = marked.filter("crowd").agg(*[F.percentile_approx(n, grid, 1000).alias(n) for n in binned]).first()
+    labels = []
+    for n in binned:
+        edges = sorted(set(cuts[n] or []))
+        if edges:
+            marked = with_bucket(marked, F.col(n), edges, f"b_{n}")
+            labels.append(f"b_{n}")
+    finer = F.when(F.col("crowd"), F.xxhash64("cell", *labels)).otherwise(F.col("cell"))
+    return marked.withColumn("cell", finer).drop("crowd", *labels)
 
 
 class _Cells:
@@ -177,50 +206,55 @@ class _Cells:
         m, s = np.array([a for a, _ in scale]), np.array([b for _, b in scale])
         lo = (used[[f"lo_{n}" for n in names]].to_numpy(float) - m) / s
         hi = (used[[f"hi_{n}" for n in names]].to_numpy(float) - m) / s
-        copies = np.maximum(1, -(-used["gaps"].to_numpy(np.int64) // (64 * GAPS_PER_PACKET)))
+        copies = np.maximum(1, -(-used["gaps"].to_numpy(np.int64) // GAPS_PER_TASK))
         return _Cells(used["cell"].to_numpy(np.int64), rows, np.maximum(1, -(-rows // PACKET_ROWS)), copies, lo, hi, (m, s))
 
-    def reach(self, z: np.ndarray, k: int) -> np.ndarray:
-        """Which cells may hold one of the k nearest rows of each z-vector (gaps x cells)."""
-        lo, hi = self.lo[None], self.hi[None]
-        q = z[:, None, :]
-        shared = ~np.isnan(lo) & ~np.isnan(q)
+    def reach(self, low: np.ndarray, high: np.ndarray, k: int, among: np.ndarray) -> np.ndarray:
+        """Which of the cells ``among`` may hold one of the k nearest rows of a point in the boxes low..high (boxes x cells)."""
+        lo, hi, q0, q1 = self.lo[None, among], self.hi[None, among], low[:, None, :], high[:, None, :]
+        shared = ~np.isnan(lo) & ~np.isnan(q0)
         dims = shared.sum(axis=2)
         with np.errstate(invalid="ignore"):
-            near = np.where(shared, np.maximum(0.0, np.maximum(lo - q, q - hi)), 0.0)
-            far = np.where(shared, np.maximum(np.abs(q - lo), np.abs(q - hi)), 0.0)
+            near = np.where(shared, np.maximum(0.0, np.maximum(lo - q1, q0 - hi)), 0.0)
+            far = np.where(shared, np.maximum(hi - q0, q1 - lo), 0.0)
         safe = np.maximum(dims, 1)
         near = np.where(dims > 0, np.sqrt((near**2).sum(axis=2) / safe), np.inf)
         far = np.where(dims > 0, np.sqrt((far**2).sum(axis=2) / safe), np.inf)
         by_far = np.argsort(far, axis=1, kind="stable")
-        filled = np.cumsum(np.where(np.isinf(np.take_along_axis(far, by_far, 1)), 0, self.rows[by_far]), axis=1)
-        enough = np.argmax(filled >= k, axis=1)
-        limit = np.take_along_axis(np.take_along_axis(far, by_far, 1), enough[:, None], 1)[:, 0]
+        sorted_far = np.take_along_axis(far, by_far, 1)
+        filled = np.cumsum(np.where(np.isinf(sorted_far), 0, self.rows[among][by_far]), axis=1)
+        limit = np.take_along_axis(sorted_far, np.argmax(filled >= k, axis=1)[:, None], 1)[:, 0]
         limit = np.where(filled[:, -1] >= k, limit, np.inf)
         # The slack covers the nine-decimal comparison of distances.
         return np.isfinite(near) & (near <= limit[:, None] + 1e-8)
 
 
 def _ask(batches: Iterator[pd.DataFrame], cells: _Cells, k: int) -> Iterator[pd.DataFrame]:
-    """Send each gap to every packet of every cell in reach, many gaps per message."""
+    """Send each gap to every packet of every cell in reach, many gaps per message.
+
+    The box around neighbouring gaps gives a short list of cells, which is then checked gap by gap.
+    """
     m, s = cells.scale
-    d = len(m)
-    step = max(1, 2_000_000 // max(1, len(cells.ids) * d))
+    everywhere = np.arange(len(cells.ids))
     message = itertools.count()
     for batch in batches:
-        raw = batch.to_numpy(float)
-        for at in range(0, len(raw), step):
-            part = raw[at:at + step]
-            hit = cells.reach((part - m) / s, k)
-            out = []
-            for ci in np.flatnonzero(hit.any(axis=0)):
-                mine = part[hit[:, ci]]
-                for lo in range(0, len(mine), GAPS_PER_PACKET):
-                    piece = mine[lo:lo + GAPS_PER_PACKET].ravel()
-                    copy = next(message) % int(cells.copies[ci])
-                    out.extend((int(cells.ids[ci]), p, copy, piece) for p in range(int(cells.packets[ci])))
-            if out:
-                yield pd.DataFrame(out, columns=["cell", "packet", "copy", "q"])
+        for _, group in batch.groupby("cell", sort=False):
+            raw = group.drop(columns="cell").to_numpy(float)
+            z = (raw - m) / s
+            short = everywhere[cells.reach(z.min(axis=0)[None], z.max(axis=0)[None], k, everywhere)[0]]
+            if not len(short):
+                continue
+            step = max(1, 2_000_000 // (len(short) * len(m)))
+            for at in range(0, len(raw), step):
+                hit = cells.reach(z[at:at + step], z[at:at + step], k, short)
+                out = []
+                for i in np.flatnonzero(hit.any(axis=0)):
+                    ci, mine = short[i], raw[at:at + step][hit[:, i]]
+                    for lo in range(0, len(mine), GAPS_PER_PACKET):
+                        piece, copy = mine[lo:lo + GAPS_PER_PACKET].ravel(), next(message) % int(cells.copies[ci])
+                        out.extend((int(cells.ids[ci]), p, copy, piece) for p in range(int(cells.packets[ci])))
+                if out:
+                    yield pd.DataFrame(out, columns=["cell", "packet", "copy", "q"])
 
 
 def _meet(batches: Iterator[pd.DataFrame], names: list[str], scale: list[tuple[float, float]], k: int) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from cleanloom.functions.text import (
     display, dtype_name, exact_text, half_up, is_integral, is_numeric, is_text, numeric_like, percent, strip, to_numeric,
 )
-from cleanloom.operators.base import dtype_of, ref, RowOrder
+from cleanloom.operators.base import RowOrder, dtype_of, ref
 from cleanloom.operators.outliers import bounds_from, clamp_multiplier
 from cleanloom.operators.rows import duplicate_count
 from cleanloom.plans.quantiles import exact_quantiles

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanloom.operators.base import column_of, Op, Operator, ref, RowOrder
+from cleanloom.operators.base import Op, Operator, RowOrder, column_of, ref
 from cleanloom.plans.ordering import as_keys, rows_at
 
 

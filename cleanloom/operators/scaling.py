@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleanloom.functions.text import finite, half_up, to_numeric
-from cleanloom.operators.base import dtype_of, Need, numeric_column, Op, Operator, ref, RowOrder, with_values
+from cleanloom.operators.base import Need, Op, Operator, RowOrder, dtype_of, numeric_column, ref, with_values
 from cleanloom.plans.quantiles import exact_quantiles
 
 SCALED_DIGITS = 6

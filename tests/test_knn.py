@@ -59,6 +59,17 @@ def test_hot_vector_and_ties_go_to_earlier_rows(spark, cells):
     assert np.allclose(run(spark, rows, 4, 7), brute(rows, 4), equal_nan=True)
 
 
+def test_flat_leading_features_do_not_crowd_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PACKET_ROWS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 6 == 0 else float(i % 11), 1.0, float(i % 2), 0.0, *map(float, rng.normal(size=4).round(2))) for i in range(600)]
+    sizes = []
+    of = knn._Cells.of
+    monkeypatch.setattr(knn._Cells, "of", staticmethod(lambda *a: sizes.append(of(*a).rows) or of(*a)))
+    assert np.allclose(run(spark, rows, 3), brute(rows, 3))
+    assert max(sizes[0]) < 200 and len(sizes[0]) > 10
+
+
 def test_rows_without_shared_features_stay_null(spark):
     rows = [(0, None, None), (1, 5.0, 1.0), (2, 7.0, 2.0), (3, 9.0, 3.0), (4, None, 2.0)]
     assert np.allclose(run(spark, rows, 2), [np.nan, 5, 7, 9, 6], equal_nan=True)

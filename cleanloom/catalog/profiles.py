@@ -108,14 +108,23 @@ def profile_stats(spark, sf_dir):
     return out.select("name", "values", *[F.round(c, 3).alias(c) for c in out.columns[2:]])
 
 
-@query("histogram", "WITH e AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 14 AS step FROM events), "
-       "h AS (SELECT least(13, greatest(0, floor((value - lo) / step)::INTEGER)) AS bin, count(*) AS n FROM events, e GROUP BY 1) "
-       f"SELECT b.bin::INTEGER AS bin, coalesce(n, 0) AS count, {half_up('lo', 4)} AS min, {half_up('hi', 4)} AS max "
-       "FROM range(14) b(bin) LEFT JOIN h ON h.bin = b.bin, e")
+def _histogram(source: str, value: str) -> str:
+    return (f"e AS (SELECT min({value}) AS lo, max({value}) AS hi, (max({value}) - min({value})) / 14 AS step FROM {source}), "
+            f"h AS (SELECT least(13, greatest(0, floor(({value} - lo) / step)::INTEGER)) AS bin, count(*) AS n FROM {source}, e WHERE {value} IS NOT NULL GROUP BY 1) "
+            f"SELECT b.bin::INTEGER AS bin, coalesce(n, 0) AS count, {half_up('lo', 4)} AS min, {half_up('hi', 4)} AS max "
+            "FROM range(14) b(bin) LEFT JOIN h ON h.bin = b.bin, e")
+
+
+@query("histogram", "WITH " + _histogram("events", "value"))
 def histogram(spark, sf_dir):
     return P.histogram(table(spark, sf_dir, "events"), "value")
 
 
+@query("histogram_gaps", with_views(["orders_messy"], ", " + _histogram("orders_messy", "price")))
+def histogram_gaps(spark, sf_dir):
+    return P.histogram(_messy(spark, sf_dir), "price")
+
+
 @query("top_values", with_views(["orders_messy"], "SELECT priority AS value, count(*) AS count FROM orders_messy WHERE priority <> '' "
                                 "GROUP BY priority ORDER BY count(*) DESC, min(rid) LIMIT 10"))
 def top_values(spark, sf_dir):

@@ -215,8 +215,10 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     if ends.lo is None or not ends.hi > ends.lo:
         return spark.createDataFrame([], "bin int, count bigint, min double, max double")
     step = (ends.hi - ends.lo) / bins
-    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.lit(ends.lo)) / F.lit(step)).cast("int")))
-    found = df.select(at.alias("bin")).filter("bin is not null").groupBy("bin").count()
+    raw = F.floor((F.col("x") - F.lit(ends.lo)) / F.lit(step)).cast("int")
+    # least and greatest skip nulls, so missing values leave before.
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), raw))
+    found = df.select(x.alias("x")).filter("x is not null").groupBy(at.alias("bin")).count()
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(found, "bin", "left").select(
         "bin", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),

@@ -26,7 +26,8 @@ from cleanloom.functions.text import is_numeric
 from cleanloom.operators.base import Op, Operator, RowOrder, dtype_of
 from cleanloom.operators.scaling import imputed_features
 from cleanloom.plans.ordering import as_keys
-from cleanloom.plans.quantiles import order_statistics
+from cleanloom.plans.quantiles import LAST_BRACKET_ROWS, order_statistics
+from cleanloom.session import scratch_path
 
 # Fixed values of the method.
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -137,14 +138,16 @@ def fit_forest(df: DataFrame, features: Sequence[str], order: RowOrder, rows: in
 
 def path_scores(forest: list[np.ndarray], x: np.ndarray, sample: int) -> np.ndarray:
     """2 ** (-mean path / c(sample)) for a block of rows."""
-    flat, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    # One feature after the other in memory: the cell of a row is feature * rows + row.
+    flat, row = np.ascontiguousarray(x.T).ravel(), np.arange(len(x))
     total = np.zeros(len(x))
     for nodes in forest:
-        feature, split, left = nodes[:, 0].astype(np.int64), nodes[:, 1], nodes[:, 2].astype(np.int64)
+        base, split, left = nodes[:, 0].astype(np.int64) * len(x), nodes[:, 1].copy(), nodes[:, 2].astype(np.int64)
         at = np.zeros(len(x), np.int64)
         for _ in range(math.ceil(math.log2(max(sample, 2)))):
-            at = left[at] + (flat[start + feature[at]] >= split[at])
-        total += nodes[at, 3]
+            right = flat.take(base.take(at) + row) >= split.take(at)
+            at = left.take(at) + right
+        total += nodes[:, 3].take(at)
     return np.round(2.0 ** (-(total / len(forest)) / (average_path(sample) or 1.0)), SCORE_DIGITS)
 
 
@@ -159,16 +162,16 @@ def with_scores(df: DataFrame, fitted: dict, name: str = "score") -> DataFrame:
     return df.withColumn(name, score(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(fitted["filled"].values())])))
 
 
-def top_threshold(df: DataFrame, score: Column, contamination: float) -> float:
+def top_threshold(df: DataFrame, column: str, contamination: float, rows: int | None = None) -> float:
     """The k-th highest score, k = max(1, floor(rows * contamination)); found without a global sort."""
-    rows = df.select(score.alias("s")).agg(F.count("s").alias("n")).first().n
+    rows = df.agg(F.count(column)).first()[0] if rows is None else rows
     k = max(1, math.floor(rows * contamination))
-    return order_statistics(df, {"s": score}, {"s": [rows - k]}, {"s": rows})["s"][rows - k]
+    return order_statistics(df, {"s": F.col(column)}, {"s": [rows - k]}, {"s": rows})["s"][rows - k]
 
 
 def topk_flag(df: DataFrame, column: str, contamination: float, name: str = "flag") -> DataFrame:
     """Flag rows at or above the threshold; ties are all flagged."""
-    bar = top_threshold(df, F.col(column), contamination)
+    bar = top_threshold(df, column, contamination)
     return df.withColumn(name, F.col(column) >= F.lit(bar))
 
 
@@ -184,7 +187,13 @@ def iforest_outliers(df: DataFrame, op: Op, params: dict, order: RowOrder) -> Da
     if rows < FEWEST_ROWS:
         raise ValueError(f"An isolation forest needs {FEWEST_ROWS} rows or more, this table has {rows}.")
     scored = with_scores(df, fit_forest(df, features, order, rows), "__score")
-    bar = top_threshold(scored, F.col("__score"), clamp_contamination(op.get("contamination")))
+    scores = scored.select("__score")
+    if rows > LAST_BRACKET_ROWS:
+        # The threshold takes several passes: they read eight bytes per row instead of scoring again.
+        path = scratch_path(df.sparkSession, "scores")
+        scores.write.parquet(path)
+        scores = df.sparkSession.read.parquet(path)
+    bar = top_threshold(scores, "__score", clamp_contamination(op.get("contamination")), rows)
     return scored.filter(F.col("__score") < F.lit(bar)).drop("__score")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ONE_PASS_ROWS = 1_000_000
 LAST_BRACKET_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 
 
 @dataclass
@@ -81,11 +81,7 @@ def order_statistics(
 ) -> dict[str, dict[int, float]]:
     """Values at the given 0-based ascending ranks of each column (nulls ignored)."""
     data = df.select(*[c.cast("double").alias(n) for n, c in values.items()])
-    bounds = data.agg(*[f(n).alias(f"{n}_{t}") for n in values for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    open_ = [
-        _Bracket(n, r, r, bounds[f"{n}_lo"], bounds[f"{n}_hi"], 0, sizes[n])
-        for n in values for r in ranks[n]
-    ]
+    open_ = [_Bracket(n, r, r, -math.inf, math.inf, 0, sizes[n]) for n in values for r in ranks[n]]
     pending = [b for b in open_ if not b.done]
     while pending:
         _narrow(data, pending)
@@ -97,23 +93,27 @@ def order_statistics(
 
 
 def _narrow(data: DataFrame, brackets: list[_Bracket]) -> None:
-    """One sketch pass and one proof pass shared by all brackets."""
+    """One sketch pass and one proof pass; brackets over the same rows share a sketch."""
+    slack = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.lo, b.hi), []).append(b)
     sketches = []
-    for i, b in enumerate(brackets):
-        slack = 2.0 / SKETCH_ACCURACY
-        at = (b.first - b.below) / max(b.inside - 1, 1)
-        grid = [max(0.0, at - slack), min(1.0, at + slack)]
-        inside = F.when(F.col(b.column).between(b.lo, b.hi), F.col(b.column))
+    for i, ((column, lo, hi), group) in enumerate(shared.items()):
+        at = [(b.first - b.below) / max(b.inside - 1, 1) for b in group]
+        grid = [x for p in at for x in (max(0.0, p - slack), min(1.0, p + slack))]
+        inside = F.when(F.col(column).between(lo, hi), F.col(column))
         sketches.append(F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias(f"s{i}"))
-    guess = data.agg(*sketches).first()
+    row = data.agg(*sketches).first()
+    guess = {id(b): row[f"s{i}"][2 * j:2 * j + 2] for i, group in enumerate(shared.values()) for j, b in enumerate(group)}
     proofs = []
     for i, b in enumerate(brackets):
-        lo, hi = guess[f"s{i}"]
+        lo, hi = guess[id(b)]
         proofs.append(F.count(F.when(F.col(b.column) < lo, 1)).alias(f"b{i}"))
         proofs.append(F.count(F.when(F.col(b.column) <= hi, 1)).alias(f"u{i}"))
     proof = data.agg(*proofs).first()
     for i, b in enumerate(brackets):
-        lo, hi, below, upto = *guess[f"s{i}"], proof[f"b{i}"], proof[f"u{i}"]
+        lo, hi, below, upto = *guess[id(b)], proof[f"b{i}"], proof[f"u{i}"]
         if below > b.first:  # the sketch missed on the left
             lo, below = b.lo, b.below
         if upto <= b.last:
@@ -124,6 +124,9 @@ def _narrow(data: DataFrame, brackets: list[_Bracket]) -> None:
 
 
 def _halve(data: DataFrame, b: _Bracket) -> tuple[int, int, float, float]:
+    if math.isinf(b.lo) or math.isinf(b.hi):
+        ends = data.agg(F.min(b.column).alias("lo"), F.max(b.column).alias("hi")).first()
+        return b.below, b.below + b.inside, ends.lo, ends.hi
     mid = b.lo + (b.hi - b.lo) / 2
     row = data.agg(
         F.count(F.when(F.col(b.column) <= mid, 1)).alias("n"),

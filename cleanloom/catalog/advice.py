@@ -36,7 +36,7 @@ def _ranking(parts: list[str], keep: int, prefix: str, extra: str = "") -> str:
     return (", c AS (" + " UNION ALL ".join(parts) + "), n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY k, position) AS nth FROM c), "
             "q AS (SELECT *, row_number() OVER (ORDER BY rule, nth) AS seq FROM n WHERE nth <= lim), "
             f"o AS (SELECT *, row_number() OVER (ORDER BY {IMPACT} DESC, confidence DESC, seq) AS rank FROM q) "
-            f"SELECT rank, '{prefix}' || seq AS id, title, confidence::DOUBLE AS confidence, impact, op{extra} FROM o WHERE rank <= {keep}")
+            f"SELECT rank::INTEGER AS rank, '{prefix}' || seq AS id, title, confidence::DOUBLE AS confidence, impact, op{extra} FROM o WHERE rank <= {keep}")
 
 
 def _rule(rule: int, lim: int, source: str, where: str, title: str, confidence: str, impact: str, op: str, key: str = "0.0", extra: str = "") -> str:

@@ -141,6 +141,8 @@ def number_code(c: Column, dt: T.DataType) -> Column | None:
         return F.unix_date(c).cast("bigint")
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return F.when(c.isNotNull(), F.xxhash64(c.cast("double")))
+    if isinstance(dt, T.TimestampNTZType):
+        return F.when(c.isNotNull(), F.xxhash64(c))
     return None
 
 
@@ -153,7 +155,7 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: b
         packed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("unique")) for i, c in enumerate(columns)])
         return one.select(F.inline(packed))
     # Values of at most eight bytes become one number each: integers and times as they are,
-    # fractions by xxhash64, which maps eight-byte inputs one to one.
+    # the rest by xxhash64, which maps eight-byte inputs one to one.
     fixed = [(i, number_code(ref(c), dtype_of(df, c))) for i, c in enumerate(columns)]
     narrow = [(i, code) for i, code in fixed if code is not None]
     text = [(i, exact_text(F.col(f"`{columns[i]}`"), dtype_of(df, columns[i]))) for i, code in fixed if code is None]

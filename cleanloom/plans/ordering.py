@@ -43,6 +43,10 @@ def _scalar_position(df: DataFrame, keys: list[str]) -> Column | None:
     dt, c = df.schema[keys[0]].dataType, F.col(keys[0])
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # Whole seconds are enough to place cuts, and need no time zone.
+        day = F.unix_date(c.cast("date")).cast("double")
+        return day * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c)
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     return c.cast("double") if is_numeric(dt) else None

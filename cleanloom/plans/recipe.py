@@ -249,6 +249,7 @@ def op_label(op_json: Column) -> Column:
         "cap_outliers": text("Cap outliers (IQR ×", or_else("multiplier", "1.5"), ")", on),
         "drop_outliers": text("Drop outlier rows (IQR ×", or_else("multiplier", "1.5"), ")", on),
         "drop_row": text("Delete row #", row.cast("string")),
+        "drop_rows": text("Delete ", F.json_array_length(field_("indices")).cast("string"), " rows"),
         "iforest_outliers": text("Isolation Forest — drop anomalies (contamination ", share, "%)"),
         "scale": text(scaler, " scale", on),
         "fill_null": text("Fill nulls (", strategy, value, ")", on),

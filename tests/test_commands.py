@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cleanloom import apply_commands, command_ops
+from cleanloom.plans.recipe import op_label
 from conftest import values
 
 
@@ -45,3 +47,10 @@ def test_batch_is_all_or_nothing(spark):
     assert values(out, "s", "i") == ["b", "?"]
     with pytest.raises(ValueError, match="does not exist"):
         apply_commands(df, [cmd("text", "trim"), cmd("text", "lower", "gone")])
+
+
+def test_labels(spark):
+    ops = ['{"type":"drop_rows","indices":[1,3]}', '{"type":"fill_null","column":"a","strategy":"mean"}', '{"type":"iforest_outliers"}', '{"type":"other"}']
+    df = spark.createDataFrame([(i, o) for i, o in enumerate(ops)], "i int, op string")
+    assert values(df.select("i", op_label(F.col("op")).alias("l")), "l", "i") == [
+        "Delete 2 rows", "Fill nulls (mean) on a", "Isolation Forest — drop anomalies (contamination 5.0%)", "other"]

@@ -57,6 +57,14 @@ def test_forward_fill_crosses_blocks(spark, parts):
     assert values(ordering.forward_filled(df, "x", "i", "g"), "x", "i") == want_g
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_time_keys(spark, kind):
+    step = "make_interval(0,0,0,id)" if kind == "date" else "make_interval(0,0,0,0,0,0,id * 0.7)"
+    df = spark.range(300).selectExpr("id", f"cast(timestamp_ntz'2024-03-30 22:00:00' + {step} as {kind}) AS t").repartition(5)
+    assert len(ordering.blocked(df, "t").summary(F.count("*").alias("n")).collect()) > 4
+    assert all(r.n == r.id for r in ordering.with_row_number(df, "t", "n").collect())
+
+
 def test_rows_at_sorts_only_touched_blocks(spark):
     df = shuffled(spark, [(i,) for i in range(400)], "k int", 3)
     assert sorted(values(ordering.rows_at(df, "k", [0, 123, 399, 123]), "k")) == [0, 123, 399]

@@ -27,7 +27,7 @@ from cleanloom.operators.base import Op, Operator, RowOrder, dtype_of
 from cleanloom.operators.scaling import imputed_features
 from cleanloom.plans.ordering import as_keys
 from cleanloom.plans.quantiles import LAST_BRACKET_ROWS, order_statistics
-from cleanloom.session import scratch_path
+from cleanloom.session import stored
 
 # Fixed values of the method.
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -190,9 +190,7 @@ def iforest_outliers(df: DataFrame, op: Op, params: dict, order: RowOrder) -> Da
     scores = scored.select("__score")
     if rows > LAST_BRACKET_ROWS:
         # The threshold takes several passes: they read eight bytes per row instead of scoring again.
-        path = scratch_path(df.sparkSession, "scores")
-        scores.write.parquet(path)
-        scores = df.sparkSession.read.parquet(path)
+        scores = stored(scores, "scores")
     bar = top_threshold(scores, "__score", clamp_contamination(op.get("contamination")), rows)
     return scored.filter(F.col("__score") < F.lit(bar)).drop("__score")
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleanloom.plans.lookup import attach
+from cleanloom.session import stored
 
 UNDO_LEVELS = 8
 FAN = 256
@@ -67,17 +68,17 @@ def effective_events(log: DataFrame, group: str = "dataset_id") -> DataFrame:
 
     push = F.when(F.col("event") == "undo", -1).otherwise(1).cast("bigint")
     steps = log.select(group, F.col("position").cast("bigint").alias("idx"), push.alias("shift"), const(0).alias("low"), const(UNDO_LEVELS).alias("high"), "event")
-    depth = running_clamped(steps, group, last, ("event",))
+    # Each running value reads its input several times, so the narrow results are stored once.
+    depth = stored(running_clamped(steps, group, last, ("event",)), "depth")
     # An undo without anything to take back does nothing.
     shift = F.when(F.col("event") != "undo", 1).when(F.col("before") > 0, -1).otherwise(0).cast("bigint")
     # Backwards: how far the later events reach below their start; a push survives if they do not.
     back = depth.select(group, (const(last) - F.col("idx")).alias("idx"), shift.alias("shift"), const(-FAR).alias("low"), const(0).alias("high"), "event")
     reach = running_clamped(back, group, last, ("event",)).filter((F.col("event") != "undo") & (F.col("before") == 0))
-    alive = reach.select(group, (const(last) - F.col("idx")).alias("position"), "event")
+    alive = stored(reach.select(group, (const(last) - F.col("idx")).alias("position"), "event"), "alive")
     resets = alive.groupBy(group).agg(
         F.coalesce(F.max(F.when(F.col("event") == "reset", F.col("position"))), F.lit(-1)).alias("last_reset"), F.count(F.lit(1)).alias("weight"))
-    size = log.agg(F.approx_count_distinct(group).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    # The estimate only decides between broadcast and shuffle; it is off by a few percent at most.
+    size = resets.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rows")).first()
     joined = attach(alive, resets, [group], "weight", size.rows or 0, size.n, F.lit(True))
     inforce = joined.filter((F.col("event") == "apply") & (F.col("position") > F.col("last_reset"))).select(group, "position")
     return log.join(inforce, [group, "position"], "left_semi")

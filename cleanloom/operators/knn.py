@@ -1,6 +1,6 @@
 """Nearest-neighbour imputation, exact at any size.
 
-The reference semantics: features are up to eight other numeric columns,
+Semantics: features are up to eight other numeric columns,
 z-scored; the distance of two rows is the root mean square difference over the
 features both rows have; a missing value becomes the plain mean of the ``k``
 nearest known values; ties go to the earlier row (distances are compared at

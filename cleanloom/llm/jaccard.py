@@ -112,11 +112,93 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     return rows.mapInPandas(run, "doc_id long, row long, n long, set long, keys array<long>")
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of a set's members in 2**k slices of the universe, about half as many slices as members.
+
+    One minus sum(min) / sum(max) of two histograms is a metric too, and never above the Jaccard distance of the sets.
+    Adding up the halves of a histogram gives that of half as many slices.
+    """
+    size = 1 << max(3, (len(s) // 2).bit_length())
+    return np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype("<u2").tobytes()
+
+
+def with_histograms(rows: DataFrame, words: int) -> DataFrame:
+    """``set, text, histogram`` of ``set, text``."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["histogram"] = [histogram(shingles(t, words)) for t in f["text"]]
+            yield f
+
+    return rows.mapInPandas(run, "set long, text string, histogram binary")
+
+
+def close_pairs(points: np.ndarray, label: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs of rows of different labels whose histograms are within ``limit``: a recursive Voronoi join.
+
+    A few rows become pivots; each row goes to its nearest pivot's region and, since the distance is a metric, to
+    every region whose pivot is at most twice the limit farther. Regions that do not shrink are compared row by row.
+    """
+    def distances(at: np.ndarray, one: int) -> np.ndarray:
+        low = np.minimum(points[at], points[one]).sum(1, dtype=np.int64)
+        high = np.maximum(points[at], points[one]).sum(1, dtype=np.int64)
+        return 1 - low / np.maximum(high, 1)
+
+    found: set[tuple[int, int]] = set()
+    todo = [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        if len(at) > 32:
+            pivots = at[np.linspace(0, len(at) - 1, 8).astype(int)]
+            d = np.stack([distances(at, p) for p in pivots], 1)
+            inside = d <= d.min(1, keepdims=True) + 2 * limit + 1e-9
+            if inside.sum(0).max() <= 0.7 * len(at):
+                todo += [at[inside[:, k]] for k in range(len(pivots))]
+                continue
+        for i in range(len(at) - 1):
+            rest = at[i + 1:][label[at[i + 1:]] != label[at[i]]]
+            if len(rest):
+                for j in rest[distances(rest, at[i]) <= limit + 1e-9].tolist():
+                    found.add((min(int(at[i]), j), max(int(at[i]), j)))
+    return sorted(found)
+
+
+# Members that one task compares at once; larger regions are cut into chunks that meet pairwise.
+LEAF = 256
+
+
+def leaf_pairs(regions: DataFrame, texts: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
+    """Distinct ``a, b``: pairs of sets of one region with different labels whose histograms do not rule a link out.
+
+    A region over ``leaf`` members is dealt into chunks; every two chunks meet in one cell, so no cell holds more than
+    about twice ``leaf`` members. Cells go to tasks by hash.
+    """
+    sizes = regions.groupBy("key").agg(F.ceil(F.count("set") / leaf).cast("int").alias("chunks"))
+    cells = regions.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = cells.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "set", "label")
+    groups = max(1, regions.count() // 4_000)
+    cells = cells.join(texts.select("set", "histogram"), "set").withColumn("task", F.pmod("cell", F.lit(groups)))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out: set[tuple[int, int]] = set()
+        for rows in f.groupby("cell").indices.values():
+            own = f.iloc[rows]
+            vectors = [np.frombuffer(h, "<u2").astype(np.uint32) for h in own["histogram"]]
+            size = min(map(len, vectors))
+            points = np.stack([v.reshape(-1, size).sum(0, dtype=np.uint32) for v in vectors])
+            sets = own["set"].to_numpy()
+            for i, j in close_pairs(points, own["label"].to_numpy(), (100 - percent) / 100):
+                out.add((min(sets[i], sets[j]), max(sets[i], sets[j])))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
+
+    return cells.groupBy("task").applyInPandas(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, near, linked`` for pairs of sets: their exact overlap from the whole texts.
+    """``a, b, distance, linked`` for pairs of sets: their exact overlap from the whole texts.
 
     Each side's text comes by a join on its set, so a hot pivot is a skewed join that Spark may split.
-    ``near``: the distance is at most twice the limit, so that members of the pivot's ball may link.
+    ``distance`` is in hundredths.
     """
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
@@ -142,9 +224,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     A hub's star is one pre-aggregated minimum, so its size does not matter.
     """
-    spark = edges.sparkSession
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = stored(now, "stars")
+    now, before = stored(now, "stars"), None
     while True:
         # Large star: every greater neighbour of a node points to the least node around it.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -154,10 +235,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        now, seen = after, after.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if seen == before:
             break
+        before = seen
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
@@ -170,10 +251,10 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Jaccard distance is a metric, but unrelated texts all lie at distance 1 of each other, so balls around arbitrary pivots
     could not tell them apart. Regions are therefore Voronoi cells of sizes (rings, with windows for sets that reach into
-    the ring below), divided by equal parts of the universe; a pair within the limit shares a region. Inside each region
-    the join recurses: one member becomes the pivot, all others are measured against it, its ball becomes one component,
-    and what may still link outside by the triangle inequality goes on to the next round without the pivot. A region ends when
-    one component is left. So a region of n members costs about n comparisons a round, never n * n.
+    the ring below), divided by equal parts of the universe; a pair within the limit shares a region. In each region one
+    member becomes the pivot, all others are measured against it and its ball becomes one component; only what may still link
+    by the triangle inequality goes on, without the pivot. These regions join recursively around more pivots in a
+    metric of histograms that is never above the Jaccard distance, and what stays is verified on the texts.
 
     Equal sets are one class from the start. Empty and null texts have no shingles and link with nothing, nor do rows with
     a null id, whose component is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
@@ -188,32 +269,28 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = known.select("set", "doc_id", "row").join(active, "set").groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("r"))
     rows = rows.select("set", F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"))
     source = df.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(ref(text_col)).alias("row"), ref(text_col).alias("text"))
-    texts = stored(source.join(rows, ["doc_id", "row"]).select("set", "text"), "texts")
-    edges, labels = None, None
-    while True:
-        pivots = regions.groupBy("key").agg(F.min("set").alias("pivot"))
-        if labels is not None:
-            pivots = pivots.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
-            pivots = pivots.withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-        members = regions.join(pivots, "key").where("set <> pivot")
-        pairs = members.where("label <> pivot_label") if labels is not None else members
-        measured = stored(verified(pairs.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), texts, words, percent), "measured")
-        linked = measured.where("linked").select("a", "b")
-        edges = linked if edges is None else edges.union(linked)
-        labels = components(edges)
-        # Next round: members without their pivot, in regions that still hold several components.
-        left = members.select("key", "set", "pivot").join(measured.select(F.col("a").alias("set"), F.col("b").alias("pivot"), "distance", "linked"), ["set", "pivot"], "left")
-        left = left.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        reach = left.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
-        # Inside the ball (distance at most 100 - percent) only the rim within reach of the nearest outsider goes on.
-        left = left.join(reach, "key", "left").where(
-            F.coalesce(~F.col("linked"), F.lit(True)) | F.col("nearest").isNull() | (F.col("distance") + (100 - percent) + 1e-9 >= F.col("nearest")))
-        spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        regions = stored(left.join(spread, "key").select("key", "set", "label"), "regions")
-        if regions.isEmpty():
-            break
+    texts = stored(with_histograms(source.join(rows, ["doc_id", "row"]).select("set", "text"), words), "texts")
+    # First round: every member of a region against its pivot.
+    members = regions.join(regions.groupBy("key").agg(F.min("set").alias("pivot")), "key").where("set <> pivot")
+    measured = stored(verified(members.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), texts, words, percent), "measured")
+    labels = stored(components(measured.where("linked").select("a", "b")), "labels")
+    # Next: members without their pivot, in regions that still hold several components. Inside the pivot's ball only
+    # the rim within reach of the nearest outsider goes on.
+    left = members.join(measured.select(F.col("a").alias("set"), F.col("b").alias("pivot"), "distance", "linked"), ["set", "pivot"])
+    left = left.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    reach = left.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
+    left = left.join(reach, "key").where(~F.col("linked") | (F.col("distance") + (100 - percent) + 1e-9 >= F.col("nearest")))
+    spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = stored(left.join(spread, "key").select("key", "set", "label"), "regions")
+    more = stored(verified(leaf_pairs(rest, texts, percent), texts, words, percent).where("linked").select("a", "b"), "measured")
+    # The components found so far are the nodes of the second, small graph.
+    named = labels.select(F.col("node"), F.col("label"))
+    for side in ("a", "b"):
+        more = more.join(named.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    second = components(more.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
     classes = known.groupBy("set").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    classes = classes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("first", F.coalesce("label", "set")).drop("label")
+    classes = classes.join(second.select(F.col("node").alias("first"), "label"), "first", "left").withColumn("label", F.coalesce("label", "first"))
     named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component")), "label").select("set", "component")
     linkable = known.select("doc_id", "row", "n", "set").join(named, "set").select("doc_id", "row", "n", "component")
     alone = base.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "row", "n", F.col("doc_id").alias("component"))

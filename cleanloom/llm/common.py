@@ -46,7 +46,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     added = StructType.fromDDL(schema)
     fields = to_arrow_schema(added)
     places = [df.columns.index(c) for c in columns] if keep else list(range(len(columns)))
-    picked = df if keep else df.select([ref(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    # Plain names inside: a name with a dot or a clash is nobody's business here.
+    picked = df.toDF(*[f"c{i}" for i in range(len(df.columns))]) if keep else df.select([ref(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -58,7 +59,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             else:
                 yield pa.RecordBatch.from_arrays(new, schema=fields)
 
-    return picked.mapInArrow(run, StructType([*df.schema.fields, *added.fields]) if keep else added)
+    if not keep:
+        return picked.mapInArrow(run, added)
+    return picked.mapInArrow(run, StructType([*picked.schema.fields, *added.fields])).toDF(*df.columns, *added.names)
 
 
 def in_fold(column: str, modulus: int, rest: int) -> Column:

@@ -165,13 +165,15 @@ class Field:
         """Pseudo-likelihood: a softmax of features and neighbour labels, by full-batch gradient steps.
 
         ``rows``/``cols`` are the active features; ``left``/``right`` the true label of the chain neighbour or -1. The
-        bond is the log odds that similar tokens of one document carry the same label, held within 0 and 4.
+        bond is the log odds that similar tokens of one document carry the same label, held within 0 and 3. Tokens of
+        label -1 are left out: the patterns missed them, but a token like them in their document matched.
         """
         n = len(y)
         emission = np.zeros((FEATURES, LABELS))
         transition = np.zeros((LABELS, LABELS))
         truth = np.zeros((n, LABELS))
-        truth[np.arange(n), y] = 1
+        sure = np.flatnonzero(y >= 0)
+        truth[sure, y[sure]] = 1
         has_left, has_right = left >= 0, right >= 0
         for step in range(steps if n else 0):
             z = np.stack([np.bincount(rows, emission[cols, k], n) for k in range(LABELS)], 1)
@@ -179,14 +181,14 @@ class Field:
             z[has_right] += transition.T[right[has_right]]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = (truth - p) / n
+            g = np.where(y[:, None] >= 0, truth - p, 0.0) / n
             ge = np.stack([np.bincount(cols, g[rows, k], FEATURES) for k in range(LABELS)], 1)
             gt = np.zeros_like(transition)
             np.add.at(gt, left[has_left], g[has_left])
             np.add.at(gt.T, right[has_right], g[has_right])
             emission += 4.0 * (ge - 1e-4 * emission)
             transition += 2.0 * (gt - 1e-3 * transition)
-        return cls(emission, transition, float(np.clip(np.log((agree + 0.01) / (1 - agree + 0.01)), 0, 4)))
+        return cls(emission, transition, float(np.clip(np.log((agree + 0.01) / (1 - agree + 0.01)), 0, 3)))
 
     def decode(self, nodes: Nodes, clamp: np.ndarray) -> np.ndarray:
         """Labels by loopy message passing over chain edges and one hub for each group of similar tokens.
@@ -265,6 +267,8 @@ def fit_field(df: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN
             nodes = candidates(texts)
             y = labels(nodes, known)
             left, right = neighbours(nodes, y)
+            matched = {k for k, v in zip(nodes.key, y) if v > 0}
+            y = np.array([-1 if v == 0 and k >= 0 and k in matched else v for k, v in zip(nodes.key, y)], np.int64)
             out: dict[str, list] = {"active": [[] for _ in texts], "sizes": [[] for _ in texts], "y": [[] for _ in texts],
                                     "l": [[] for _ in texts], "r": [[] for _ in texts], "key": [[] for _ in texts]}
             for i, d in enumerate(nodes.doc):
@@ -282,7 +286,7 @@ def fit_field(df: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN
     for ys, ks in zip(got["y"], got["key"]):
         groups: dict[int, list[int]] = {}
         for y, k in zip(ys, ks):
-            if k >= 0:
+            if k >= 0 and y >= 0:
                 groups.setdefault(k, []).append(y)
         for ys_of in groups.values():
             if len(ys_of) > 1:

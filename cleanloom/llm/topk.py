@@ -56,8 +56,8 @@ def search_block(query: np.ndarray, own: int, ids: np.ndarray, columns: list[np.
 
 def exact_block(query: list[int], own: int, ids: np.ndarray, vectors: list[list[int]], k: int) -> list[tuple[int, int]]:
     """Whole-number arithmetic for values too large for doubles; scores outside 64 bits are held at its ends."""
-    scored = sorted((-sum(a * b for a, b in zip(query, v)), int(i)) for i, v in zip(ids, vectors) if i != own)[:k]
-    return [(i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for s, i in scored]
+    held = ((max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(query, v)))), int(i)) for i, v in zip(ids, vectors) if i != own)
+    return [(i, s) for s, i in sorted(held, key=lambda x: (-x[0], x[1]))[:k]]
 
 
 def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, scale: int = 256,

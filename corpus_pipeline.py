@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half. Every labelled document of ``docs`` may train."""
     model = toxicity.fit(docs, docs, read(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     scored, name = toxicity.with_score(docs, model)
-    return scored.where(ref(name) < 0.5).select(docs.columns)
+    return scored.where(ref(name) < 0.5).select([ref(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id", F.col("row")).distinct()
     row = free_name(docs, "row_hash")
     keyed = docs.withColumn(row, F.xxhash64("text"))
-    return keyed.join(gone, (keyed["doc_id"] == gone["doc_id"]) & (keyed[row] == gone["row"]), "left_anti").select(docs.columns)
+    return keyed.join(gone, (keyed["doc_id"] == gone["doc_id"]) & (keyed[row] == gone["row"]), "left_anti").select([ref(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
     marked, name = decontaminate.with_matches(docs, read(spark, sf_dir, "benchmark"))
-    return marked.where(F.size(ref(name)) == 0).select(docs.columns)
+    return marked.where(F.size(ref(name)) == 0).select([ref(c) for c in docs.columns])
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     masked = pii.mask_personal_data(docs)
     if "n_chars" not in docs.columns:
         return masked
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select([ref(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

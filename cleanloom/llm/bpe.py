@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 
 from cleanloom.llm.common import kind, map_rows, quoted
 
-# A worker forgets its chunks and its pre-tokens beyond this many (about 100 MB each); longer ones than LONG are never kept.
-REMEMBERED, LONG = 500_000, 48
+# A worker forgets its chunks and its pre-tokens beyond this many (about 60 MB each); longer ones than LONG are never kept.
+REMEMBERED, LONG = 300_000, 48
 # Pre-tokens share a queue up to about this many bytes; a longer one has it alone.
 QUEUE_BYTES = 65_536
 # Texts of a batch are encoded together up to this many characters.

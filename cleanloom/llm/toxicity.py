@@ -26,7 +26,7 @@ SIGN, BETWEEN, FILLER, AGAIN = -1.0, -9.0, -0.7, -2.0
 # Labelled documents that fit the classifier, words it keeps, least documents a word must occur in.
 TRAIN_ROWS, FEATURES, LEAST = 20_000, 4_096, 3
 # A worker forgets restored tokens beyond this many.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _EDGE = ".,;:!?\"'()[]{}<>«»¡¿…-–—"
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")

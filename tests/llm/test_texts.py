@@ -9,7 +9,18 @@ import pytest
 import tiktoken
 
 from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, pii, toxicity
-from tests.llm.conftest import EDGES
+
+@pytest.fixture
+def docs(spark):
+    """Rows of (doc_id, text) with odd column names beside them that operators might use themselves."""
+    def make(rows):
+        schema = "doc_id long, text string, set long, `key` string, matches int, `a.b` string, masked string, toxicity int"
+        return spark.createDataFrame([(*r, 1, "k", 2, "x", None, 3) for r in rows], schema)
+
+    return make
+
+
+EDGES = [(1, None), (2, ""), (2, ""), (None, "word"), (3, "a" * 200_000), (4, "the same words here again and more"), (5, "the same words here again and more")]
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.catalog.profiles import COLUMNS, COLLISIONS, LONG, ORDER, PROFILE, SAMPLES
+from cleanloom.catalog.profiles import COLUMNS, ORDER, PROFILE
 from cleanloom.catalog.registry import half_up, percent, plain, query, strip
 from cleanloom.catalog.texts import TASK
 from cleanloom.functions import classify as C
@@ -17,8 +17,7 @@ from cleanloom.views import derived, table, view, with_views
 DUPES = (", du AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT " + ", ".join(COLUMNS) + " FROM orders_messy)) AS dupes, count(*) AS n FROM orders_messy), "
          "dp AS (SELECT dupes, floor(dupes::DOUBLE / n * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE AS pct FROM du)")
 NUMERIC = "regexp_matches(dtype, '^(Int|UInt|Float|Decimal)')"
-WHOLE = ("(len(list_filter(sample, lambda s: regexp_matches(trim(s), '^-?[0-9.,]+$'))) > 0 AND "
-         "len(list_filter(sample, lambda s: regexp_matches(trim(s), '^-?[0-9.,]+$') AND NOT regexp_matches(trim(s), '^-?[0-9][0-9,]*$'))) = 0)")
+WHOLE = "(numbers > 0 AND wholes = numbers)"
 
 
 def _json(kind: str, **fields: str) -> str:
@@ -75,9 +74,9 @@ def _messy(spark, sf_dir):
     return view(spark, sf_dir, "orders_messy")
 
 
-def _suggestions(df):
+def _suggestions(df, limit=A.SUGGESTIONS):
     dupes = duplicate_count(df, COLUMNS).first().duplicates
-    return A.suggestions(P.table_profile(df, ORDER), dupes)
+    return A.suggestions(P.table_profile(df, ORDER), dupes, limit)
 
 
 @query("suggestions", with_views(["orders_messy"], PROFILE + DUPES + _ranking(SUGGESTION_RULES, 7, "sg-")))
@@ -85,14 +84,14 @@ def suggestions(spark, sf_dir):
     return _suggestions(_messy(spark, sf_dir)).select("rank", "id", "title", "confidence", "impact", "op")
 
 
-PFILL = f"CASE WHEN name = 'price' THEN 1 WHEN null_pct >= 60 THEN 2 WHEN {NUMERIC} AND rows <= 20000 THEN 3 WHEN {NUMERIC} THEN 4 WHEN uniq BETWEEN 1 AND 50 THEN 5 ELSE 6 END"
+PFILL = f"CASE WHEN name = 'price' THEN 1 WHEN null_pct >= 60 THEN 2 WHEN {NUMERIC} THEN 3 WHEN {NUMERIC} THEN 4 WHEN uniq BETWEEN 1 AND 50 THEN 5 ELSE 6 END"
 
 
 def _by_kind(*values: str) -> str:
     return f"CASE {PFILL} " + " ".join(f"WHEN {i + 1} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-PCAST = "CASE WHEN regexp_matches(regexp_replace(coalesce(sample[1], ''), '[,\\s]', '', 'g'), '^-?[0-9]+$') THEN 'Int64' ELSE 'Float64' END"
+PCAST = CAST_TO
 
 
 def _p(method: str, column: str = "name") -> str:
@@ -174,7 +173,7 @@ TIDY = f"lower({strip('priority')})"
        "GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1)) AS priority, price_txt, coalesce(cust_txt, 'Unknown') AS cust_txt, flag FROM t"))
 def auto_clean(spark, sf_dir):
     df = _messy(spark, sf_dir)
-    out = apply_recipe(df, A.auto_clean_ops(_suggestions(df)), row_id="rid")
+    out = apply_recipe(df, A.auto_clean_ops(_suggestions(df, None)), row_id="rid")
     return out.withColumn("price", F.round("price", 4))
 
 
@@ -182,8 +181,8 @@ PROSE = "SELECT doc_id, text, lower(text) AS text_lower, lang, source FROM docum
 PROSE_COLUMNS = ["text", "text_lower", "lang", "source"]
 PROSE_ORDER = RowOrder.of(row_id="doc_id")
 PROSE_SQL = ("WITH p AS (" + PROSE + "), v AS (" + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, doc_id AS rid, {c} AS v FROM p" for i, c in enumerate(PROSE_COLUMNS)) + ")"
-             + SAMPLES + ", u AS (SELECT position, name, count(*) AS rows, count(DISTINCT CASE WHEN v <> '' THEN v END) AS uniq FROM v GROUP BY ALL), "
-             f"w AS (SELECT u.*, list_avg(list_transform(sample, lambda s: len(regexp_split_to_array({strip('s')}, '\\s+')))) AS words FROM u JOIN sm USING (name)), "
+             + ", u AS (SELECT position, name, count(*) AS rows, count(DISTINCT CASE WHEN v <> '' THEN v END) AS uniq, "
+             f"avg(CASE WHEN v <> '' THEN len(regexp_split_to_array({strip('v')}, '\\s+')) END) AS words FROM v GROUP BY ALL), w AS (SELECT * FROM u), "
              "f AS (SELECT count(*) AS cols, max(rows) AS rows, count(CASE WHEN words >= 8 AND uniq > greatest(20, 0.4 * rows) THEN 1 END) AS prose, "
              "count(CASE WHEN uniq > 1000 AND uniq > 0.5 * rows THEN 1 END) AS explosive FROM w), "
              "g AS (SELECT 'unstructured_text' AS code, CASE WHEN prose >= 2 THEN 'critical' ELSE 'warn' END AS severity, CASE WHEN prose >= 2 THEN 3 ELSE 2 END AS points, 1 AS r FROM f WHERE prose > 0 "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cleanloom.catalog.registry import query, strip
 from cleanloom.plans.recipe import Recipe
 from cleanloom.session import scratch_path
-from cleanloom.sources import csv, demo
+from cleanloom.sources import csv
 from cleanloom.streaming.ingest import ingest_csv_stream, replay_stream
 from cleanloom.views import table, view, with_views
 
@@ -76,36 +76,3 @@ def stream_replay(spark, sf_dir):
     out = scratch_path(spark, "replayed")
     replay_stream(stream.select("event_id", "user_id", "event_type", value), fitted, out, scratch_path(spark, "state"))
     return spark.read.parquet(out).withColumn("value", F.round("value", 4))
-
-
-def _u(label: str, source: str = "src") -> str:
-    at = demo.LABELS.index(label)
-    return f"(CAST('0x' || substr(md5('{demo.SEED}|{at // 4}|' || {source}), {8 * (at % 4) + 1}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
-
-
-def _pick(words: list[str], label: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + f"][floor({_u(label)} * {len(words)})::INTEGER + 1]"
-
-
-def _whole(label: str, low: int, n: int) -> str:
-    return f"(floor({_u(label)} * {n})::BIGINT + {low})::VARCHAR"
-
-
-BARE = [w.strip().lower() for w in demo.FIRST], [w.strip().lower() for w in demo.LAST]
-DAY = f"(DATE '2025-01-01' + floor({_u('day')} * 365)::INTEGER)"
-MESSY_SQL = f"""
-WITH i AS (SELECT o_orderkey AS id, {_u('dup', 'o_orderkey')} AS d FROM orders),
-s AS (SELECT id, coalesce(last_value(CASE WHEN d >= {demo.DUPLICATE} THEN id END IGNORE NULLS) OVER (ORDER BY id), id) AS src FROM i)
-SELECT id AS row_no, src + 1000 AS record_id, {_pick(demo.FIRST, 'first')} || ' ' || {_pick(demo.LAST, 'last')} AS full_name,
-CASE WHEN {_u('noemail')} >= {demo.NO_EMAIL} THEN '  ' || {_pick(BARE[0], 'mail1')} || '.' || {_pick(BARE[1], 'mail2')} || '@' || {_pick(demo.HOST, 'host')} END AS email,
-CASE WHEN {_u('noage')} < {demo.NO_AGE} THEN NULL WHEN {_u('oddage')} < {demo.ODD_AGE} THEN 'unknown' ELSE {_whole('age', 18, 60)} END AS age,
-CASE WHEN {_u('nosal')} < {demo.NO_SALARY} THEN 'N/A' ELSE '$' || {_whole('sal1', 32, 140)} || ',' || {_whole('sal2', 100, 900)} END AS salary_usd,
-CASE WHEN {_u('nocity')} >= {demo.NO_CITY} THEN {_pick(demo.CITY, 'city')} END AS city, {_pick(demo.ACTIVE, 'active')} AS plan_active,
-CASE WHEN {_u('noscore')} >= {demo.NO_SCORE} THEN {_whole('score1', 0, 100)} || '.' || lpad({_whole('score2', 0, 100)}, 2, '0') END AS score,
-CASE WHEN {_u('iso')} < 0.5 THEN strftime({DAY}, '%Y-%m-%d') ELSE strftime({DAY}, '%-m/%-d/%Y') END AS last_login FROM s
-"""
-
-
-@query("gen_messy", MESSY_SQL)
-def gen_messy(spark, sf_dir):
-    return demo.messy_customers(table(spark, sf_dir, "orders"), "o_orderkey")

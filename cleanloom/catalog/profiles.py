@@ -28,6 +28,8 @@ PROFILE = LONG + SAMPLES + COLLISIONS + f""", ms AS (SELECT position, name, dtyp
  count(CASE WHEN v IS NULL THEN 1 END) AS nulls, {percent('count(CASE WHEN v IS NULL THEN 1 END)', 'count(*)')} AS null_pct,
  count(DISTINCT CASE WHEN v <> '' THEN v END) AS uniq,
  CASE WHEN dtype = 'String' THEN {half_up("count(CASE WHEN v <> '' AND " + numeric_like('v') + " THEN 1 END)::DOUBLE / greatest(count(CASE WHEN v <> '' THEN 1 END), 1)", 2)} ELSE 0.0 END AS numeric_like,
+ count(CASE WHEN dtype = 'String' AND v <> '' AND {numeric_like('v')} THEN 1 END) AS numbers,
+ count(CASE WHEN dtype = 'String' AND v <> '' AND {numeric_like('v')} AND regexp_matches({strip('v')}, '^-?[0-9][0-9,]*$') THEN 1 END) AS wholes,
  CASE WHEN dtype = 'String' THEN count(CASE WHEN v <> '' AND v <> {strip('v')} THEN 1 END) ELSE 0 END AS whitespace FROM v GROUP BY position, name, dtype),
 prof AS (SELECT ms.*, coalesce(sample, []) AS sample, CASE WHEN dtype = 'String' THEN coalesce(case_collisions, 0) ELSE 0 END AS case_collisions
  FROM ms LEFT JOIN sm USING (name) LEFT JOIN cc USING (name))"""
@@ -146,7 +148,7 @@ def profile_tips(spark, sf_dir):
 @query("table_profile", _of_profile("SELECT position, name, dtype, rows, nulls, null_pct, uniq AS \"unique\", array_to_string(sample, ' | ') AS sample, "
                                     "numeric_like, whitespace, case_collisions FROM prof"))
 def table_profile(spark, sf_dir):
-    return _profile(spark, sf_dir).withColumn("sample", F.array_join("sample", " | "))
+    return _profile(spark, sf_dir).withColumn("sample", F.array_join("sample", " | ")).drop("numbers", "wholes", "mean_words")
 
 
 @query("dataset_summary", with_views(["orders_messy"], "SELECT count(*) AS rows, 7 AS cols, 3 AS numeric_cols, 4 AS text_cols, count(*) - (SELECT count(*) FROM "

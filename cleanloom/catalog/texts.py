@@ -44,7 +44,7 @@ KEYWORDS = (f"WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower({
             f"generate_subscripts(regexp_extract_all(lower({strip('text')}), '[a-z]{{4,}}'), 1) AS i FROM conversations), "
             "f AS (SELECT conv_id, turn, k, min(i) AS i FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM f) "
             "SELECT c.conv_id, c.turn, coalesce(string_agg(k, ' ' ORDER BY n), '') AS keywords FROM conversations c "
-            "LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn AND n <= 12 GROUP BY c.conv_id, c.turn")
+            "LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn GROUP BY c.conv_id, c.turn")
 
 
 @query("goal_keywords", KEYWORDS)

@@ -23,7 +23,7 @@ GOAL_TASKS = [
     ("eda", "analysis / reporting", r"\b(dashboard|report|explor|visuali[sz]|bi\b|analytics|insight)\b"),
 ]
 TARGET_PHRASE = r"(?:predict|forecast|estimate|target(?: is|:)?|label(?: is|:)?|classify)\s+(?:the\s+)?([\w .\-]{2,40})"
-KEYWORD, KEYWORDS = r"[a-z]{4,}", 12
+KEYWORD = r"[a-z]{4,}"
 SUMMARY_UNKNOWN = ("Objective noted", ' — target column "', '"', ". I'll keep suggestions general-purpose.")
 SUMMARY_KNOWN = ("Aligning to a ", ' with target "', '"', ".")
 
@@ -79,8 +79,10 @@ def goal_target(text: Column, columns: Sequence[str]) -> Column:
     return F.coalesce(explicit["c"], mentioned["c"])
 
 
-def goal_keywords(text: Column) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(_clean(text), F.lit(KEYWORD), F.lit(0))), 1, KEYWORDS)
+def goal_keywords(text: Column, limit: int | None = None) -> Column:
+    """Distinct keywords in order of occurrence, all or the first ``limit``."""
+    found = F.array_distinct(F.regexp_extract_all(_clean(text), F.lit(KEYWORD), F.lit(0)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def goal_summary(task: Column, target: Column) -> Column:

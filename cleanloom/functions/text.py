@@ -94,9 +94,13 @@ def numeric_like(c: Column) -> Column:
 
 
 def half_up(c: Column, digits: int) -> Column:
-    """Round half towards +infinity at ``digits`` decimals: floor(x * 10^d + 0.5) / 10^d."""
-    scale = float(10 ** digits)
-    return F.floor(c.cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    """Round half towards +infinity at ``digits`` decimals: floor(x * 10^d + 0.5) / 10^d.
+
+    From 2**53 on a scaled double has no such decimals (and floor would stop at the ends of a long): it stays as it is.
+    """
+    scale, x = float(10 ** digits), c.cast("double")
+    rounded = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(x * F.lit(scale)) >= F.lit(2.0 ** 53), x).otherwise(rounded)
 
 
 def percent(part: Column, whole: Column) -> Column:

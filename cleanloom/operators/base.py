@@ -84,7 +84,7 @@ def numeric_column(df: DataFrame, op: Op, what: str) -> str:
     column = column_of(df, op)
     dt = dtype_of(df, column)
     if not is_numeric(dt):
-        raise ValueError(f'{what} needs a numeric column - "{column}" is {dtype_name(dt)}. Cast it first.')
+        raise ValueError(f'{what} works on numbers, but {column} is of type {dtype_name(dt)}.')
     return column
 
 

@@ -196,16 +196,17 @@ def iforest_outliers(df: DataFrame, op: Op, params: dict, order: RowOrder) -> Da
 
 
 def anomaly_scan(df: DataFrame, order: RowOrder, features: Sequence[str] | None = None) -> DataFrame:
-    """Number and share of clearly anomalous rows; zero where the table is too small to tell."""
+    """Number and share of clearly anomalous rows; both null, with a reason, where the table is too small to tell."""
     features = list(features or default_features(df, order))
     rows = df.count()
     if len(features) < SCAN_FEWEST_FEATURES or rows < SCAN_FEWEST_ROWS:
         return df.agg(F.count(F.lit(1)).alias("rows")).select(
-            "rows", F.lit(0).cast("bigint").alias("anomalies"), F.lit(0.0).alias("rate"))
+            "rows", F.lit(None).cast("bigint").alias("anomalies"), F.lit(None).cast("double").alias("rate"),
+            F.lit("too few rows or numeric columns").alias("reason"))
     scored = with_scores(df, fit_forest(df, features, order, rows), "__score")
     flagged = F.count(F.when(F.col("__score") >= ANOMALY_SCORE, 1))
     return scored.agg(F.count(F.lit(1)).alias("rows"), flagged.alias("anomalies")).withColumn(
-        "rate", F.col("anomalies") / F.col("rows"))
+        "rate", F.col("anomalies") / F.col("rows")).withColumn("reason", F.lit(None).cast("string"))
 
 
 # Executors need no installed copy of this package.

@@ -17,7 +17,7 @@ MEDIAN = (0.5,)
 def _strategy(op: Op) -> str:
     strategy = op.get("strategy") or "constant"
     if strategy not in STRATEGIES:
-        raise ValueError(f'Unknown fill strategy "{strategy}"')
+        raise ValueError(f'No way to fill is called {strategy!r}.')
     return strategy
 
 

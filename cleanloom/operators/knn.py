@@ -1,6 +1,6 @@
 """Nearest-neighbour imputation, exact at any size.
 
-Semantics: features are up to eight other numeric columns,
+Semantics: features are all other numeric columns, or those named,
 z-scored; the distance of two rows is the root mean square difference over the
 features both rows have; a missing value becomes the plain mean of the ``k``
 nearest known values; ties go to the earlier row (distances are compared at
@@ -37,7 +37,7 @@ from cleanloom.plans.lookup import attach
 from cleanloom.plans.ordering import as_keys, with_bucket, with_row_number
 
 # Neighbour count range and default, and the feature limit.
-K_MIN, K_MAX, K_DEFAULT, MAX_FEATURES = 1, 25, 5, 8
+K_MIN, K_MAX, K_DEFAULT = 1, 25, 5
 DISTANCE_DIGITS = 9
 PACKET_ROWS = 2_048
 GAPS_PER_PACKET = 1_024
@@ -53,13 +53,13 @@ def clamp_k(value) -> int:
 
 def feature_columns(df: DataFrame, column: str, order: RowOrder) -> list[str]:
     names = [c for c in order.data_columns(df) if c != column and is_numeric(dtype_of(df, c))]
-    return names[:MAX_FEATURES]
+    return names
 
 
 def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     column, k = column_of(df, op), clamp_k(op.get("k"))
     target = to_numeric(ref(column), dtype_of(df, column))
-    features = feature_columns(df, column, order)
+    features = op.get("features") or feature_columns(df, column, order)
     views = {f"f{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("d", F.approx_count_distinct))]
     missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))

@@ -24,6 +24,7 @@ from cleanloom.plans.quantiles import exact_quantiles
 
 # Fixed values of the profile.
 BINS, TOP_VALUES, SAMPLES = 14, 10, 3
+WHOLE_TEXT = "^-?[0-9][0-9,]*$"
 NUMERIC_RATIO = 0.9
 SAMPLE_WIDTH = 42
 STAT_DIGITS = 4
@@ -64,6 +65,8 @@ def _measures(tally: DataFrame) -> DataFrame:
         F.count(F.when(_filled(), 1)).alias("unique"),
         F.coalesce(F.sum(F.when(_filled() & (v != strip(v)), cnt)), F.lit(0)).alias("whitespace"),
         F.coalesce(F.sum(F.when(_filled() & numeric_like(v), cnt)), F.lit(0)).alias("numeric_text"),
+        F.coalesce(F.sum(F.when(_filled() & numeric_like(v) & strip(v).rlike(WHOLE_TEXT), cnt)), F.lit(0)).alias("whole_text"),
+        F.sum(F.when(_filled(), cnt * F.size(F.split(strip(v), r"\s+")))).alias("words"),
     )
 
 
@@ -119,6 +122,10 @@ def table_profile(df: DataFrame, order: RowOrder | None = None, sample_rows: int
         F.coalesce(F.when(text, half_up(F.col("numeric_text") / F.greatest(F.col("filled"), F.lit(1)), 2)), F.lit(0.0)).alias("numeric_like"),
         F.coalesce(F.when(text, F.col("whitespace")), zero).alias("whitespace"),
         F.coalesce(F.when(text, F.col("case_collisions")), zero).alias("case_collisions"),
+        # Over all rows: texts that are numbers, those that are whole numbers, and words in a filled cell.
+        F.coalesce(F.when(text, F.col("numeric_text")), zero).alias("numbers"),
+        F.coalesce(F.when(text, F.col("whole_text")), zero).alias("wholes"),
+        F.when(text & (F.col("filled") > 0), F.col("words") / F.col("filled")).alias("mean_words"),
     )
 
 

@@ -20,7 +20,7 @@ def drop_rows(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame
     """Remove rows by 0-based position in the current order."""
     indices = op["indices"] if "indices" in op else [op.get("index")]
     if not indices or any(not isinstance(i, int) or isinstance(i, bool) for i in indices):
-        raise ValueError("drop_row requires a row index")
+        raise ValueError("The operation names no row position.")
     keys = as_keys(order.order_by)
     gone = rows_at(df, keys, indices)
     # The caller lists the positions, so the right side has no more rows than that list.
@@ -50,13 +50,16 @@ def duplicate_count(df: DataFrame, columns: list[str] | None = None, *totals: Co
 
     Only a 128-bit fingerprint per distinct row is shuffled, not the row.
     """
-    first, second = fingerprint(columns or df.columns)
-    inner = df.select(first.alias("h1"), second.alias("h2"), "*").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *totals)
-    extra = [c for c in inner.columns if c not in ("h1", "h2", "n")]
+    keys, count = ["fingerprint 1", "fingerprint 2"], "fingerprint rows"
+    while {c.lower() for c in (*keys, count)} & {c.lower() for c in df.columns}:
+        keys, count = [k + "_" for k in keys], count + "_"
+    hashes = [h.alias(k) for h, k in zip(fingerprint(columns or df.columns), keys)]
+    inner = df.select(*hashes, "*").groupBy(*map(ref, keys)).agg(F.count(F.lit(1)).alias(count), *totals)
+    extra = inner.columns[3:]
     zero = F.lit(0).cast("bigint")
     return inner.agg(
-        F.coalesce(F.sum(F.col("n") - 1), zero).alias("duplicates"), F.coalesce(F.sum("n"), zero).alias("rows"),
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in extra])
+        F.coalesce(F.sum(ref(count) - 1), zero).alias("duplicates"), F.coalesce(F.sum(ref(count)), zero).alias("rows"),
+        *[F.coalesce(F.sum(ref(c)), zero).alias(c) for c in extra])
 
 
 OPERATORS = {

@@ -25,7 +25,7 @@ def _wanted(df: DataFrame, op: Op) -> list[Need]:
 def _fit(df: DataFrame, op: Op, stats: dict, order: RowOrder) -> dict:
     column = op["column"]
     if not stats[Need(column, "count")]:
-        raise ValueError(f'No numeric values in "{column}" to scale.')
+        raise ValueError(f'{column}: it holds no numbers to scale.')
     first, second = (stats[Need(column, k)] for k in _kinds(op))
     width = second - first if op.get("scaler") == "minmax" else second
     return {"shift": first, "width": width or 1.0}

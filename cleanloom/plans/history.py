@@ -2,8 +2,9 @@
 
 Events of a dataset, in position order: ``apply`` pushes a batch of operations,
 ``reset`` pushes an empty recipe, ``undo`` takes back the latest push that is
-not taken back yet. At most eight pushes can be taken back in a row; an undo
-beyond that does nothing.
+not taken back yet. At most ``undo_levels`` pushes, eight by default, can be
+taken back in a row; an undo beyond that does nothing. A batch without operations
+is no push.
 
 A dataset may have any number of events, so they are not collected. Three facts
 decide everything, and each is a running value of the form
@@ -59,15 +60,17 @@ def running_clamped(steps: DataFrame, group: str, last: int, keep: tuple[str, ..
     return opened.select(group, F.col("z.items.idx").alias("idx"), F.col("z.befores").alias("before"), *[F.col(f"z.items.{c}").alias(c) for c in keep])
 
 
-def effective_events(log: DataFrame, group: str = "dataset_id") -> DataFrame:
+def effective_events(log: DataFrame, group: str = "dataset_id", undo_levels: int = UNDO_LEVELS) -> DataFrame:
     """Apply events that are still in force; ``position`` is a unique integer >= 0 per group."""
+    filled = F.coalesce(F.size(F.from_json("ops", "array<string>")), F.lit(0)) > 0
+    log = log.where((F.col("event") != "apply") | filled)
     last = log.agg(F.max("position")).first()[0] or 0
 
     def const(x: int) -> Column:
         return F.lit(x).cast("bigint")
 
     push = F.when(F.col("event") == "undo", -1).otherwise(1).cast("bigint")
-    steps = log.select(group, F.col("position").cast("bigint").alias("idx"), push.alias("shift"), const(0).alias("low"), const(UNDO_LEVELS).alias("high"), "event")
+    steps = log.select(group, F.col("position").cast("bigint").alias("idx"), push.alias("shift"), const(0).alias("low"), const(undo_levels).alias("high"), "event")
     # Each running value reads its input several times, so the narrow results are stored once.
     depth = stored(running_clamped(steps, group, last, ("event",)), "depth")
     # An undo without anything to take back does nothing.
@@ -84,7 +87,7 @@ def effective_events(log: DataFrame, group: str = "dataset_id") -> DataFrame:
     return log.join(inforce, [group, "position"], "left_semi")
 
 
-def effective_recipe(log: DataFrame, group: str = "dataset_id") -> DataFrame:
+def effective_recipe(log: DataFrame, group: str = "dataset_id", undo_levels: int = UNDO_LEVELS) -> DataFrame:
     """Operations in force: (group, position, step, op); recipe order is position, then step."""
     ops = F.from_json("ops", "array<string>")
-    return effective_events(log, group).select(group, "position", F.posexplode(ops).alias("step", "op"))
+    return effective_events(log, group, undo_levels).select(group, "position", F.posexplode(ops).alias("step", "op"))

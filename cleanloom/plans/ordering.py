@@ -124,7 +124,7 @@ def rows_at(df: DataFrame, order_by: str | Sequence[str], indices: Sequence[int]
     wanted = sorted(set(indices))
     for i in wanted:
         if not 0 <= i < b.rows:
-            raise ValueError(f"Row #{i + 1} is out of range - the table has {b.rows:,} rows right now.")
+            raise ValueError(f"There is no row {i + 1}: the table ends after {b.rows:,}.")
     sizes = {r[BLOCK]: r.n for r in b.summary(F.count(F.lit(1)).alias("n")).collect()}
     hits, start, at = [], 0, 0
     for block in sorted(sizes):

@@ -1 +1 @@
-"""Files in and out: CSV scan and export, previews, recipe log, messy demo rows."""
+"""Files in and out: CSV scan and export, previews, recipe log."""

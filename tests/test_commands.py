@@ -31,10 +31,10 @@ def test_translation(command, ops):
 
 
 @pytest.mark.parametrize("command,message", [
-    (cmd("nope", "x"), "Unknown action_category"), (cmd("text", "title", "a"), "Unknown text method"), (cmd("missing_values", "mean"), 'requires a "column"'),
-    (cmd("missing_values", "custom", "a"), "requires params.value"), (cmd("outliers", "cap", "a", multiplier="many"), "must be a number"),
-    (cmd("manual_edit", "drop_row"), "0-based integer"), (cmd("manual_edit", "drop_row", index=-1), "0-based integer"), (cmd("manual_edit", "drop_row", index=1.5), "0-based integer"),
-    (cmd("types", "cast", "a", to="Int32"), "params.to"), (cmd("types", "int64", "a"), "Unknown types method"), (cmd("structure", "rename", "a"), "requires params.to"),
+    (cmd("nope", "x"), "No command category"), (cmd("text", "title", "a"), "text has no method"), (cmd("missing_values", "mean"), "name the column"),
+    (cmd("missing_values", "custom", "a"), "custom fill"), (cmd("outliers", "cap", "a", multiplier="many"), "no finite number"),
+    (cmd("manual_edit", "drop_row"), "counted from 0"), (cmd("manual_edit", "drop_row", index=-1), "counted from 0"), (cmd("manual_edit", "drop_row", index=1.5), "counted from 0"),
+    (cmd("types", "cast", "a", to="Int32"), "cast goes to"), (cmd("types", "int64", "a"), "types has no method"), (cmd("structure", "rename", "a"), "new name"),
 ])
 def test_errors(command, message):
     with pytest.raises(ValueError, match=message):

@@ -28,11 +28,11 @@ def test_drop_rows_refer_to_the_view_before(frame):
     df = frame([(i,) for i in range(4)], "i int", 3)
     assert values(apply_op(df, {"type": "drop_rows", "indices": [0, 2]}, order_by="i"), "i", "i") == [1, 3]
     assert values(apply_op(df, {"type": "drop_row", "index": 3}, order_by="i"), "i", "i") == [0, 1, 2]
-    with pytest.raises(ValueError, match="out of range"):
+    with pytest.raises(ValueError, match="no row"):
         apply_op(df, {"type": "drop_row", "index": 4}, order_by="i")
     with pytest.raises(ValueError, match="order_by"):
         apply_op(df, {"type": "drop_row", "index": 1})
-    with pytest.raises(ValueError, match="row index"):
+    with pytest.raises(ValueError, match="row position"):
         apply_op(df, {"type": "drop_row"}, order_by="i")
 
 
@@ -54,7 +54,7 @@ def test_fill_types(frame):
     widened = apply_op(df, {"type": "fill_null", "column": "x", "value": "none given"})
     assert dict(widened.dtypes)["x"] == "string" and "none given" in values(widened, "x")
     assert values(apply_op(df, {"type": "fill_null", "column": "y", "strategy": "mean"}), "y").count(None) == 1
-    with pytest.raises(ValueError, match="strategy"):
+    with pytest.raises(ValueError, match="way to fill"):
         apply_op(df, {"type": "fill_null", "column": "x", "strategy": "guess"})
 
 
@@ -77,9 +77,9 @@ def test_cap_integer_bounds_stay_inside(frame):
 
 
 def test_outlier_errors_and_null_rows(frame):
-    with pytest.raises(ValueError, match="Not enough"):
+    with pytest.raises(ValueError, match="too few"):
         apply_op(frame([(1,), (2,), (3,)], "x int"), {"type": "cap_outliers", "column": "x"})
-    with pytest.raises(ValueError, match="numeric column"):
+    with pytest.raises(ValueError, match="works on numbers"):
         apply_op(frame([("1",)], "x string"), {"type": "drop_outliers", "column": "x"})
     df = frame([(1.0,), (2.0,), (2.5,), (3.0,), (100.0,), (None,)], "x double")
     assert sorted(values(apply_op(df, {"type": "drop_outliers", "column": "x"}), "x"), key=str) == [1.0, 2.0, 2.5, 3.0, None]
@@ -91,7 +91,7 @@ def test_scaling(frame):
         assert values(apply_op(same, {"type": "scale", "column": "x", "scaler": scaler}), "x") == [0.0, 0.0, 0.0]
     df = frame([(1.0,), (2.0,), (4.0,), (None,)], "x double")
     assert sorted(values(apply_op(df, {"type": "scale", "column": "x", "scaler": "minmax"}), "x"), key=str) == [0.0, 0.333333, 1.0, None]
-    with pytest.raises(ValueError, match="No numeric values"):
+    with pytest.raises(ValueError, match="no numbers"):
         apply_op(frame([(None,)], "x double"), {"type": "scale", "column": "x"})
 
 

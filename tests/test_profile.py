@@ -87,11 +87,12 @@ def test_outlier_multiplier_is_clamped(spark):
 
 
 SCHEMA = ("position int, name string, dtype string, rows bigint, nulls bigint, null_pct double, unique bigint, sample array<string>, "
-          "numeric_like double, whitespace bigint, case_collisions bigint")
+          "numeric_like double, whitespace bigint, case_collisions bigint, numbers bigint, wholes bigint, mean_words double")
 
 
 def profile(spark, *rows):
-    base = {"dtype": "String", "rows": 1000, "nulls": 0, "null_pct": 0.0, "unique": 10, "sample": ["a"], "numeric_like": 0.0, "whitespace": 0, "case_collisions": 0}
+    base = {"dtype": "String", "rows": 1000, "nulls": 0, "null_pct": 0.0, "unique": 10, "sample": ["a"], "numeric_like": 0.0, "whitespace": 0, "case_collisions": 0,
+            "numbers": 0, "wholes": 0, "mean_words": 1.0}
     full = [{**base, "position": i, **r} for i, r in enumerate(rows)]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     return spark.createDataFrame([tuple(r[n] for n in names) for r in full], SCHEMA)
@@ -104,9 +105,9 @@ def test_suggestion_rules(spark):
         {"name": "b", "nulls": 10, "null_pct": 1.0},
         {"name": "c", "nulls": 120, "null_pct": 12.0, "unique": 400},
         {"name": "d", "nulls": 1, "null_pct": 0.1, "dtype": "Int64"},
-        {"name": "e", "numeric_like": 0.95, "sample": ["1,000", "x", "2"]},
-        {"name": "f", "numeric_like": 0.9, "sample": ["1.5"]},
-        {"name": "g", "numeric_like": 1.0, "sample": ["1"]},
+        {"name": "e", "numeric_like": 0.95, "sample": ["1,000", "x", "2"], "numbers": 950, "wholes": 950},
+        {"name": "f", "numeric_like": 0.9, "sample": ["1"], "numbers": 900, "wholes": 899},
+        {"name": "g", "numeric_like": 1.0, "sample": ["1"], "numbers": 9, "wholes": 9},
     )
     got = A.suggestions(p, 5).orderBy("rank").collect()
     assert [(r.title, r.impact) for r in got] == [
@@ -133,7 +134,7 @@ def test_proposals_follow_the_goal(spark):
 
 
 def test_complexity_signals(spark):
-    prose = {"sample": ["one two three four five six seven eight nine"], "unique": 900}
+    prose = {"mean_words": 9.0, "unique": 900}
     p = profile(spark, {"name": "email", "unique": 400}, {"name": "hotel", "unique": 400}, {"name": "t1", **prose}, {"name": "t2", **prose})
     got = {r.code: (r.severity, r.points, r.columns) for r in A.complexity_signals(p, 0.15).collect()}
     assert got == {"pii": ("warn", 1, ["email", "hotel"]), "unstructured_text": ("critical", 3, ["t1", "t2"]), "nonlinear_anomalies": ("warn", 2, [])}

@@ -11,6 +11,8 @@ from cleanloom.llm.common import free_name, read, ref
 from cleanloom.session import stored
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Near copies share 80 of 100 shingles of five words.
+WORDS, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each linked group. Rows without id or words stay; so do repeated rows of a kept id and text."""
-    found = jaccard.join_components(docs)
+    found = jaccard.join_components(docs, words=WORDS, percent=PERCENT)
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id", F.col("row")).distinct()
     row = free_name(docs, "row_hash")
     keyed = docs.withColumn(row, F.xxhash64("text"))

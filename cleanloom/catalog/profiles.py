@@ -53,7 +53,8 @@ def profile_nulls(spark, sf_dir):
     return P.null_profile(_messy(spark, sf_dir), COLUMNS)
 
 
-LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query("profile_unique", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS \"unique\" FROM lineitem" for c in LINE_COLUMNS))

@@ -1,7 +1,7 @@
 """Isolation forest: anomaly scores and removal of anomalous rows.
 
-One hundred trees over at most 256 drawn rows each. Draws depend only on the
-seed, the tree, the slot and the row key, so a replay gives the same forest at
+One hundred trees over at most 256 rows each, drawn from the whole table. Draws
+depend only on the seed, the tree, the slot and the row keys, so a replay gives the same forest at
 any partitioning. Trees are built in parallel, each from its own few rows; the
 finished forest is a small table that every task uses to score its rows.
 
@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cleanloom.functions.text import is_numeric
-from cleanloom.operators.base import Op, Operator, RowOrder, dtype_of
+from cleanloom.operators.base import Op, Operator, RowOrder, dtype_of, ref
 from cleanloom.operators.scaling import imputed_features
 from cleanloom.plans.ordering import as_keys
 from cleanloom.plans.quantiles import LAST_BRACKET_ROWS, order_statistics
@@ -36,7 +36,8 @@ CONTAMINATION_MIN, CONTAMINATION_MAX, CONTAMINATION_DEFAULT = 0.001, 0.4, 0.05
 FEWEST_ROWS = 20
 ANOMALY_SCORE = 0.62
 SCAN_FEWEST_ROWS, SCAN_FEWEST_FEATURES = 50, 2
-POOL_ROWS = 65_536
+# Hash buckets of the draws: few enough coarse ones to collect their counts, many fine ones inside each.
+COARSE_BITS, FINE_BITS = 12, 14
 SCORE_DIGITS = 12
 NODE_FIELDS = ["feature", "split", "left", "end"]
 
@@ -51,31 +52,33 @@ def default_features(df: DataFrame, order: RowOrder) -> list[str]:
 
 
 def _draws(df: DataFrame, filled: dict[str, Column], keys: list[str], rows: int, seed: int, trees: int, sample: int) -> DataFrame:
-    """Rows of every tree, drawn with replacement.
+    """Rows of every tree, drawn with replacement from the whole table.
 
-    The draws come from a pool: the rows with the smallest key hash, which is
-    the whole table up to POOL_ROWS rows and a uniform sample beyond.
+    A draw is a position in the order of the key hashes. Counts per bucket of hashes turn it into a bucket and a place
+    inside, so only the drawn buckets are shuffled and sorted; at most trees x sample draws reach the driver.
     """
-    names = [f"x{i}" for i in range(len(filled))]
-    hashed = df.select(F.xxhash64(F.lit(seed), *keys).alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+    spark = df.sparkSession
+    names, ids = [f"x{i}" for i in range(len(filled))], [f"k{i}" for i in range(len(keys))]
+    hashed = df.select(F.xxhash64(F.lit(seed), *map(ref, keys)).alias("h"), *[ref(k).alias(i) for k, i in zip(keys, ids)],
                        *[c.alias(n) for n, c in zip(names, filled.values())])
-    pool = hashed
-    size = min(rows, POOL_ROWS)
-    if rows > POOL_ROWS:
-        # Keep slightly more than needed by threshold, then cut exactly.
-        share = min(1.0, 1.1 * POOL_ROWS / rows)
-        bar = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-        near = hashed.filter(F.col("h") < F.lit(bar))
-        pool = near if near.count() >= POOL_ROWS else hashed
-    by_hash = ["h", *[f"k{i}" for i in range(len(keys))]]
-    pool = pool.orderBy(*by_hash).limit(size)
-    numbered = pool.withColumn("pos", F.row_number().over(Window.orderBy(*by_hash)) - 1).select("pos", *names)
-    slots = df.sparkSession.range(trees * sample).select(
-        F.floor(F.col("id") / sample).cast("int").alias("tree"), F.pmod("id", F.lit(sample)).cast("int").alias("slot")
-    )
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "tree", "slot"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = slots.withColumn("pos", F.floor(u * F.lit(float(size))).cast("int"))
-    return drawn.join(numbered, "pos").select("tree", "slot", *names)
+    hashed = hashed.withColumn("coarse", F.shiftrightunsigned("h", 64 - COARSE_BITS).cast("int"))
+    hashed = hashed.withColumn("fine", F.shiftrightunsigned("h", 64 - COARSE_BITS - FINE_BITS).bitwiseAND(F.lit((1 << FINE_BITS) - 1)).cast("int"))
+    counts = hashed.groupBy("coarse", "fine").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sorted((r.coarse, r.n) for r in counts.groupBy("coarse").agg(F.sum("n").alias("n")).collect())
+    ends = np.cumsum([n for _, n in sizes])
+    drawn = np.concatenate([np.random.default_rng([seed, tree, 1]).integers(0, ends[-1], sample) for tree in range(trees)])
+    which = np.searchsorted(ends, drawn, side="right")
+    starts = ends - [n for _, n in sizes]
+    places = [(i // sample, i % sample, sizes[w][0], int(p - starts[w])) for i, (w, p) in enumerate(zip(which.tolist(), drawn.tolist()))]
+    places = spark.createDataFrame(places, "tree int, slot int, coarse int, place long")
+    running = F.sum("n").over(Window.partitionBy("coarse").orderBy("fine"))
+    buckets = counts.withColumn("end", running)
+    inside = (F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("n"))
+    found = buckets.join(F.broadcast(places), "coarse").where(inside).select("tree", "slot", "coarse", "fine", (F.col("place") - F.col("end") + F.col("n")).alias("at"))
+    found = spark.createDataFrame(found.collect(), "tree int, slot int, coarse int, fine int, at long")
+    near = hashed.join(F.broadcast(found.select("coarse", "fine").distinct()), ["coarse", "fine"])
+    numbered = near.withColumn("at", F.row_number().over(Window.partitionBy("coarse", "fine").orderBy("h", *ids)).cast("long") - 1)
+    return numbered.join(F.broadcast(found), ["coarse", "fine", "at"]).select("tree", "slot", *names)
 
 
 def grow_tree(rows: np.ndarray, seed: int, tree: int) -> np.ndarray:

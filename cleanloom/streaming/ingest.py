@@ -1,64 +1,91 @@
-"""Streaming CSV ingest: running counters and a preview, in constant driver memory."""
+"""Streaming CSV ingest: running counters and a preview, kept in the shared folder beside the checkpoint."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from cleanloom.plans.recipe import FittedRecipe
 from cleanloom.session import scratch_path
 from cleanloom.sources.csv import PREVIEW_ROWS, READ_OPTIONS, clean_names
 
+COUNTS = "batch bigint, rows bigint, bytes bigint"
+
 
 @dataclass
 class IngestCounters:
-    """Per-batch results are keyed by batch id, so a retried batch is not counted twice."""
+    """Totals over all micro-batches ever written to ``folder``.
+
+    Each batch has its own files, replaced when the batch is tried again, so a retry or a restart counts nothing twice.
+    """
 
+    spark: SparkSession
     header: list[str]
-    batches: dict[int, tuple[int, int]] = field(default_factory=dict)
-    preview: list[tuple] = field(default_factory=list)
-    previewed: set[int] = field(default_factory=set)
+    folder: str
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(c, T.StringType()) for c in self.header])
+
+    def _read(self, part: str, schema: str | T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{part}")
+
+    def save(self, batch_id: int, batch: DataFrame) -> None:
+        """Count one micro-batch, and keep its first rows while the preview is not full."""
+        per_file = batch.groupBy("__f").agg(F.count(F.lit(1)).alias("n"), F.first("__z").alias("z"))
+        total = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("z"), F.lit(0)).alias("bytes"))
+        total.select(F.lit(batch_id).cast("bigint").alias("batch"), "rows", "bytes").write.mode("overwrite").parquet(f"{self.folder}/counts/{batch_id}")
+        earlier = self._read("counts", COUNTS).where(F.col("batch") < batch_id).agg(F.sum("rows")).first()[0] or 0
+        first = batch.drop("__f", "__z").limit(max(0, PREVIEW_ROWS - earlier))
+        if earlier < PREVIEW_ROWS:
+            first.write.mode("overwrite").parquet(f"{self.folder}/preview/{batch_id}")
+
+    def totals(self) -> Row:
+        counts = self._read("counts", COUNTS)
+        return counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("batch").alias("chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
 
     @property
     def rows(self) -> int:
-        return sum(r for r, _ in self.batches.values())
+        return self.totals().rows
 
     @property
     def bytes(self) -> int:
-        return sum(b for _, b in self.batches.values())
+        return self.totals().bytes
 
     @property
     def chunks(self) -> int:
-        return len(self.batches)
+        return self.totals().chunks
+
+    @property
+    def preview(self) -> list[tuple]:
+        """First rows that arrived, at most PREVIEW_ROWS."""
+        return [tuple(r) for r in self._read("preview", self.schema).limit(PREVIEW_ROWS).collect()]
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
-        row = (self.rows, self.chunks, self.bytes, len(self.header), len(self.preview), ",".join(self.header))
+        t = self.totals()
+        row = (t.rows, t.chunks, t.bytes, len(self.header), len(self.preview), ",".join(self.header))
         return spark.createDataFrame([row], "rows bigint, chunks int, bytes bigint, cols int, preview_rows int, header string")
 
 
 def ingest_csv_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, checkpoint: str | None = None) -> IngestCounters:
-    """Count everything that arrives in a folder of CSV files, then stop."""
+    """Count everything that arrives in a folder of CSV files, then stop.
+
+    A later call with the same ``checkpoint`` counts only what is new, and its totals cover both calls.
+    """
     names = spark.read.options(**READ_OPTIONS).csv(folder).columns
-    counters = IngestCounters(clean_names(names))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in counters.header])
+    checkpoint = (checkpoint or scratch_path(spark, "ingest")).rstrip("/")
+    counters = IngestCounters(spark, clean_names(names), f"{checkpoint}-counters")
+    # Nothing may have arrived yet: an empty table makes the folders readable.
+    for part, schema in (("counts", COUNTS), ("preview", counters.schema)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{counters.folder}/{part}/none")
     stream = (
-        spark.readStream.options(**READ_OPTIONS).option("maxFilesPerTrigger", files_per_batch).schema(schema).csv(folder)
+        spark.readStream.options(**READ_OPTIONS).option("maxFilesPerTrigger", files_per_batch).schema(counters.schema).csv(folder)
         .select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_size").alias("__z"))
     )
-
-    def absorb(batch: DataFrame, batch_id: int) -> None:
-        per_file = batch.groupBy("__f").agg(F.count(F.lit(1)).alias("n"), F.first("__z").alias("z"))
-        total = per_file.agg(F.sum("n").alias("n"), F.sum("z").alias("z")).first()
-        counters.batches[batch_id] = (total.n or 0, total.z or 0)
-        wanted = PREVIEW_ROWS - len(counters.preview)
-        if wanted > 0 and batch_id not in counters.previewed:
-            counters.preview += [tuple(r) for r in batch.drop("__f", "__z").limit(wanted).collect()]
-            counters.previewed.add(batch_id)
-
     query = (
-        stream.writeStream.foreachBatch(absorb).trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest")).start()
+        stream.writeStream.foreachBatch(lambda batch, batch_id: counters.save(batch_id, batch)).trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint).start()
     )
     query.awaitTermination()
     return counters

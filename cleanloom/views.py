@@ -34,7 +34,10 @@ EVENTS_GAPS = """
 SELECT event_id, user_id, event_type, CASE WHEN event_id % 4 <> 0 THEN NULL ELSE value END AS value FROM events
 """
 
+# Every text of the table, and one scripted goal a row beside it.
 GOALS = """
+SELECT conv_id, turn, text AS goal FROM conversations
+UNION ALL
 SELECT conv_id, turn, CASE CAST((conv_id + turn) % 9 AS INT)
   WHEN 0 THEN 'Predict customer churn with XGBoost' WHEN 1 THEN 'Forecast monthly revenue per city'
   WHEN 2 THEN 'Cluster customers into segments' WHEN 3 THEN 'I want to build a classification model'
@@ -43,8 +46,10 @@ SELECT conv_id, turn, CASE CAST((conv_id + turn) % 9 AS INT)
   ELSE 'just clean it' END AS goal FROM conversations
 """
 
-# One message per conversation row: scripted questions and the real text of the table.
+# Every text of the table, and one scripted question a row beside it.
 MESSAGES = """
+SELECT conv_id, turn, text AS message FROM conversations
+UNION ALL
 SELECT conv_id, turn, CASE CAST((conv_id + 3 * turn) % 21 AS INT)
   WHEN 0 THEN 'Hello there' WHEN 1 THEN 'please auto-clean it' WHEN 2 THEN 'what should I fix first?'
   WHEN 3 THEN 'analyze column o_totalprice' WHEN 4 THEN 'how many missing values' WHEN 5 THEN 'any duplicates?'

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,10 +63,23 @@ def test_planted_outliers_are_dropped_and_replay_is_stable(spark):
     assert kept[0] == kept[1] and max(kept[0]) < 400 and len(kept[0]) == 400
 
 
-def test_pool_is_used_beyond_its_size(spark, monkeypatch):
-    monkeypatch.setattr(forest, "POOL_ROWS", 100)
+def test_draws_reach_the_whole_table(spark):
+    df = blob(spark, 600, 5, outliers=0)
+    filled = {c: F.col(c) for c in ("a", "b")}
+    drawn = forest._draws(df, filled, ["rid"], 600, 42, trees=30, sample=200).collect()
+    per_tree = {t: sum(r.tree == t for r in drawn) for t in range(30)}
+    assert set(per_tree.values()) == {200} and len({(r.tree, r.slot) for r in drawn}) == 6000
+    # Ten draws a row are expected: none is left out, none comes far too often.
+    times = Counter((r.x0, r.x1) for r in drawn)
+    assert len(times) >= 598 and max(times.values()) < 30 and set(times) <= {(r.a, r.b) for r in df.collect()}
+
+
+def test_draws_do_not_depend_on_partitions_or_bucket_sizes(spark, monkeypatch):
     runs = [scores(blob(spark, 600, p))[1] for p in (1, 5)]
-    assert runs[0] == runs[1] and np.argsort(runs[0])[-5:].min() >= 600
+    monkeypatch.setattr(forest, "COARSE_BITS", 2)
+    monkeypatch.setattr(forest, "FINE_BITS", 1)
+    runs.append(scores(blob(spark, 600, 3))[1])
+    assert runs[0] == runs[1] == runs[2] and np.argsort(runs[0])[-5:].min() >= 600
 
 
 def test_small_tables_raise_and_nulls_take_the_median(spark):

@@ -72,6 +72,18 @@ def test_stream_counters(spark, tmp_path):
     assert (c.rows, c.chunks, c.bytes, c.header, len(c.preview)) == (180, 3, size, ["a", "b"], 100)
 
 
+def test_stream_counters_survive_a_restart(spark, tmp_path):
+    folder, checkpoint = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    (folder / "0.csv").write_text("a,b\n" + "0,1\n" * 40)
+    assert ingest_csv_stream(spark, str(folder), checkpoint=checkpoint).rows == 40
+    (folder / "1.csv").write_text("a,b\n" + "1,2\n" * 80)
+    for _ in range(2):
+        c = ingest_csv_stream(spark, str(folder), checkpoint=checkpoint)
+        assert (c.rows, c.chunks, len(c.preview)) == (120, 2, 100)
+    assert ("0", "1") in c.preview and ("1", "2") in c.preview
+
+
 def test_fitted_recipe_on_a_stream(spark, tmp_path):
     df = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("x"))
     df.write.parquet(str(tmp_path / "in"))

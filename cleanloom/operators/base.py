@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cleanloom.functions.text import dtype_name, finite, is_numeric
+from cleanloom.functions.text import dtype_name, finite, is_numeric, ref
 from cleanloom.plans.quantiles import exact_quantiles
 
 Op = dict[str, Any]
@@ -67,11 +67,6 @@ def dtype_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def ref(name: str) -> Column:
-    """Column by its exact name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def column_of(df: DataFrame, op: Op) -> str:
     column = op.get("column")
     if not column:

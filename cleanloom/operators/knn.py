@@ -20,7 +20,6 @@ Comparing every gap with every known row would be quadratic. Instead
 
 from __future__ import annotations
 
-import itertools
 import math
 import sys
 from collections.abc import Iterator
@@ -35,6 +34,7 @@ from cleanloom.operators.base import Need, Op, Operator, RowOrder, collect_stats
 from cleanloom.operators.impute import fill_null
 from cleanloom.plans.lookup import attach
 from cleanloom.plans.ordering import as_keys, with_bucket, with_row_number
+from cleanloom.session import stored
 
 # Neighbour count range and default, and the feature limit.
 K_MIN, K_MAX, K_DEFAULT = 1, 25, 5
@@ -56,11 +56,19 @@ def feature_columns(df: DataFrame, column: str, order: RowOrder) -> list[str]:
     return names
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A name that no column of the table begins with."""
+    while any(c.lower().startswith(wanted) for c in df.columns):
+        wanted += "x"
+    return wanted
+
+
 def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFrame:
     column, k = column_of(df, op), clamp_k(op.get("k"))
     target = to_numeric(ref(column), dtype_of(df, column))
     features = op.get("features") or feature_columns(df, column, order)
-    views = {f"f{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
+    prefix, hit = free_name(df, "f"), free_name(df, "answer")
+    views = {f"{prefix}{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("d", F.approx_count_distinct))]
     missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("known"), F.approx_count_distinct(missing).alias("masks"), *aggs).first()
@@ -82,15 +90,15 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
         source, rid = with_row_number(df, keys, "__rid", seen.rows), "__rid"
     # + 0.0 turns -0.0 into 0.0, so equal features are one group.
     base = source.select(
-        F.col(rid).cast("bigint").alias("rid"), target.alias("y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()]
+        ref(rid).cast("bigint").alias("rid"), target.alias("y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()]
     )
     scale = [(seen[f"{n}_m"] or 0.0, seen[f"{n}_s"] or 1.0) for n in names]
     answers, gaps = _solve(base, names, scale, k, seen)
     if answers is None:
         return with_values(df, {column: target})
     wide = source.select("*", target.alias("__y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()])
-    merged = attach(wide, answers, names, "weight", seen.rows - seen.known, gaps, F.col("__y").isNull())
-    result = F.coalesce(F.col("__y"), F.col("answer"))
+    merged = attach(wide, answers.withColumnRenamed("answer", hit), names, "weight", seen.rows - seen.known, gaps, F.col("__y").isNull())
+    result = F.coalesce(F.col("__y"), ref(hit))
     return merged.select(*[result.alias(c) if c == column else ref(c) for c in df.columns])
 
 
@@ -107,16 +115,31 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
         *[f(n).alias(f"{t}_{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max))],
     )
     asking = gaps.groupBy("cell").agg(F.count(F.lit(1)).alias("gaps"))
-    frame = boxes.join(asking, "cell", "full").fillna(0, ["rows", "gaps"]).toPandas()  # at most MAX_CELLS rows
+    frame = boxes.join(asking, "cell", "full").fillna(0, ["rows", "gaps"]).toPandas()  # one row a cell: about MAX_CELLS
     n_gaps = int(frame["gaps"].sum())
     cells = _Cells.of(frame, names, scale)
     if not len(cells.ids):
         return None, 0
     spark = base.sparkSession
     plan = spark.sparkContext.broadcast(vars(cells))
+    d = len(names)
+    vector = [(n, F.coalesce(F.col(n), F.lit(float("nan"))).alias(n)) for n in names]
+    # Gaps of a cell travel together (a crowded cell in several parts): they share the search for cells in reach.
+    crowd = spark.createDataFrame(
+        [(int(c), -(-int(g) // GAPS_PER_TASK)) for c, g in zip(frame["cell"], frame["gaps"]) if g], "cell bigint, parts int")
+    part = F.pmod(F.xxhash64(*names), F.col("parts"))
+    asking = gaps.join(F.broadcast(crowd), "cell").repartition("cell", part).sortWithinPartitions("cell", *names)
+    asks = stored(asking.select("cell", *[c for _, c in vector]).mapInPandas(
+        lambda it: _ask(it, _Cells(**plan.value), k), "cell bigint, packet int, q array<double>"
+    ), "knn-asks")
+    # A cell that many gaps ask, wherever they come from, gets copies enough that no task meets too many of them.
+    asked = {r.cell: r.gaps for r in asks.where("packet = 0").groupBy("cell").agg((F.sum(F.size("q")) / d).alias("gaps")).collect()}
     sizes = spark.createDataFrame(
-        [(int(c), int(p), int(r)) for c, p, r in zip(cells.ids, cells.packets, cells.copies)], "cell bigint, packets int, copies int"
+        [(int(c), int(p), max(1, math.ceil(asked.get(int(c), 0) / GAPS_PER_TASK))) for c, p in zip(cells.ids, cells.packets)],
+        "cell bigint, packets int, copies int"
     )
+    copy = F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy")
+    asks = asks.join(F.broadcast(sizes), "cell").select("cell", "packet", copy, "q")
     packets = (
         useful.join(F.broadcast(sizes), "cell")
         .withColumn("packet", F.pmod(F.xxhash64("rid"), F.col("packets")).cast("int"))
@@ -126,16 +149,6 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .drop("copies")
     )
-    d = len(names)
-    vector = [(n, F.coalesce(F.col(n), F.lit(float("nan"))).alias(n)) for n in names]
-    # Gaps of a cell travel together (a crowded cell in several parts): they share the search for cells in reach.
-    crowd = spark.createDataFrame(
-        [(int(c), -(-int(g) // GAPS_PER_TASK)) for c, g in zip(frame["cell"], frame["gaps"]) if g], "cell bigint, parts int")
-    part = F.pmod(F.xxhash64(*names), F.col("parts"))
-    asking = gaps.join(F.broadcast(crowd), "cell").repartition("cell", part).sortWithinPartitions("cell", *names)
-    asks = asking.select("cell", *[c for _, c in vector]).mapInPandas(
-        lambda it: _ask(it, _Cells(**plan.value), k), "cell bigint, packet int, copy int, q array<double>"
-    )
     meetings = asks.join(packets, ["cell", "packet", "copy"])
     found = meetings.select("q", *names, "rid", "y").mapInPandas(
         lambda it: _meet(it, names, scale, k), ", ".join([*[f"{n} double" for n in names], "d double", "rid bigint", "y double"])
@@ -170,7 +183,7 @@ def _with_cells(base: DataFrame, names: list[str], seen) -> DataFrame:
             if at + 1 < CELL_ROUNDS:
                 vectors = F.approx_count_distinct(F.xxhash64(*[F.coalesce(n, F.lit(float("nan"))) for n in names]))
                 sizes = out.filter(F.col("y").isNotNull()).groupBy("cell").agg(vectors.alias("n"))
-                big = sizes.filter(F.col("n") > limit).select("cell").collect()  # fewer than MAX_CELLS
+                big = sizes.filter(F.col("n") > limit).select("cell").collect()
                 if not big:
                     break
                 crowded, wanted = spark.createDataFrame(big, "cell bigint"), max(8, wanted // len(big))
@@ -195,8 +208,8 @@ def _split(celled: DataFrame, crowded: DataFrame, binned: list[str], bins: int)
 class _Cells:
     """Bounding boxes of the cells in z-space; small, shipped to every task."""
 
-    def __init__(self, ids, rows, packets, copies, lo, hi, scale):
-        self.ids, self.rows, self.packets, self.copies = ids, rows, packets, copies
+    def __init__(self, ids, rows, packets, lo, hi, scale):
+        self.ids, self.rows, self.packets = ids, rows, packets
         self.lo, self.hi, self.scale = lo, hi, scale
 
     @staticmethod
@@ -206,8 +219,7 @@ class _Cells:
         m, s = np.array([a for a, _ in scale]), np.array([b for _, b in scale])
         lo = (used[[f"lo_{n}" for n in names]].to_numpy(float) - m) / s
         hi = (used[[f"hi_{n}" for n in names]].to_numpy(float) - m) / s
-        copies = np.maximum(1, -(-used["gaps"].to_numpy(np.int64) // GAPS_PER_TASK))
-        return _Cells(used["cell"].to_numpy(np.int64), rows, np.maximum(1, -(-rows // PACKET_ROWS)), copies, lo, hi, (m, s))
+        return _Cells(used["cell"].to_numpy(np.int64), rows, np.maximum(1, -(-rows // PACKET_ROWS)), lo, hi, (m, s))
 
     def reach(self, low: np.ndarray, high: np.ndarray, k: int, among: np.ndarray) -> np.ndarray:
         """Which of the cells ``among`` may hold one of the k nearest rows of a point in the boxes low..high (boxes x cells)."""
@@ -236,7 +248,6 @@ def _ask(batches: Iterator[pd.DataFrame], cells: _Cells, k: int) -> Iterator[pd.
     """
     m, s = cells.scale
     everywhere = np.arange(len(cells.ids))
-    message = itertools.count()
     for batch in batches:
         for _, group in batch.groupby("cell", sort=False):
             raw = group.drop(columns="cell").to_numpy(float)
@@ -251,10 +262,10 @@ def _ask(batches: Iterator[pd.DataFrame], cells: _Cells, k: int) -> Iterator[pd.
                 for i in np.flatnonzero(hit.any(axis=0)):
                     ci, mine = short[i], raw[at:at + step][hit[:, i]]
                     for lo in range(0, len(mine), GAPS_PER_PACKET):
-                        piece, copy = mine[lo:lo + GAPS_PER_PACKET].ravel(), next(message) % int(cells.copies[ci])
-                        out.extend((int(cells.ids[ci]), p, copy, piece) for p in range(int(cells.packets[ci])))
+                        piece = mine[lo:lo + GAPS_PER_PACKET].ravel()
+                        out.extend((int(cells.ids[ci]), p, piece) for p in range(int(cells.packets[ci])))
                 if out:
-                    yield pd.DataFrame(out, columns=["cell", "packet", "copy", "q"])
+                    yield pd.DataFrame(out, columns=["cell", "packet", "q"])
 
 
 def _meet(batches: Iterator[pd.DataFrame], names: list[str], scale: list[tuple[float, float]], k: int) -> Iterator[pd.DataFrame]:

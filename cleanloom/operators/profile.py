@@ -41,7 +41,7 @@ def _position(order: RowOrder) -> Column:
 
 def first_rows(df: DataFrame, order: RowOrder, n: int) -> DataFrame:
     """The first n rows in order (a bounded top-n, not a sort of the table)."""
-    return df.orderBy(*order.order_by).limit(n)
+    return df.orderBy(*map(ref, order.order_by)).limit(n)
 
 
 def value_tally(df: DataFrame, columns: Sequence[str], order: RowOrder, exact: bool = False) -> DataFrame:

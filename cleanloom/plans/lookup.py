@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cleanloom.functions.text import ref
+
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 SPREAD = 1_024
@@ -30,16 +32,16 @@ def attach(
     rest is matched by shuffle.
     """
     payload = [c for c in lookup.columns if c not in (*keys, weight)]
-    named = lookup.select(*[F.col(k).alias(f"__k_{k}") for k in keys], weight, F.struct(*payload).alias("__hit"))
+    named = lookup.select(*[ref(k).alias(f"__k_{k}") for k in keys], ref(weight).alias("__weight"), F.struct(*map(ref, payload)).alias("__hit"))
     fact = fact.withColumn("__need", needed)
-    kept = [c for c in fact.columns if c != "__need"]
-    opened = [F.col(f"__hit.{p}").alias(p) for p in payload]
+    kept = [ref(c) for c in fact.columns if c != "__need"]
+    opened = [F.col("__hit").getField(p).alias(p) for p in payload]
     if lookup_rows <= BROADCAST_ROWS:
         return fact.join(F.broadcast(named), _same(fact, named, keys), "left").select(*kept, *opened)
     limit = max(1, rows // HOT_KEYS)
-    hot = named.filter(F.col(weight) > limit).drop(weight)
-    cold = named.filter(F.col(weight) <= limit).drop(weight).withColumn("__zero", F.lit(0).cast("bigint"))
-    step = fact.join(F.broadcast(hot), _same(fact, hot, keys), "left").select(*fact.columns, F.col("__hit").alias("__hot"))
+    hot = named.filter(F.col("__weight") > limit).drop("__weight")
+    cold = named.filter(F.col("__weight") <= limit).drop("__weight").withColumn("__zero", F.lit(0).cast("bigint"))
+    step = fact.join(F.broadcast(hot), _same(fact, hot, keys), "left").select(*map(ref, fact.columns), F.col("__hit").alias("__hot"))
     settled = F.col("__hot").isNotNull() | ~F.col("__need")
     salt = F.when(settled, 1 + F.pmod(F.xxhash64(*kept), F.lit(SPREAD))).otherwise(0)
     step = step.withColumn("__salt", salt)
@@ -50,5 +52,5 @@ def attach(
 def _same(fact: DataFrame, named: DataFrame, keys: Sequence[str]) -> Column:
     cond = fact["__need"]
     for k in keys:
-        cond = cond & fact[k].eqNullSafe(named[f"__k_{k}"])
+        cond = cond & ref(k).eqNullSafe(ref(f"__k_{k}"))
     return cond

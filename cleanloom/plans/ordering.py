@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cleanloom.functions.text import is_numeric
+from cleanloom.functions.text import is_numeric, ref
 from cleanloom.session import shared_dir
 
 ROWS_PER_BLOCK = 1_000_000
@@ -40,7 +40,7 @@ def _scalar_position(df: DataFrame, keys: list[str]) -> Column | None:
     """Double that never decreases along the order, for a single sortable number or time."""
     if len(keys) != 1:
         return None
-    dt, c = df.schema[keys[0]].dataType, F.col(keys[0])
+    dt, c = df.schema[keys[0]].dataType, ref(keys[0])
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(dt, T.TimestampNTZType):
@@ -78,7 +78,7 @@ def blocked(df: DataFrame, order_by: str | Sequence[str], rows: int | None = Non
     position = _scalar_position(df, keys)
     if position is None:
         shared_dir(df.sparkSession)
-        ranged = df.repartitionByRange(blocks, *keys).checkpoint()
+        ranged = df.repartitionByRange(blocks, *map(ref, keys)).checkpoint()
         return Blocked(ranged.withColumn(BLOCK, F.spark_partition_id()), keys, rows)
     if blocks == 1:
         return Blocked(df.withColumn(BLOCK, F.lit(0)), keys, rows)
@@ -110,9 +110,9 @@ def with_row_number(df: DataFrame, order_by: str | Sequence[str], name: str = "r
     """0-based position of every row."""
     b = blocked(df, order_by, rows)
     starts = b.summary(F.count(F.lit(1)).alias("n")).select(BLOCK, _running(F.col("n")).alias("__start"))
-    local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*b.keys))
+    local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*map(ref, b.keys)))
     numbered = b.df.withColumn(LOCAL, local).join(F.broadcast(starts), BLOCK)
-    return numbered.withColumn(name, F.col("__start") + F.col(LOCAL) - 1).select(*df.columns, name)
+    return numbered.withColumn(name, F.col("__start") + F.col(LOCAL) - 1).select(*map(ref, df.columns), ref(name))
 
 
 def rows_at(df: DataFrame, order_by: str | Sequence[str], indices: Sequence[int]) -> DataFrame:
@@ -135,22 +135,22 @@ def rows_at(df: DataFrame, order_by: str | Sequence[str], indices: Sequence[int]
         start = end
     spark = df.sparkSession
     picks = spark.createDataFrame(hits, f"{BLOCK} int, {LOCAL} int")
-    local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*b.keys))
-    touched = b.df.filter(F.col(BLOCK).isin(sorted({h[0] for h in hits}))).select(BLOCK, *b.keys)
-    return touched.withColumn(LOCAL, local).join(picks, [BLOCK, LOCAL], "left_semi").select(*b.keys)
+    local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*map(ref, b.keys)))
+    touched = b.df.filter(F.col(BLOCK).isin(sorted({h[0] for h in hits}))).select(BLOCK, *map(ref, b.keys))
+    return touched.withColumn(LOCAL, local).join(picks, [BLOCK, LOCAL], "left_semi").select(*map(ref, b.keys))
 
 
 def forward_filled(df: DataFrame, column: str, order_by: str | Sequence[str], partition_by: str | Sequence[str] | None = None) -> DataFrame:
     """Replace nulls by the last earlier non-null value; leading nulls stay."""
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     b = blocked(df, order_by)
-    key = F.struct(*b.keys) if len(b.keys) > 1 else F.col(b.keys[0])
-    seen = F.col(column).isNotNull()
-    last = F.max_by(F.when(seen, F.col(column)), F.when(seen, key)).alias("__last")
+    key = F.struct(*map(ref, b.keys)) if len(b.keys) > 1 else ref(b.keys[0])
+    seen = ref(column).isNotNull()
+    last = F.max_by(F.when(seen, ref(column)), F.when(seen, key)).alias("__last")
     if groups:
         # A hot group is spread over its blocks; null groups are groups too.
         names = [f"__g{i}" for i in range(len(groups))]
-        data = b.df.select("*", *[F.col(g).alias(n) for g, n in zip(groups, names)])
+        data = b.df.select("*", *[ref(g).alias(n) for g, n in zip(groups, names)])
         parts = [*names, BLOCK]
         tails = data.groupBy(*parts).agg(last)
         before = Window.partitionBy(*names).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -159,11 +159,11 @@ def forward_filled(df: DataFrame, column: str, order_by: str | Sequence[str], pa
         tails = b.summary(last)
         before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(*[F.col(p).alias(f"c{p}") for p in parts], F.last("__last", True).over(before).alias("__carry"))
-    inside = Window.partitionBy(*parts).orderBy(*b.keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = data.withColumn(LOCAL, F.last(column, ignorenulls=True).over(inside))
+    inside = Window.partitionBy(*parts).orderBy(*map(ref, b.keys)).rowsBetween(Window.unboundedPreceding, 0)
+    local = data.withColumn(LOCAL, F.last(ref(column), ignorenulls=True).over(inside))
     matched = local[BLOCK] == carry[f"c{BLOCK}"]
     for n in names:
         matched = matched & local[n].eqNullSafe(carry[f"c{n}"])
     joined = local.join(carry if groups else F.broadcast(carry), matched, "left")
     filled = F.coalesce(F.col(LOCAL), F.col("__carry"))
-    return joined.select(*[filled.alias(c) if c == column else F.col(c) for c in df.columns])
+    return joined.select(*[filled.alias(c) if c == column else ref(c) for c in df.columns])

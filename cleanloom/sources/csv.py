@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from cleanloom.functions.text import FLOAT_TEXT, INGEST_NULLS, INT_TEXT, cast_to, display, is_text
+from cleanloom.functions.text import FLOAT_TEXT, INGEST_NULLS, INT_TEXT, cast_to, display, is_text, ref
 from cleanloom.operators.base import dtype_of
 from cleanloom.plans.lookup import BROADCAST_ROWS
 from cleanloom.plans.ordering import as_keys
@@ -125,10 +125,10 @@ def export_name(name: str) -> str:
 
 def preview(df: DataFrame, order_by: str | Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
     """First rows in order; fractions at six decimals, times as ISO dates."""
-    head = df.orderBy(*as_keys(order_by)).limit(rows)
+    head = df.orderBy(*map(ref, as_keys(order_by))).limit(rows)
 
     def cell(c: str) -> Column:
-        dt, col = dtype_of(df, c), F.col(f"`{c}`")
+        dt, col = dtype_of(df, c), ref(c)
         if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
             return F.round(col.cast("double"), 6)
         if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 import regex
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame
 
 from cleanloom.llm.common import kind, map_rows, quoted
 
-# A worker forgets its chunks and its pre-tokens beyond this many (about 60 MB each); longer ones than LONG are never kept.
-REMEMBERED, LONG = 300_000, 48
+# A worker remembers up to REMEMBERED chunks and as many pre-tokens (about 60 MB each), then the first LASTING of them, and
+# RESTING between tasks: the first ones seen are the common ones. Longer ones than LONG are never kept.
+REMEMBERED, LASTING, RESTING, LONG = 300_000, 100_000, 50_000, 48
 # Pre-tokens share a queue up to about this many bytes; a longer one has it alone.
 QUEUE_BYTES = 65_536
 # Texts of a batch are encoded together up to this many characters.
@@ -157,7 +159,7 @@ class Codec:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of texts that the pattern splits on their own. A pre-token that is a token stays whole."""
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words = first(self.words, LASTING)
         words = self.words
         spans = [self.split(chunk) for chunk in chunks]
         fresh: dict[str, bytes] = {p: b"" for parts in spans for p in parts if p not in words}
@@ -188,9 +190,9 @@ class Codec:
         No alternative of the pattern continues from other characters into white space, so a text may be cut before
         every space that follows a character other than white space. Chunks that occur again are looked up.
         """
+        if len(self.known) > REMEMBERED:
+            self.known = first(self.known, LASTING)
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         cut, fresh = [], {}
         for text in texts:
             parts = text.split(" ")
@@ -218,10 +220,18 @@ class Codec:
                 known[chunk[1:]] = ids
         return out
 
+    def rest(self) -> None:
+        """Forget most of what is remembered: workers live on and serve other tasks."""
+        self.known, self.words = first(self.known, RESTING), first(self.words, RESTING)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def first(items: dict, n: int) -> dict:
+    return dict(islice(items.items(), n))
+
+
 def joined(parts: list[str]) -> list[str]:
     """Parts between spaces, glued again where a part ends with white space, so that no run of it is cut.
 
@@ -280,6 +290,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 return {id_col: ids, "ids": packed, "decoded": [tool.decode(x) for x in packed]}
             return {id_col: ids, "n_tokens": [len(x) // 4 for x in packed], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
                     "decoded_sha256": [hashlib.sha256(tool.decode(x)).hexdigest() for x in packed]}
+        step.done = tool.rest
         return step
 
     rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+# Rows that a task turns into Python values at a time.
+SLICE_ROWS = 1_024
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -41,7 +44,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     returns one list per field of ``schema``.
 
     Without ``keep`` only the named columns leave the JVM. With it every column stays and the new ones are appended;
-    their names must be free. Memory is bounded by Spark's Arrow batches.
+    their names must be free. Batches are worked on in slices of SLICE_ROWS, so only a slice is ever held as Python
+    lists. If the function has an attribute ``done``, that is called after the task's last row.
     """
     added = StructType.fromDDL(schema)
     fields = to_arrow_schema(added)
@@ -51,13 +55,16 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            out = step(*[batch.column(i).to_pylist() for i in places])
-            new = [pa.array(out[f.name], type=f.type) for f in fields]
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
-            else:
-                yield pa.RecordBatch.from_arrays(new, schema=fields)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                out = step(*[batch.column(i).to_pylist() for i in places])
+                new = [pa.array(out[f.name], type=f.type) for f in fields]
+                if keep:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
+                else:
+                    yield pa.RecordBatch.from_arrays(new, schema=fields)
+        getattr(step, "done", int)()
 
     if not keep:
         return picked.mapInArrow(run, added)

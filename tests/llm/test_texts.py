@@ -223,6 +223,19 @@ def test_ids_equal_tiktoken_and_round_trip(docs):
     assert digest[1]["n_tokens"] == 0 and digest[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest() and digest[3]["n_tokens"] > 0
 
 
+def test_forgetting_changes_no_ids(monkeypatch):
+    tool = bpe.Codec.load(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé1 ") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(30)]
+    want = tool.encode(texts)
+    for name, n in (("REMEMBERED", 20), ("LASTING", 5), ("RESTING", 2)):
+        monkeypatch.setattr(bpe, name, n)
+    other = bpe.Codec.load(PATH, public_tokenizers.PATTERN)
+    assert [other.encode([t])[0] for t in texts] == want
+    other.rest()
+    assert len(other.known) <= 2 and len(other.words) <= 2 and other.encode(texts) == want
+
+
 def test_rank_queue_gives_lowest_first():
     rng = random.Random(4)
     queue, want = bpe.RankQueue(300_000), []

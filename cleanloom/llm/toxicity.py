@@ -25,8 +25,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 SIGN, BETWEEN, FILLER, AGAIN = -1.0, -9.0, -0.7, -2.0
 # Labelled documents that fit the classifier, words it keeps, least documents a word must occur in.
 TRAIN_ROWS, FEATURES, LEAST = 20_000, 4_096, 3
-# A worker forgets restored tokens beyond this many.
-REMEMBERED = 100_000
+# A worker forgets restored tokens beyond this many; a task passes its counts of terms on beyond COUNTED.
+REMEMBERED, COUNTED = 100_000, 50_000
 _EDGE = ".,;:!?\"'()[]{}<>«»¡¿…-–—"
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -192,12 +192,19 @@ def telling(labelled: DataFrame, channel, positives: int, negatives: int) -> lis
     def run(batches):
         tally: dict[str, list[int]] = {}
         tool = channel.value
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[1] for v in tally.values()], pa.int64()),
+                                               pa.array([v[0] for v in tally.values()], pa.int64())], names=["term", "p", "n"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for t in terms(tool.restore(text or "")[0]):
                     tally.setdefault(t, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[1] for v in tally.values()], pa.int64()),
-                                          pa.array([v[0] for v in tally.values()], pa.int64())], names=["term", "p", "n"])
+                if len(tally) > COUNTED:
+                    yield out()
+                    tally.clear()
+        yield out()
 
     counts = labelled.select("text", "toxic").mapInArrow(run, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     counts = counts.where((F.col("p") + F.col("n") >= LEAST) & (F.col("p") > 0))

@@ -80,7 +80,10 @@ def test_stages_take_effect(spark, tmp_path):
     clean = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)]
     item = "Seven quiet painters carried their ladders across the frozen square before noon"
     texts = [t + (" stupid moron" if i % 6 == 0 else "") for i, t in enumerate(clean)]
-    texts += [clean[1] + " end", clean[2] + f" {item} yes", clean[3].upper(), None, "", "mail me@home.org or call"]
+    texts += [clean[1] + " end", clean[2] + f" {item} and {item} yes", clean[3].upper(), None, "", "mail me@home.org or call"]
+    # One changed word of fifty is a near copy (41 of 51 shingles of five words), two are not (36 of 56).
+    fifty = [f"{chr(97 + i // 8)}{chr(97 + i % 8)}x" for i in range(50)]
+    texts += [" ".join("other" if i in changed else w for i, w in enumerate(fifty)) for changed in ((), (25,), (10, 40))]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(100)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -94,7 +97,7 @@ def test_stages_take_effect(spark, tmp_path):
             kept.append({r[0] for r in docs.select("doc_id").collect()})
     everything = set(range(len(texts)))
     assert everything - kept[0] == {i for i in range(120) if i % 6 == 0}
-    assert kept[0] - kept[1] == {120, 122} and kept[1] - kept[2] == {121} and kept[3] == kept[2]
+    assert kept[0] - kept[1] == {120, 122, 127} and kept[1] - kept[2] == {121} and kept[3] == kept[2]
     assert docs.where("doc_id = 125").first()["text"] == "mail [EMAIL] or call"
     final = out.collect()
     assert {r["doc_id"] for r in final} == kept[3] and corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)

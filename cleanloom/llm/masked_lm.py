@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import kind, map_rows, quoted, ref
+from cleanloom.llm.common import map_rows, ref
+from cleanloom.session import stored
 
 # Classes of tokens: the commonest WORDS words, and shapes of all others. Class 0 is the border of a document.
-WORDS, SHAPES = 95, 32
+WORDS, SHAPES = 223, 32
 CLASSES = 1 + WORDS + SHAPES
 # Hidden units and training steps; one step sees every context of the corpus.
 HIDDEN, STEPS, RATE = 24, 120, 0.05
-# Tokens classified at a time, and words a task counts before it passes its counts on.
-SLICE, COUNTED = 1_000_000, 200_000
+# Tokens classified at a time, words a task counts before it passes its counts on, and contexts in one product of the network.
+SLICE, COUNTED, CONTEXTS = 1_000_000, 200_000, 4_096
+# Words whose counts every task holds (all others are joined; no result depends on it), and the count taken from each word for unseen ones.
+HELD, DISCOUNT = 50_000, 0.5
 
 
 def tokens(text: str | None) -> list[str]:
@@ -35,8 +38,8 @@ def shape(token: str) -> int:
     return size * 3 + (0 if last.isalpha() else 1 if last in ".!?" else 2)
 
 
-def common_words(df: DataFrame, text_col: str, words: int = WORDS) -> list[str]:
-    """The commonest tokens by counts over every whole text, ties in order of the text.
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """``word, n`` of every distinct token of every whole text.
 
     Tasks pre-aggregate their tokens in tables of bounded size before the shuffle.
     """
@@ -55,8 +58,51 @@ def common_words(df: DataFrame, text_col: str, words: int = WORDS) -> list[str]:
                     tally.clear()
         yield out()
 
-    counts = df.select(ref(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    return df.select(ref(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(df: DataFrame, text_col: str, words: int = WORDS) -> list[str]:
+    """The commonest tokens by counts over every whole text, ties in order of the text."""
+    return [r[0] for r in commonest(word_counts(df, text_col), words)]
+
+
+def commonest(counts: DataFrame, words: int) -> list:
+    return counts.orderBy(F.desc("n"), "word").limit(words).collect()
+
+
+def word_table(counts: DataFrame, words: list[str]) -> DataFrame:
+    """``word, n, class`` of every counted token."""
+    def make():
+        classer = Classer(words)
+        return lambda found, n: {"word": found, "n": n, "class": [classer.known.get(w) or 1 + WORDS + shape(w) for w in found]}
+
+    return map_rows(counts, ["word", "n"], "word string, n long, class int", make)
+
+
+class Spelling:
+    """Log-probability of an unseen token letter by letter, from the letters of each distinct token and its end."""
+
+    def __init__(self, letters: dict[str, int]):
+        total, kinds = sum(letters.values()), len(letters)
+        # Letters never met share the mass of as many sightings as there are kinds of letters.
+        self.log = {c: float(np.log(n / (total + kinds))) for c, n in letters.items()}
+        self.other = float(np.log(max(1, kinds) / max(1, total + kinds) / 1_114_113))
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> "Spelling":
+        def run(batches):
+            tally: dict[str, int] = {}
+            for batch in batches:
+                for w in batch.column(0).to_pylist():
+                    for c in w:
+                        tally[c] = tally.get(c, 0) + 1
+                    tally[""] = tally.get("", 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["letter", "n"])
+
+        return cls({r[0]: r[1] for r in counts.select("word").mapInArrow(run, "letter string, n long").groupBy("letter").agg(F.sum("n")).collect()})
+
+    def __call__(self, token: str) -> float:
+        return sum(self.log.get(c, self.other) for c in token) + self.log.get("", self.other)
 
 
 class Classer:
@@ -101,9 +147,10 @@ def context_counts(df: DataFrame, text_col: str, words: list[str]) -> np.ndarray
             part = cells[at:at + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["cell", "n"])
 
-    got = df.select(ref(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = df.select(ref(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES ** 3)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy()
+    for batch in got.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.reshape(CLASSES, CLASSES, CLASSES)
 
 
@@ -127,14 +174,19 @@ class Network:
              np.log((counts.sum((0, 1)) + 0.5) / (counts.sum() + 0.5 * size))]
         m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
         a, b = np.nonzero(counts.sum(2))
-        target, total = counts[a, b].astype(np.float32), max(1.0, counts.sum())
-        each = target.sum(1, keepdims=True)
+        total = max(1.0, counts.sum())
         for step in range(1, steps + 1 if len(a) else 1):
-            h = np.tanh(p[0][a] + p[1][b] + p[2]).astype(np.float32)
-            q = softmax(h @ p[3].astype(np.float32) + p[4].astype(np.float32))
-            dz = (q * each - target) / total
-            dh = (dz @ p[3].T.astype(np.float32)) * (1 - h * h)
-            g = [summed(a, dh, size), summed(b, dh, size), dh.sum(0), h.T @ dz, dz.sum(0)]
+            g = [np.zeros_like(x) for x in p]
+            weights, offset = p[3].astype(np.float32), p[4].astype(np.float32)
+            for at in range(0, len(a), CONTEXTS):
+                i, j = a[at:at + CONTEXTS], b[at:at + CONTEXTS]
+                target = counts[i, j].astype(np.float32)
+                h = np.tanh(p[0][i] + p[1][j] + p[2]).astype(np.float32)
+                q = softmax(h @ weights + offset)
+                dz = (q * target.sum(1, keepdims=True) - target) / total
+                dh = (dz @ weights.T) * (1 - h * h)
+                for have, more in zip(g, (summed(i, dh, size), summed(j, dh, size), dh.sum(0), h.T @ dz, dz.sum(0))):
+                    have += more
             for i in range(5):
                 m[i] = 0.9 * m[i] + 0.1 * g[i]
                 v[i] = 0.99 * v[i] + 0.01 * g[i] ** 2
@@ -143,10 +195,13 @@ class Network:
 
     def table(self) -> np.ndarray:
         """Log-probability of each class between each pair of classes."""
-        h = np.tanh(self.left[:, None] + self.right[None] + self.bias)
-        z = h.reshape(-1, h.shape[-1]) @ self.out + self.offset
-        z -= z.max(1, keepdims=True)
-        return (z - np.log(np.exp(z).sum(1, keepdims=True))).astype(np.float32).reshape(-1)
+        out = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
+        weights, offset = self.out.astype(np.float32), self.offset.astype(np.float32)
+        for k in range(CLASSES):
+            z = np.tanh(self.left[k] + self.right + self.bias).astype(np.float32) @ weights + offset
+            z -= z.max(1, keepdims=True)
+            out[k] = z - np.log(np.exp(z).sum(1, keepdims=True))
+        return out.reshape(-1)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -158,33 +213,66 @@ def summed(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], 1)
 
 
-def score_documents(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(df: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """``id, n_tokens, log_prob, mean_log_prob`` of every whole text: the sum over its tokens of the log-probability of
     each, masked, given the tokens on both sides.
 
-    Tokens are lower-cased pieces between white space, common ones as themselves and the rest by their shape. Words and
-    contexts are counted over all of ``train`` (the same table by default); the counts grow with the input until every
-    combination of classes occurs, and the network is trained on them in numpy.
+    Tokens are lower-cased pieces between white space. The log-probability of one is that of its class between the classes
+    of its neighbours, plus that of the word itself within its class. Common words are classes of their own, all others
+    share a class by shape. The first part comes from a network trained in numpy on counts of every context of ``train``
+    (the same table by default). The second comes from the counts of every word of ``train``, a table without bound on the
+    driver or in a task: (n - DISCOUNT) / tokens of the class, and what is taken off goes to unseen words by their letters.
+    Tasks hold the counts of the ``held`` commonest words and join the others.
 
     A null or empty text has no tokens, log-probability 0 and a null mean. Ids are kept as they are, null and repeated
     ones too; other columns are ignored; long texts are scored whole. Untrained (empty ``train``), all classes are alike.
     """
-    train = df if train is None else train
-    words = common_words(train, text_col)
-    net = Network.fit(context_counts(train, text_col, words))
-    shared = df.sparkSession.sparkContext.broadcast((words, net))
+    spark, source = df.sparkSession, df if train is None else train
+    counts = stored(word_counts(source, text_col), "words")
+    top = commonest(counts, max(WORDS, held))
+    words = [r[0] for r in top[:WORDS]]
+    table = word_table(counts, words)
+    sizes = {r[0]: (r[1], r[2]) for r in table.groupBy("class").agg(F.sum("n"), F.count("*")).collect()}
+    # Of one class: its tokens, and the log-probability that a token of it is an unseen word.
+    tokens_of = np.array([sizes.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64)
+    unseen = [float(np.log(DISCOUNT * sizes[c][1] / sizes[c][0])) if c in sizes else 0.0 for c in range(CLASSES)]
+    net = Network.fit(context_counts(source, text_col, words))
+    # Without texts of another table every word has been counted.
+    spelling = None if train is None else Spelling.of(counts)
+    shared = spark.sparkContext.broadcast((words, net, [tuple(r) for r in top[WORDS:held]], tokens_of, unseen, spelling))
 
     def make():
-        words, net = shared.value
+        words, net, more, tokens_of, unseen, spelling = shared.value
         classer, table = Classer(words), net.table()
+        log = {w: float(np.log((n - DISCOUNT) / tokens_of[1 + WORDS + shape(w)])) for w, n in more}
+        log.update((w, 0.0) for w in words)
 
-        def step(ids: list, texts: list) -> dict[str, list]:
-            n, total = [], []
+        def step(texts: list) -> dict[str, list]:
+            out: dict[str, list] = {"n": [], "total": [], "rest": []}
             for text in texts:
                 c = classer(text)
-                n.append(len(c) - 2)
-                total.append(float(table[(c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]].sum(dtype=np.float64)))
-            return {id_col: ids, "n_tokens": n, "log_prob": total, "mean_log_prob": [t / k if k else None for t, k in zip(total, n)]}
+                total = float(table[(c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]].sum(dtype=np.float64))
+                rest: dict[str, int] = {}
+                for w in tokens(text):
+                    known = log.get(w)
+                    if known is None:
+                        rest[w] = rest.get(w, 0) + 1
+                    else:
+                        total += known
+                out["n"].append(len(c) - 2)
+                out["total"].append(total)
+                out["rest"].append([{"word": w, "times": n, "new": spelling(w) + unseen[1 + WORDS + shape(w)] if spelling else 0.0} for w, n in rest.items()])
+            return out
         return step
 
-    return map_rows(df, [id_col, text_col], f"{quoted(id_col)} {kind(df, id_col)}, n_tokens long, log_prob double, mean_log_prob double", make)
+    # Stored, so that the numbers of the rows stay the same.
+    rows = df.select(ref(id_col).alias("id"), ref(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    kept = map_rows(rows, ["text"], "n long, total double, rest array<struct<word: string, times: int, new: double>>", make, keep=True)
+    kept = stored(kept.drop("text"), "scored")
+    per_class = F.array(*[F.lit(float(n)) for n in tokens_of])
+    price = table.select("word", F.log((F.col("n") - DISCOUNT) / per_class[F.col("class")]).alias("price"))
+    rest = kept.select("row", F.explode("rest").alias("r")).select("row", "r.*")
+    sums = rest.join(price, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("price", "new")).alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return kept.drop("rest").join(sums, "row", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), total.alias("log_prob"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_log_prob"))

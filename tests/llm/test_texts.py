@@ -146,6 +146,36 @@ def test_context_counts_equal_plain_counts(docs):
     assert np.allclose(np.exp(masked_lm.Network.fit(counts).table()).reshape(-1, masked_lm.CLASSES).sum(1), 1, atol=1e-3)
 
 
+def test_every_word_reaches_the_score(spark, docs):
+    rng = random.Random(4)
+    seen = ["".join(rng.choice("aeioust") for _ in range(rng.randint(4, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choice(seen) for _ in range(60)) for _ in range(80)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = set(masked_lm.common_words(train, "text"))
+    # The same shapes in other letters, and in the same letters dealt anew; common words stay.
+    other = [" ".join(w if w in common else "".join(rng.choice("qxzwk") for _ in w) for w in t.split()) for t in texts]
+    dealt = [" ".join(w if w in common else "".join(rng.choice("aeioust") for _ in w) for w in t.split()) for t in texts]
+    both = docs([*enumerate(texts), *((100 + i, t) for i, t in enumerate(other)), *((200 + i, t) for i, t in enumerate(dealt)), (7, texts[7]), (None, texts[7])])
+    got = [(r["doc_id"], r["log_prob"]) for r in masked_lm.score_documents(both, train).collect()]
+    by = dict(got)
+    assert len(got) == 242 and all(by[i] > by[200 + i] > by[100 + i] for i in range(80) if texts[i] != dealt[i])
+    assert [pytest.approx(by[7])] * 3 == [p for i, p in got if i in (7, None)]
+    # What tasks hold and what they join makes no difference.
+    few = dict((r["doc_id"], r["log_prob"]) for r in masked_lm.score_documents(both, train, held=0).collect())
+    assert few == {i: pytest.approx(p) for i, p in by.items()}
+
+
+def test_words_of_a_class_sum_to_one(spark, docs):
+    import numpy as np
+    words = [f"w{i:04d}" for i in range(400)]
+    df = docs([(i, f"{w} " * (1 + i % 3)) for i, w in enumerate(words)])
+    table = masked_lm.word_table(masked_lm.word_counts(df, "text"), masked_lm.common_words(df, "text")).collect()
+    assert len(table) == 400 and sum(r["n"] for r in table) == sum(1 + i % 3 for i in range(400))
+    left = [r["n"] for r in table if r["class"] > masked_lm.WORDS]
+    assert len(left) == 400 - masked_lm.WORDS and len({r["class"] for r in table}) == masked_lm.WORDS + 1
+    assert np.isclose(sum(n - masked_lm.DISCOUNT for n in left) + masked_lm.DISCOUNT * len(left), sum(left))
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 def least_distance(item, text):

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm.common import free_name, kind, map_rows, quoted, ref
 
-# Share of an item's characters that may be edited, and the length below which an item must equal the whole text.
+# Share of an item's characters that may be edited, and the length below which an item is sought between word boundaries only.
 ERROR_RATE, SHORT = 0.1, 32
+# Short items of at most this many words must equal the whole text.
+FEW_WORDS = 2
+# Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 # Items are handled in blocks of about this many characters; only one block is broadcast and indexed at a time.
 BLOCK_CHARS = 2_000_000
 
@@ -19,6 +26,20 @@ def canonical(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def words(text: str) -> int:
+    """White-space pieces with a letter or digit; letters of scripts without spaces count as half a word each."""
+    dense = len(UNSPACED.findall(text))
+    return sum(any(c.isalnum() for c in piece) for piece in UNSPACED.sub(" ", text).split()) + (dense + 1) // 2
+
+
+def is_boundary(text: str, at: int) -> bool:
+    """Whether no word of ``text`` goes on across position ``at``."""
+    if not 0 < at < len(text):
+        return True
+    a, b = text[at - 1], text[at]
+    return not (a.isalnum() and b.isalnum()) or bool(UNSPACED.match(a) or UNSPACED.match(b))
+
+
 class Pattern:
     """Bit masks of one text for Myers' edit distance."""
 
@@ -30,10 +51,17 @@ class Pattern:
 
     def distance(self, text: str) -> tuple[int, int]:
         """Least edit distance to any substring of ``text``, and the first end of such a substring."""
+        best, end = self.size, 0
+        for j, score in self.scores(text):
+            if score < best:
+                best, end = score, j
+        return best, end
+
+    def scores(self, text: str) -> Iterator[tuple[int, int]]:
+        """Each end in ``text`` with the least edit distance to a substring that ends there."""
         m = self.size
         full, high = (1 << m) - 1, 1 << (m - 1)
         plus, minus, score = full, 0, m
-        best, end = m, 0
         get = self.masks.get
         for j, c in enumerate(text, 1):
             eq = get(c, 0)
@@ -48,9 +76,7 @@ class Pattern:
             up = up << 1 & full
             plus = (down << 1 & full) | (full & ~(d | up))
             minus = up & d
-            if score < best:
-                best, end = score, j
-        return best, end
+            yield j, score
 
 
 class Item:
@@ -60,8 +86,8 @@ class Item:
     pieces has at most p - 1 edits, so a hit whose small enclosing nodes fail need not be looked at further.
     """
 
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text = item_id, text
+    def __init__(self, item_id: int, text: str, rate: float, short: bool = False):
+        self.item_id, self.text, self.short = item_id, text, short
         self.budget = int(len(text) * rate)
         self.whole = Pattern(text)
         k = self.budget + 1
@@ -84,6 +110,32 @@ class Item:
                     parts = [r[len(r) * i // p:len(r) * (i + 1) // p] for r in rest for i in range(p)]
                     self.around[leaf].insert(0, (a, b, p - 1, pattern, parts))
 
+    def between_words(self, text: str, end: int) -> int:
+        """Least edit distance to a substring that ends at ``end`` and starts at a word boundary, or more than the budget."""
+        best, item = self.budget + 1, self.text[::-1]
+        before = list(range(len(item) + 1))
+        for k in range(1, min(end, len(item) + self.budget) + 1):
+            c, now = text[end - k], [k]
+            for i, a in enumerate(item, 1):
+                now.append(min(before[i - 1] + (a != c), before[i] + 1, now[i - 1] + 1))
+            before = now
+            if now[-1] < best and is_boundary(text, end - k):
+                best = now[-1]
+        return best
+
+    def nearest(self, text: str, a: int, b: int) -> tuple[int, int]:
+        """Least edit distance to a substring of ``text[a:b]`` and its first end; of a short item between word boundaries."""
+        if not self.short:
+            distance, end = self.whole.distance(text[a:b])
+            return distance, a + end
+        best = (self.budget + 1, a)
+        for j, score in self.whole.scores(text[a:b]):
+            if score < best[0] and is_boundary(text, a + j):
+                best = min(best, (self.between_words(text, a + j), a + j), key=lambda x: x[0])
+                if best[0] == 0:
+                    break
+        return best
+
     def plausible(self, leaf: int, text: str, start: int) -> bool:
         """Whether the nodes around a leaf that occurs at ``start`` keep their budgets, small ones first."""
         origin = start - self.cuts[leaf]
@@ -107,10 +159,10 @@ class Matcher:
         self.items: list[Item] = []
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < short:
+            if len(text) < short and words(text) <= FEW_WORDS:
                 self.whole.setdefault(text, []).append(item_id)
                 continue
-            item = Item(item_id, text, rate)
+            item = Item(item_id, text, rate, len(text) < short)
             for leaf, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])):
                 where.setdefault(text[a:b], []).append((len(self.items), leaf))
             self.items.append(item)
@@ -144,10 +196,9 @@ class Matcher:
         for k, runs in windows.items():
             item, best = self.items[k], None
             for a, b in runs:
-                a = max(0, a)
-                distance, end = item.whole.distance(text[a:b])
+                distance, end = item.nearest(text, max(0, a), b)
                 if distance <= item.budget and (best is None or distance < best[0]):
-                    best = (distance, a + end)
+                    best = (distance, end)
                     if distance == 0:
                         break
             if best:
@@ -161,8 +212,8 @@ def with_matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     An item of n canonical characters (lower case, single spaces) occurs in a text if some substring is within
     ``floor(rate * n)`` edits. It is cut into one piece more than that; an Aho-Corasick automaton finds every exact piece,
-    and Myers' bit vectors verify the windows around the hits, so no occurrence is lost. Items below ``short`` characters
-    must equal the whole text. Null and empty items match nothing; null texts hold nothing; repeated items and rows
+    and Myers' bit vectors verify the windows around the hits, so no occurrence is lost. The substring of an item
+    below ``short`` characters must start and end at word boundaries, and one of at most FEW_WORDS words must equal the whole text. Null and empty items match nothing; null texts hold nothing; repeated items and rows
     each count; long texts are scanned whole.
 
     The items are broadcast in blocks of about ``block_chars`` characters, one pass over the texts a block, so memory

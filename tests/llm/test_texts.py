@@ -218,6 +218,46 @@ def test_leaks_in_blocks_and_edges(spark, docs):
     assert decontaminate.find_leaks(docs([]), benchmark.limit(0)).collect() == []
 
 
+def test_short_items_inside_texts(spark, docs):
+    items = ["Who wrote Hamlet?", "is it so", "法国的首都是哪里", "two words"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, "The quiz began: who  wrote\nhamlet? Nobody knew."), (2, "The quiz began: who wrot hamlet? Nobody knew."), (3, "Who sold Hamlet?"),
+            (4, "well is it so, they said"), (5, "this it so"), (6, "is it some"), (7, "请问法国的首都是哪里呢"), (8, "just two words"), (9, "Two  words")]
+    got = {r["doc_id"]: (r["item_ids"], r["distance"]) for r in decontaminate.find_leaks(docs(rows), benchmark).collect()}
+    assert got == {1: ("0", 0), 2: ("0", 1), 3: ("", None), 4: ("1", 0), 5: ("", None), 6: ("", None), 7: ("2", 0), 8: ("", None), 9: ("3", 0)}
+
+
+def test_short_matches_equal_edit_distance_between_words():
+    def whole_distance(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(before[j - 1] + (x != y), before[j] + 1, now[j - 1] + 1))
+            before = now
+        return before[-1]
+
+    rng = random.Random(6)
+    hits = misses = 0
+    for _ in range(250):
+        item = decontaminate.canonical(" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(3, 6))))[:31].strip()
+        if decontaminate.words(item) < 3:
+            continue
+        edited = list(item)
+        for _ in range(rng.randint(0, len(item) // 10 + 1)):
+            k = rng.randrange(len(edited))
+            edited[k:k + rng.choice([0, 1])] = rng.choice(["", "a", "c "])
+        text = decontaminate.canonical(rng.choice(["ab ", "ab", "c, "]) + "".join(edited) + rng.choice([" ba", "b", "? a"]))
+        cuts, budget = [i for i in range(len(text) + 1) if decontaminate.is_boundary(text, i)], len(item) // 10
+        want = min(whole_distance(item, text[i:j]) for i in cuts for j in cuts if i < j and abs(j - i - len(item)) <= budget + 1)\
+            if any(i < j and abs(j - i - len(item)) <= budget + 1 for i in cuts for j in cuts) else 99
+        found = decontaminate.Matcher([(1, item)], 0.1, 32).find(text)
+        assert bool(found) == (want <= budget) and (not found or found[0][1] == want), (item, text)
+        hits += bool(found)
+        misses += not found and least_distance(item, text) <= budget
+    assert hits > 40 and misses > 10
+
+
 # --- language ------------------------------------------------------------------------------------------------------------
 
 def test_language_learns_and_edges(spark, docs):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import textwrap
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 # Elements whose content is never shown.
 UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas svg datalist title meta link".split())
 # Elements on lines of their own, and those with an empty line around them.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre xmp blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body div article section header footer nav aside main address form li dt dd details summary dialog "
                             "figcaption legend caption center option optgroup select tr thead tbody tfoot td th menu hgroup search".split())
 CLOSE_P = BLOCKS - frozenset("html body td th tr thead tbody tfoot caption option optgroup select".split())
@@ -27,8 +28,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 # Content that cannot stand in a head; it ends one.
 HEAD_ONLY = frozenset("title meta link base script style noscript template".split())
-# Columns are padded up to this width; longer cells keep their text and push the rest of their line.
-PAD, NESTED_TABLES, COLUMNS = 40, 16, 1000
+# Lines of cells that have others beside them are broken between words at this width; only a longer word pushes the rest of its line.
+# Deeper tables are not laid out, and one cell spans at most COLUMNS columns; below a cell columns are kept free up to that number.
+PAD, NESTED_TABLES, COLUMNS = 120, 16, 1000
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _INSIDE = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+")
@@ -153,6 +155,8 @@ def parse(source: str) -> Node:
             end = size if end < 0 else end
             if tag == "textarea":
                 node.children.append(html.unescape(source[at:end]))
+            elif tag == "xmp":
+                node.children.append(source[at:end])
             gt = source.find(">", end)
             at = size if gt < 0 else gt + 1
             continue
@@ -204,45 +208,73 @@ class Page:
                 self.now.append(part)
 
 
-def rows_of(table: Node) -> tuple[list[list[Node]], list[Node]]:
-    """Rows of cells of a table without those of tables inside it, and its other visible parts (captions)."""
-    rows, rest = [], []
+def rows_of(table: Node) -> tuple[list[tuple[int, list[Node]]], list[Node]]:
+    """Rows of cells of a table, each with the number of its row group, without those of tables inside it, and its other
+    visible parts (captions)."""
+    rows, rest, group = [], [], 0
     todo = [iter(table.children)]
     while todo:
         child = next(todo[-1], None)
         if child is None:
             todo.pop()
+            group += 1
         elif isinstance(child, str):
             if child.strip():
                 rest.append(child)
         elif child.hidden():
             continue
         elif child.tag == "tr":
-            rows.append([c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and not c.hidden()])
+            rows.append((group, [c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and not c.hidden()]))
         elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
             todo.append(iter(child.children))
+            group += 1
         else:
             rest.append(child)
     return rows, rest
 
 
+def span_of(cell: Node | str, name: str) -> int:
+    span = (cell.get(name) or "1") if isinstance(cell, Node) and cell.attributes else "1"
+    return int(span) if span.isascii() and span.isdigit() and len(span) < 6 else 1
+
+
+def broken(lines: list[str]) -> list[str]:
+    """Lines of at most PAD characters, but for longer words."""
+    return [part for line in lines for part in (textwrap.wrap(line, PAD, break_long_words=False, break_on_hyphens=False, expand_tabs=False,
+                                                              replace_whitespace=False) if len(line) > PAD else [line])]
+
+
 def table_lines(table: Node, depth: int) -> list[str]:
     """Cells in aligned columns, two spaces apart; cells of several lines fill lines of their own below each other."""
     rows, rest = rows_of(table)
     grid: list[list[list[str]]] = []
-    for row in rows:
+    # Columns that cells from above still fill, by the number of rows they go on.
+    taken: dict[int, int] = {}
+    last = None
+    for group, row in rows:
+        if group != last:
+            taken, last = {}, group
         cells: list[list[str]] = []
+        more: dict[int, int] = {}
         for cell in row:
+            while len(cells) in taken:
+                cells.append([""])
+            at = len(cells)
             lines = [x for x in render(cell if isinstance(cell, Node) else Node("td", "", [cell]), depth + 1) if x] or [""]
             cells.append(lines)
-            span = (cell.get("colspan") or "1") if isinstance(cell, Node) and cell.attributes else "1"
-            cells += [[""]] * (min(COLUMNS, int(span)) - 1 if span.isascii() and span.isdigit() and len(span) < 5 else 0)
+            cells += [[""]] * (min(COLUMNS, span_of(cell, "colspan")) - 1)
+            # Zero rows: to the end of the group.
+            down = (span_of(cell, "rowspan") or len(rows)) - 1
+            if down:
+                more.update(dict.fromkeys(range(at, min(COLUMNS, len(cells))), down))
+        taken = {k: n - 1 for k, n in taken.items() if n > 1} | more
+        cells = [broken(c) for c in cells[:-1]] + cells[-1:]
         if cells:
             grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
         for k, lines in enumerate(cells[:-1]):
-            width[k] = min(PAD, max(width.get(k, 0), max(map(len, lines))))
+            width[k] = max(width.get(k, 0), max((len(x) for x in lines if len(x) <= PAD), default=0))
     out = [line for part in rest for line in render(part if isinstance(part, Node) else Node("caption", "", [part]), depth + 1) if line]
     for cells in grid:
         for i in range(max(map(len, cells))):
@@ -267,7 +299,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             if tag == "li" or tag in ("blockquote", "dd"):
                 page.line()
                 page.indent = saved[0]
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 exact -= 1
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 page.gap()
@@ -310,7 +342,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             page.indent, page.mark = (page.indent + " " * len(mark))[:80], mark
         elif tag in ("blockquote", "dd"):
             page.indent = (page.indent + "  ")[:80]
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             exact += 1
         todo.append((item, saved))
         children = item.children
@@ -331,7 +363,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """``id, text, n_chars, n_lines`` of every page.
 
     Text keeps its blocks on lines of their own, an empty line around paragraphs, headings, lists and tables, marks and
-    indents of list items, breaks of preformatted text, and table cells in aligned columns. Hidden elements (``hidden``,
+    indents of list items, breaks of preformatted text, and table cells in aligned columns (known limits: PAD, NESTED_TABLES, COLUMNS). Hidden elements (``hidden``,
     ``display: none``, ``visibility: hidden``, closed dialogs and details), heads, scripts and styles are left out.
 
     A null page gives null text and zero counts; an empty one empty text. Broken and very long pages are rendered whole.

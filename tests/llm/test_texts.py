@@ -411,6 +411,16 @@ def test_layout(source, text):
     assert html_text.to_text(source) == text
 
 
+def test_cells_stay_in_their_columns():
+    long = " ".join(["word"] * 40)
+    lines = html_text.to_text(f"<table><tr><td>{'a' * 60}<td>1<tr><td>b<td>2<tr><td>{long}<td>3</table>").split("\n")
+    assert len({line.rindex(n) for n in "123" for line in lines if line.endswith(n)}) == 1
+    assert "".join(lines).count("word") == 40
+    assert html_text.to_text("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>") == "ab  c\n    d\ne   f"
+    assert html_text.to_text("<table><tr><td>x<td rowspan=0>up<td>c<tr><td>y<td>d<tbody><tr><td>z<td>e</table>") == "x  up  c\ny      d\nz  e"
+    assert html_text.to_text("a<xmp><b>x &amp; y</b>\n  z</xmp>b") == "a\n\n<b>x &amp; y</b>\n  z\n\nb"
+
+
 def test_broken_and_deep_pages(spark):
     for source in ("<div>" * 50_000 + "deep", "<b>" * 5000 + "</i>" * 5000 + "x", "<table><tr><td>" * 200 + "n", "<p>" * 3000 + "x", "<a href='" * 2000):
         assert len(html_text.to_text(source)) < 10

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, pii, topk, toxicity, url_filter
+from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, merkle, pii, topk, toxicity, url_filter
 from cleanloom.llm.common import in_fold, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(read(spark, folder, "pages"))
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.dataset_manifest(read(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_url_filter, op3_topk, op4_toxicity, op5_masked_lm, op6_decontaminate, op7_language, op8_bpe,
-                            op9_jaccard_join, op10_html_text, pipeline)}
+                            op9_jaccard_join, op10_html_text, op12_merkle, pipeline)}
 
 URL_SQL = r"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
@@ -110,4 +114,39 @@ t(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT z.v, t.r FROM t JOIN
 SELECT n.doc_id, n_shingles, CAST(min(t.r) AS BIGINT) AS component_id FROM n JOIN t USING (doc_id) GROUP BY ALL
 """
 
-ORACLES = {"op2_url_filter": URL_SQL, "op3_topk": TOPK_SQL, "op9_jaccard_join": JACCARD_SQL}
+MERKLE_SQL = r"""
+WITH RECURSIVE e AS (SELECT *, CAST(doc_id AS VARCHAR) AS i, CAST(n_chars AS VARCHAR) AS c, CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR) AS c1 FROM documents),
+f AS (SELECT doc_id, i, coalesce(concat(strlen(lang), ':', lang), '-') AS tree, lang,
+             concat(coalesce(concat(strlen(i), ':', i), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-')) AS head,
+             coalesce(concat(strlen(c), ':', c), '-') AS mid, coalesce(concat(strlen(c1), ':', c1), '-') AS mid1, coalesce(concat(strlen(text), ':', text), '-') AS tail FROM e),
+-- CRC-32 of the id's decimal digits, bit by bit.
+z AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(i, ''), lambda s: ascii(s)::BIGINT)),
+                    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS hit FROM f),
+l AS (SELECT doc_id, tree, lang, sha256(concat(head, mid, tail)) AS leaf, CASE WHEN hit THEN sha256(concat(head, mid1, tail)) END AS bad,
+             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS r FROM z),
+t AS (SELECT tree, 0 AS level, list(leaf ORDER BY r) AS ns FROM l GROUP BY tree
+      UNION ALL
+      SELECT tree, level + 1, list_transform(range(0, (len(ns) + 1) // 2), lambda k: sha256(concat(ns[2 * k + 1], coalesce(ns[2 * k + 2], '')))) FROM t WHERE len(ns) > 1),
+s AS (SELECT tree, ns[1] AS subroot FROM t WHERE len(ns) = 1),
+n AS (SELECT DISTINCT tree, lang FROM l),
+o AS (SELECT tree, subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM s JOIN n USING (tree)),
+u AS (SELECT 0 AS level, list(subroot ORDER BY r) AS ns FROM o
+      UNION ALL
+      SELECT level + 1, list_transform(range(0, (len(ns) + 1) // 2), lambda k: sha256(concat(ns[2 * k + 1], coalesce(ns[2 * k + 2], '')))) FROM u WHERE len(ns) > 1),
+w AS (SELECT ns[1] AS root FROM u WHERE len(ns) = 1),
+p AS (SELECT doc_id, tree, leaf, r, 0 AS level, coalesce(bad, leaf) AS acc, '' AS sibs FROM l
+      UNION ALL
+      SELECT doc_id, p.tree, leaf, r // 2, p.level + 1, sha256(CASE WHEN r % 2 = 1 THEN concat(ns[r], acc) ELSE concat(acc, coalesce(ns[r + 2], '')) END),
+             concat(sibs, CASE WHEN r % 2 = 1 THEN ns[r] ELSE coalesce(ns[r + 2], '') END)
+      FROM p JOIN t ON p.tree = t.tree AND p.level = t.level WHERE len(ns) > 1),
+p1 AS (SELECT p.* FROM p JOIN t ON p.tree = t.tree AND p.level = t.level WHERE len(ns) = 1),
+q AS (SELECT doc_id, p1.tree, leaf, o.r, 0 AS level, acc, sibs FROM p1 JOIN o ON o.tree = p1.tree
+      UNION ALL
+      SELECT doc_id, tree, leaf, r // 2, q.level + 1, sha256(CASE WHEN r % 2 = 1 THEN concat(ns[r], acc) ELSE concat(acc, coalesce(ns[r + 2], '')) END),
+             concat(sibs, CASE WHEN r % 2 = 1 THEN ns[r] ELSE coalesce(ns[r + 2], '') END)
+      FROM q JOIN u ON q.level = u.level WHERE len(ns) > 1)
+SELECT doc_id, leaf, subroot, root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM q JOIN u ON q.level = u.level AND len(u.ns) = 1 JOIN s ON s.tree = q.tree CROSS JOIN w
+"""
+
+ORACLES = {"op2_url_filter": URL_SQL, "op3_topk": TOPK_SQL, "op9_jaccard_join": JACCARD_SQL, "op12_merkle": MERKLE_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, merkle, pii, topk, toxicity, url_filter
+from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, merkle, pii, quality, search, topk, toxicity, url_filter
 from cleanloom.llm.common import in_fold, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,10 +60,21 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(read(spark, folder, "pages"))
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    held = in_fold("doc_id", 5, 0)
+    scored = quality.score_quality(documents, documents.where(~held), read(spark, folder, "labels"))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.dataset_manifest(read(spark, folder, "documents"))
 
 
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -71,7 +82,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_url_filter, op3_topk, op4_toxicity, op5_masked_lm, op6_decontaminate, op7_language, op8_bpe,
-                            op9_jaccard_join, op10_html_text, op12_merkle, pipeline)}
+                            op9_jaccard_join, op10_html_text, op11_quality, op12_merkle, op13_search, pipeline)}
 
 URL_SQL = r"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
@@ -149,4 +160,20 @@ SELECT doc_id, leaf, subroot, root, sha256(sibs) AS proof_sha256, acc AS folded_
 FROM q JOIN u ON q.level = u.level AND len(u.ns) = 1 JOIN s ON s.tree = q.tree CROSS JOIN w
 """
 
-ORACLES = {"op2_url_filter": URL_SQL, "op3_topk": TOPK_SQL, "op9_jaccard_join": JACCARD_SQL, "op12_merkle": MERKLE_SQL}
+SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+           FROM documents),
+n AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM n) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p CROSS JOIN c GROUP BY t),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+      FROM i JOIN p USING (t) JOIN w USING (t) CROSS JOIN c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op2_url_filter": URL_SQL, "op3_topk": TOPK_SQL, "op9_jaccard_join": JACCARD_SQL, "op12_merkle": MERKLE_SQL,
+           "op13_search": SEARCH_SQL}

@@ -68,7 +68,7 @@ def test_query(spark, name):
     sql = queries.ORACLES.get(name)
     if sql:
         con = duckdb.connect()
-        for table in ("pages", "embeddings", "documents"):
+        for table in ("pages", "embeddings", "documents", "benchmark"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         assert tidy(got).equals(tidy(con.execute(sql).df()))
 

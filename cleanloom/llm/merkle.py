@@ -90,10 +90,14 @@ def steps_inside(lo: Column, base: int) -> Column:
     node is the sibling.
     """
     def step(k: Column) -> Column:
-        parent = F.filter(F.get("levels", k + 1), lambda p: (p["lo"] <= lo) & (lo < p["hi"]))[0]
-        others = F.filter(F.get("levels", k), lambda n: (n["lo"] >= parent["lo"]) & (n["hi"] <= parent["hi"]) & ~((n["lo"] <= lo) & (lo < n["hi"])))
-        sibling = F.get(others, F.lit(0))
-        return F.struct(sibling["digest"].alias("digest"), F.coalesce(sibling["lo"] < lo, F.lit(False)).alias("before"))
+        def beside(parent: Column) -> Column:
+            others = F.filter(F.get("levels", k), lambda n: (n["lo"] >= parent["lo"]) & (n["hi"] <= parent["hi"]) & ~((n["lo"] <= lo) & (lo < n["hi"])))
+            return F.get(F.transform(others, lambda n: F.struct(n["digest"].alias("digest"), (n["lo"] < lo).alias("before"))), F.lit(0))
+
+        # One parent contains the member; as a lambda's argument it is found once.
+        parents = F.filter(F.get("levels", k + 1), lambda p: (p["lo"] <= lo) & (lo < p["hi"]))
+        alone = F.struct(F.lit(None).cast("string").alias("digest"), F.lit(False).alias("before"))
+        return F.coalesce(F.get(F.transform(parents, beside), F.lit(0)), alone)
 
     return F.transform(F.slice(F.array(*map(F.lit, range(BAND))), F.lit(1), F.least(F.lit(BAND), F.col("height") - base)), step)
 

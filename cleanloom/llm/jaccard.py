@@ -8,10 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import ref
+from cleanloom.llm.common import SLICE_ROWS, map_rows, ref
 from cleanloom.session import stored
 
 # Words in a shingle, and the least similarity of linked documents in hundredths.
@@ -28,9 +30,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles. Bytes split and lower-case in ASCII only, as the rules ask."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    found = raw.lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     hashed = np.empty(len(found), object)
@@ -70,7 +73,7 @@ def parts_of(ring: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def region_keys(s: np.ndarray, percent: int) -> list[int]:
+def region_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the regions that a set belongs to: its own size ring, and the ring below if sets there may still link
     (the boundary window). Equal keys mean an equal part of the universe within a ring.
 
@@ -95,21 +98,55 @@ def region_keys(s: np.ndarray, percent: int) -> list[int]:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), seen)
             seen, totals = np.concatenate([seen, empty]), np.concatenate([totals, np.zeros(len(empty), np.uint64)])
         out.append(mixed(totals ^ mixed(seen * _B + np.uint64(ring + 1))))
-    return np.concatenate(out).view(np.int64).tolist() if out else []
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """``doc_id, row, n, set, keys``: size and digest of each document's set, and its region keys. ``row`` tells rows of one id apart."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingles(t, words) for t in f["text"]]
-            f["n"] = [len(s) for s in sets]
-            f["set"] = [int(mixed(mixed(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
-            f["keys"] = [region_keys(s, percent) if len(s) else [] for s in sets]
-            yield f.drop(columns="text")
+def digest(s: np.ndarray) -> int:
+    return int(mixed(mixed(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0])
 
-    rows = df.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(ref(text_col)).alias("row"), ref(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, row long, n long, set long, keys array<long>")
+
+def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row, text``; ``row``, the hash of the text, tells rows of one id apart."""
+    return df.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(ref(text_col)).alias("row"), ref(text_col).alias("text"))
+
+
+def sketches(source: DataFrame, words: int) -> DataFrame:
+    """``doc_id, row, n, set``: size and digest of each document's set."""
+    def make():
+        def step(ids, rows, texts):
+            sets = [shingles(t, words) for t in texts]
+            return {"doc_id": ids, "row": rows, "n": [len(s) for s in sets], "set": [digest(s) for s in sets]}
+
+        return step
+
+    return map_rows(source, ["doc_id", "row", "text"], "doc_id long, row long, n long, set long", make)
+
+
+# Sets whose keys a task remembers to have given; beyond, it forgets and gives them again, which changes no result.
+GIVEN = 200_000
+
+
+def keyed(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """``set, key`` for the region keys of every set. A task gives the keys of equal sets once, so a large group of copies
+    sends no more rows than there are tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                names, keys = [], []
+                for text in whole.column(0).slice(at, SLICE_ROWS).to_pylist():
+                    s = shingles(text, words)
+                    name = digest(s)
+                    if len(s) and name not in given:
+                        given.add(name)
+                        keys.append(region_keys(s, percent))
+                        names.append(name)
+                if len(given) > GIVEN:
+                    given.clear()
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), list(map(len, keys)))), pa.array(np.concatenate(keys))], names=["set", "key"])
+
+    return source.select("text").mapInArrow(run, "set long, key long")
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -123,13 +160,12 @@ def histogram(s: np.ndarray) -> bytes:
 
 
 def with_histograms(rows: DataFrame, words: int) -> DataFrame:
-    """``set, text, histogram`` of ``set, text``."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["histogram"] = [histogram(shingles(t, words)) for t in f["text"]]
-            yield f
+    """``set, text, histogram`` of ``set, text``; the whole text goes on compressed, as it meets one partner after another."""
+    def make():
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return lambda sets, texts: {"set": sets, "text": [pack(t.encode("utf-8", "surrogatepass")) for t in texts], "histogram": [histogram(shingles(t, words)) for t in texts]}
 
-    return rows.mapInPandas(run, "set long, text string, histogram binary")
+    return map_rows(rows, ["set", "text"], "set long, text binary, histogram binary", make)
 
 
 def close_pairs(points: np.ndarray, label: np.ndarray, limit: float) -> list[tuple[int, int]]:
@@ -203,20 +239,26 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
+        opened = zstandard.ZstdDecompressor().decompress
         known, pivot = None, np.zeros(0, np.uint64)
-        for f in frames:
-            out = []
-            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"]):
+
+        def step(left, right, ta, tb):
+            nonlocal known, pivot
+            distance, linked = [], []
+            for b, one, two in zip(right, ta, tb):
                 if b != known:
-                    known, pivot = b, shingles(tb, words)
-                s = shingles(ta, words)
+                    known, pivot = b, shingles(opened(two), words)
+                s = shingles(opened(one), words)
                 same = len(np.intersect1d(s, pivot, assume_unique=True))
                 union = len(s) + len(pivot) - same
-                out.append((a, b, 100 - 100 * same / union, 100 * same >= percent * union))
-            yield pd.DataFrame(out, columns=["a", "b", "distance", "linked"])
+                distance.append(100 - 100 * same / union)
+                linked.append(100 * same >= percent * union)
+            return {"a": left, "b": right, "distance": distance, "linked": linked}
+
+        return step
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, distance double, linked boolean")
+    return map_rows(both, ["a", "b", "ta", "tb"], "a long, b long, distance double, linked boolean", make)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,7 +286,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, row, n_shingles, component_id`` of every row; ``row`` is the hash of the text.
+    """``doc_id, row, n_shingles, component_id, label`` of every row; ``row`` is the hash of the text, ``label`` the component's own
+    name, which tells components apart whose smallest ids are equal because an id occurs with several texts.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of word shingles (with fewer words the whole
     sequence is one); the component is the smallest id reachable. Exact, up to equal 64-bit hashes.
@@ -259,17 +302,20 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one class from the start. Empty and null texts have no shingles and link with nothing, nor do rows with
     a null id, whose component is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
     """
-    base = stored(sketches(df, id_col, text_col, words, percent), "sketches")
+    source = rows_of(df, id_col, text_col)
+    base = stored(sketches(source, words), "sketches")
     known = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    keyed = known.select("set", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("key")
-    regions = stored(keyed.join(crowded, "key").distinct(), "regions")
+    # One exchange by key finds the crowded keys, those of two sets or more, and keeps their rows.
+    around = Window.partitionBy("key")
+    spread = keyed(source.where(F.col("doc_id").isNotNull()), words, percent)
+    spread = spread.withColumn("low", F.min("set").over(around)).withColumn("high", F.max("set").over(around))
+    regions = stored(spread.where("low < high").select("key", "set").distinct(), "regions")
     active = regions.select("set").distinct()
     # One row stands for each set; its text is fetched once.
     rows = known.select("set", "doc_id", "row").join(active, "set").groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("r"))
     rows = rows.select("set", F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"))
-    source = df.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(ref(text_col)).alias("row"), ref(text_col).alias("text"))
-    texts = stored(with_histograms(source.join(rows, ["doc_id", "row"]).select("set", "text"), words), "texts")
+    once = source.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "row"])
+    texts = stored(with_histograms(once.join(rows, ["doc_id", "row"]).select("set", "text"), words), "texts")
     # First round: every member of a region against its pivot.
     members = regions.join(regions.groupBy("key").agg(F.min("set").alias("pivot")), "key").where("set <> pivot")
     measured = stored(verified(members.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), texts, words, percent), "measured")
@@ -291,7 +337,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = known.groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("first", F.coalesce("label", "set")).drop("label")
     classes = classes.join(second.select(F.col("node").alias("first"), "label"), "first", "left").withColumn("label", F.coalesce("label", "first"))
-    named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component")), "label").select("set", "component")
-    linkable = known.select("doc_id", "row", "n", "set").join(named, "set").select("doc_id", "row", "n", "component")
-    alone = base.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "row", "n", F.col("doc_id").alias("component"))
-    return linkable.union(alone).select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component")), "label").select("set", "component", "label")
+    linkable = known.select("doc_id", "row", "n", "set").join(named, "set").select("doc_id", "row", "n", "component", "label")
+    alone = base.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "row", "n", F.col("doc_id").alias("component"), F.lit(None).cast("long"))
+    return linkable.union(alone).select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "label")

@@ -101,3 +101,39 @@ def test_stages_take_effect(spark, tmp_path):
     assert docs.where("doc_id = 125").first()["text"] == "mail [EMAIL] or call"
     final = out.collect()
     assert {r["doc_id"] for r in final} == kept[3] and corpus_pipeline.run(spark, str(tmp_path)).count() == len(final)
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Five words at 0.8: one row of each linked group stays, with repeated rows, null ids and an id with several texts."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 3, 12, 60, 200]))]
+        rows.append((rng.choice([i, i, None]), " ".join(base)))
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            near = list(base)
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((rng.choice([None, i, 100 + len(rows)]), rng.choice([" ", "\n", "  "]).join(near)))
+    rows += [rows[0]] * 30 + [(7, None), (7, None), (None, " \t"), (8, "")]
+    shingled = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").split()) else None for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if shingled[i] and shingled[j] and 100 * len(shingled[i] & shingled[j]) >= 80 * len(shingled[i] | shingled[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    groups = {}
+    for k, g in enumerate(group):
+        if shingled[k]:
+            groups.setdefault(g, []).append(rows[k])
+    docs = spark.createDataFrame([(i, t, "x", k, 5) for k, (i, t) in enumerate(rows)], "doc_id long, text string, label string, row int, key int").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted([g for g in got if not (g[1] or "").split()], key=str) == sorted([(7, None), (7, None), (None, " \t"), (8, "")], key=str)
+    kept = [g for g in got if (g[1] or "").split()]
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        mine = [k for k in kept if k in members]
+        ids = [i for i, _ in members if i is not None]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)

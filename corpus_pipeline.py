@@ -23,12 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each linked group. Rows without id or words stay; so do repeated rows of a kept id and text."""
-    found = jaccard.join_components(docs, words=WORDS, percent=PERCENT)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id", F.col("row")).distinct()
-    row = free_name(docs, "row_hash")
-    keyed = docs.withColumn(row, F.xxhash64("text"))
-    return keyed.join(gone, (keyed["doc_id"] == gone["doc_id"]) & (keyed[row] == gone["row"]), "left_anti").select([ref(c) for c in docs.columns])
+    """One document of each linked group: the smallest id, of several texts under it the smallest hash, of repeated rows any one.
+
+    A null id comes after all others and is told from other null ids by its text. Rows without words are linked with
+    nothing and all stay.
+    """
+    number, row = free_name(docs, "number"), free_name(docs, "row_hash")
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn(number, F.coalesce(F.col("doc_id").cast("long"), late)).withColumn(row, F.xxhash64("text")).where(worded)
+    found = jaccard.join_components(keyed, id_col=number, words=WORDS, percent=PERCENT)
+    # Also a hot row that is repeated many times is folded before it moves.
+    once = keyed.dropDuplicates([number, row])
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select("kept.*").distinct()
+    stays = (once[number] == first["doc_id"]) & (once[row] == first["row"])
+    return once.join(first, stays, "left_semi").select([ref(c) for c in docs.columns]).union(docs.where(~worded))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

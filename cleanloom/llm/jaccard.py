@@ -198,33 +198,69 @@ def close_pairs(points: np.ndarray, label: np.ndarray, limit: float) -> list[tup
     return sorted(found)
 
 
-# Members that one task compares at once; larger regions are cut into chunks that meet pairwise.
-LEAF = 256
+# Members that one task compares at once; larger regions are cut into chunks that meet pairwise. Shingles a task keeps.
+LEAF, KEPT = 512, 4_000_000
 
 
-def leaf_pairs(regions: DataFrame, texts: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
-    """Distinct ``a, b``: pairs of sets of one region with different labels whose histograms do not rule a link out.
+def leaf_links(regions: DataFrame, texts: DataFrame, words: int, percent: int, leaf: int = LEAF) -> DataFrame:
+    """Distinct ``a, b``: links between sets of one region (pivot, set, label) that have different labels, enough of them to
+    join all labels that links inside the region join.
 
     A region over ``leaf`` members is dealt into chunks; every two chunks meet in one cell, so no cell holds more than
-    about twice ``leaf`` members. Cells go to tasks by hash.
+    about twice ``leaf`` members. Cells go to tasks by hash. Pairs that their histograms do not rule out are compared whole; labels
+    once joined are not compared again, so a cell gives fewer links than it has members.
     """
-    sizes = regions.groupBy("key").agg(F.ceil(F.count("set") / leaf).cast("int").alias("chunks"))
-    cells = regions.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    sizes = regions.groupBy("pivot").agg(F.ceil(F.count("set") / leaf).cast("int").alias("chunks"))
+    cells = regions.join(sizes, "pivot").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "set", "label")
-    groups = max(1, regions.count() // 4_000)
-    cells = cells.join(texts.select("set", "histogram"), "set").withColumn("task", F.pmod("cell", F.lit(groups)))
+    cells = cells.select(F.xxhash64("pivot", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "set", "label",
+                         "chunk", (F.col("chunk") == F.col("other")).alias("inner"))
+    groups = max(1, regions.count() // 1_000)
+    cells = cells.join(texts.select("set", "histogram", "text"), "set").withColumn("task", F.pmod("cell", F.lit(groups)))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
+        opened = zstandard.ZstdDecompressor().decompress
         out: set[tuple[int, int]] = set()
+        above: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def root(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        def members(name: int, text: bytes) -> np.ndarray:
+            nonlocal held
+            if name not in known:
+                if held > KEPT:
+                    known.clear()
+                    held = 0
+                known[name] = shingles(opened(text), words)
+                held += len(known[name])
+            return known[name]
+
         for rows in f.groupby("cell").indices.values():
             own = f.iloc[rows]
             vectors = [np.frombuffer(h, "<u2").astype(np.uint32) for h in own["histogram"]]
             size = min(map(len, vectors))
             points = np.stack([v.reshape(-1, size).sum(0, dtype=np.uint32) for v in vectors])
-            sets = own["set"].to_numpy()
-            for i, j in close_pairs(points, own["label"].to_numpy(), (100 - percent) / 100):
-                out.add((min(sets[i], sets[j]), max(sets[i], sets[j])))
+            sets, blobs, chunks, inner = own["set"].tolist(), own["text"].tolist(), own["chunk"].tolist(), bool(own["inner"].iloc[0])
+            labels = own["label"].tolist()
+            for i, j in close_pairs(points, np.array([root(x) for x in labels]), (100 - percent) / 100):
+                # A pair inside a chunk is the task of the cell where the chunk meets itself.
+                one, two = root(labels[i]), root(labels[j])
+                pair = (min(sets[i], sets[j]), max(sets[i], sets[j]))
+                if one == two or not inner and chunks[i] == chunks[j] or pair in apart:
+                    continue
+                x, y = members(sets[i], blobs[i]), members(sets[j], blobs[j])
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    above[one] = two
+                    out.add(pair)
+                elif len(apart) < KEPT:
+                    apart.add(pair)
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
 
     return cells.groupBy("task").applyInPandas(run, "a long, b long").distinct()
@@ -293,11 +329,11 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sequence is one); the component is the smallest id reachable. Exact, up to equal 64-bit hashes.
 
     Jaccard distance is a metric, but unrelated texts all lie at distance 1 of each other, so balls around arbitrary pivots
-    could not tell them apart. Regions are therefore Voronoi cells of sizes (rings, with windows for sets that reach into
-    the ring below), divided by equal parts of the universe; a pair within the limit shares a region. In each region one
-    member becomes the pivot, all others are measured against it and its ball becomes one component; only what may still link
-    by the triangle inequality goes on, without the pivot. These regions join recursively around more pivots in a
-    metric of histograms that is never above the Jaccard distance, and what stays is verified on the texts.
+    could not tell them apart. Pivots are therefore found by keys: sets of a size ring (with a window for sets that reach into
+    the ring below) that hold an equal part of the universe share a key, linked sets always do, and the smallest set of a key
+    is the pivot of its others. Every set is measured against its pivots, and each pivot's ball becomes one component. What
+    may still link by the triangle inequality goes on in its pivots' regions; inside, a Voronoi recursion around more pivots in a
+    metric of histograms that is never above the Jaccard distance leaves few pairs, and these are compared whole.
 
     Equal sets are one class from the start. Empty and null texts have no shingles and link with nothing, nor do rows with
     a null id, whose component is null. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored.
@@ -320,15 +356,15 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = regions.join(regions.groupBy("key").agg(F.min("set").alias("pivot")), "key").where("set <> pivot")
     measured = stored(verified(members.select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), texts, words, percent), "measured")
     labels = stored(components(measured.where("linked").select("a", "b")), "labels")
-    # Next: members without their pivot, in regions that still hold several components. Inside the pivot's ball only
-    # the rim within reach of the nearest outsider goes on.
-    left = members.join(measured.select(F.col("a").alias("set"), F.col("b").alias("pivot"), "distance", "linked"), ["set", "pivot"])
+    # Next: all that met one pivot are its region; those that still hold several components go on. Inside the pivot's ball
+    # only the rim within reach of the nearest outsider does.
+    left = measured.select(F.col("a").alias("set"), F.col("b").alias("pivot"), "distance", "linked")
     left = left.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    reach = left.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
-    left = left.join(reach, "key").where(~F.col("linked") | (F.col("distance") + (100 - percent) + 1e-9 >= F.col("nearest")))
-    spread = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = stored(left.join(spread, "key").select("key", "set", "label"), "regions")
-    more = stored(verified(leaf_pairs(rest, texts, percent), texts, words, percent).where("linked").select("a", "b"), "measured")
+    reach = left.where("not linked").groupBy("pivot").agg(F.min("distance").alias("nearest"))
+    left = left.join(reach, "pivot").where(~F.col("linked") | (F.col("distance") + (100 - percent) + 1e-9 >= F.col("nearest")))
+    several = left.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pivot")
+    rest = stored(left.join(several, "pivot").select("pivot", "set", "label"), "regions")
+    more = stored(leaf_links(rest, texts, words, percent), "measured")
     # The components found so far are the nodes of the second, small graph.
     named = labels.select(F.col("node"), F.col("label"))
     for side in ("a", "b"):

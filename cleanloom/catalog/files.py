@@ -28,6 +28,18 @@ def csv_scan(spark, sf_dir):
     return csv.scan_text(spark, _csv_copy(spark, df))
 
 
+# Line breaks, quotes, commas and carriage returns inside the cells of a whole text column.
+BROKEN = """concat('"', role, '",', chr(10), replace(text, ' the ', concat(' "the', chr(13), chr(10), '", ')), chr(10), chr(10), turn)"""
+
+
+@query("csv_multiline", f"SELECT row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS n, conv_id, turn::BIGINT AS turn, {BROKEN} AS text FROM conversations")
+def csv_multiline(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(BROKEN).alias("broken"), "text")
+    path = scratch_path(spark, "csv")
+    csv.write_csv(rows.repartitionByRange(3, "conv_id", "turn", "text").sortWithinPartitions("conv_id", "turn", "text").drop("text").withColumnRenamed("broken", "text"), path)
+    return csv.read_csv(spark, path, multi_line=True, row_id="n")
+
+
 TYPES = {"rid": "Int64", "o_orderkey": "Int64", "o_custkey": "Int64", "price": "Float64", "priority": "String", "price_txt": "String", "cust_txt": "String", "flag": "String"}
 DECIDE = ("CASE WHEN count({c}) = 0 THEN 'String' WHEN count(CASE WHEN regexp_matches({c}::VARCHAR, '^[+-]?[0-9]+$') THEN 1 END) = count({c}) THEN 'Int64' "
           "WHEN count(CASE WHEN regexp_matches({c}::VARCHAR, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN 1 END) = count({c}) THEN 'Float64' "

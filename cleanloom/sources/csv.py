@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv as python_csv
+import io
 import re
 from collections.abc import Sequence
 
@@ -34,13 +36,66 @@ def clean_names(names: Sequence[str]) -> list[str]:
 def scan_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """All cells as text, null tokens as null.
 
-    ``multi_line`` allows line breaks inside quotes; such a file is one task.
+    ``multi_line`` allows line breaks inside quotes; the files are still read in splits.
     """
-    raw = spark.read.options(**READ_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
+    if multi_line:
+        return _cells_of(multi_line_records(spark, path))[0]
+    raw = spark.read.options(**READ_OPTIONS).csv(path)
     named = raw.toDF(*clean_names(raw.columns))
     return named.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in named.columns])
 
 
+def multi_line_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, record, value``: the records of CSV files whose quoted cells may hold line breaks; record 1 is the header.
+
+    A line begins a record if an even number of quotes stands before it in its file. Quotes are counted per split, one
+    row per split is summed up along the file, and inside a split a running sum goes on from there; so no task reads more
+    than a split, wherever a record begins. Lines that are records of their own stay where they are; only those of longer
+    records are gathered, also across splits. Blank lines between records do not count. A quote that is never closed makes
+    the rest of its file one record, as it does for any reader.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), "value", (quotes % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(parts: DataFrame, name: str) -> DataFrame:
+        """Sum over the splits before; one row per split."""
+        out = parts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
+        return F.broadcast(out) if parts.count() <= BROADCAST_ROWS else out
+
+    opened = carried(lines.groupBy("file", "split").agg(F.sum("odd").alias("n")), "opened")
+    inside = Window.partitionBy("file", "split").orderBy("line")
+    before = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("opened")
+    marked = lines.join(opened, ["file", "split"]).withColumn("before", before % 2)
+    blank = F.col("value").rlike(r"^\s*$")
+    marked = marked.where(~((F.col("before") == 0) & blank)).withColumn("begins", (F.col("before") == 0).cast("long"))
+    marked = marked.withColumn("begun", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = carried(marked.groupBy("file", "split").agg(F.max("begun").alias("n")), "earlier")
+    numbered = marked.join(begun, ["file", "split"]).withColumn("record", F.col("begun") + F.col("earlier"))
+    whole = (F.col("begins") == 1) & (F.col("odd") == 0)
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("split", "line", "value"))), lambda x: x["value"])
+    longer = numbered.where(~whole).groupBy("file", "record").agg(F.array_join(pieces, "\n").alias("value"))
+    records = numbered.where(whole).select("file", "record", "value").unionByName(longer)
+    return records.withColumn("value", F.regexp_replace("value", r"^\uFEFF|\r$", ""))
+
+
+def _cells_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Text cells of the records, null tokens as null, by the header of the first file; and ``file, record`` beside the cells."""
+    heads = records.where("record = 1")
+    head = heads.orderBy("file").first()
+    names = clean_names(next(python_csv.reader(io.StringIO(head.value, newline="")))) if head else []
+    if not names:
+        return records.sparkSession.createDataFrame([], T.StructType([])), records.select("file", "record").limit(0)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {k: v for k, v in READ_OPTIONS.items() if k != "header"}
+    parsed = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {**options, "multiLine": "true"})
+    body = records.where("record > 1").select("file", "record", parsed.alias("cells"))
+    cells = body.select("file", "record", *[null_tokens(F.col(f"cells.c{i}")).alias(f"c{i}") for i in range(len(names))])
+    return cells.drop("file", "record").toDF(*names), cells
+
+
 def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(INGEST_NULLS), c)
 
@@ -82,14 +137,22 @@ def typed(text: DataFrame, types: dict[str, str]) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, infer_rows: int | None = None,
              row_id: str | None = None) -> DataFrame:
     """Scan, infer and cast; ``row_id`` adds the 0-based row number in file order."""
-    text = scan_text(spark, path, multi_line)
-    types = {r.name: r.dtype for r in infer_types(text, infer_rows).collect()}
-    if not row_id:
+    if multi_line:
+        text, cells = _cells_of(multi_line_records(spark, path))
+    else:
+        text = scan_text(spark, path)
+    types = {r.name: r.dtype for r in infer_types(text, infer_rows).collect()} if text.columns else {}
+    if not row_id or not text.columns:
         return typed(text, types)
-    raw = spark.read.options(**READ_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
-    numbered = with_file_row_number(raw, row_id)
-    cells = numbered.toDF(row_id, *text.columns)
-    body = cells.select(row_id, *[null_tokens(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if multi_line:
+        # Records are numbered along each file; one row per file puts the files one after another.
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = cells.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        placed = cells.join(starts, "file").select((F.col("start") + F.col("record") - 2).alias("number"), *cells.columns[2:])
+        return typed(placed.toDF(row_id, *text.columns), {**types, row_id: "String"})
+    numbered = with_file_row_number(spark.read.options(**READ_OPTIONS).csv(path), row_id)
+    named = numbered.toDF(row_id, *text.columns)
+    body = named.select(row_id, *[null_tokens(F.col(f"`{c}`")).alias(c) for c in text.columns])
     return typed(body, {**types, row_id: "String"})
 
 

@@ -101,7 +101,35 @@ def matrix(spark, sf_dir):
 EVENT_ORDER = RowOrder.of(order_by="event_id", row_id="event_id")
 
 
-@query("iforest_scores")
+def forest_sql(source: str, key: str, features: list[str], seed: int = 42, trees: int = 100, sample: int = 256) -> str:
+    """Common tables up to ``scored`` (key, score): the whole forest again, level by level, from the same MD5 draws."""
+    def drawn(*parts: str) -> str:
+        text = ", ':', ".join((f"'{seed}'", *parts))
+        return f"(CAST(concat('0x', substr(md5(concat({text})), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+    values = ", ".join(f"coalesce({f}::DOUBLE, (SELECT coalesce(quantile_cont({f}::DOUBLE, 0.5), 0) FROM {source}))" for f in features)
+    path = "(CASE WHEN {n} <= 1 THEN 0.0::DOUBLE ELSE 2 * (ln(({n} - 1)::DOUBLE) + 0.5772156649::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n}::DOUBLE END)"
+    divided = (f"SELECT *, lo + {drawn('tree', 'node', chr(39) + 's' + chr(39))} * (hi - lo) AS split FROM (SELECT *, min(v[f + 1]) OVER w AS lo, max(v[f + 1]) OVER w AS hi, count(*) OVER w AS size "
+               f"FROM (SELECT *, CAST(floor({drawn('tree', 'node', chr(39) + 'f' + chr(39))} * {len(features)}) AS INTEGER) AS f FROM g) WINDOW w AS (PARTITION BY tree, node))")
+    inner = "depth < ceil(log2(greatest(s, 2))) AND size > 1 AND lo < hi AND lo < split"
+    return (f"x AS MATERIALIZED (SELECT {key} AS k, [{values}] AS v FROM {source}), "
+            f"o AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY substr(md5(concat('{seed}', ':', k)), 1, 15), k) - 1 AS place FROM x), "
+            f"c AS MATERIALIZED (SELECT count(*) AS n, least({sample}, count(*)) AS s FROM x), "
+            f"d AS MATERIALIZED (SELECT tree, slot, CAST(floor({drawn('tree', 'slot')} * n) AS BIGINT) AS place FROM range({trees}) a(tree), range({sample}) b(slot), c WHERE slot < s), "
+            f"g AS (SELECT tree, slot, 1 AS node, 0 AS depth, v FROM d JOIN o USING (place) UNION ALL "
+            f"SELECT tree, slot, 2 * node + CAST(v[f + 1] >= split AS INTEGER), depth + 1, v FROM ({divided}) h, c WHERE {inner}), "
+            f"nodes AS MATERIALIZED (SELECT tree, node, any_value(f) AS f, any_value(split) AS split, any_value({inner}) AS goes_on, "
+            f"any_value(depth + {path.format(n='size')}) AS way FROM ({divided}) h, c GROUP BY tree, node), "
+            f"r AS (SELECT k, v, tree, 1 AS node FROM x, range({trees}) a(tree) UNION ALL "
+            f"SELECT k, v, r.tree, 2 * r.node + CAST(v[f + 1] >= split AS INTEGER) FROM r JOIN nodes ON r.tree = nodes.tree AND r.node = nodes.node WHERE goes_on), "
+            f"scored AS MATERIALIZED (SELECT k, pow(2.0::DOUBLE, -(sum(way) / {trees}) / any_value({path.format(n='s')})) AS score "
+            f"FROM r JOIN nodes ON r.tree = nodes.tree AND r.node = nodes.node, c WHERE NOT goes_on GROUP BY k)")
+
+
+EVENT_FOREST = forest_sql("events", "event_id", ["user_id", "value"])
+
+
+@query("iforest_scores", f"WITH RECURSIVE {EVENT_FOREST} SELECT event_id, user_id, value, round(score, 8) AS score FROM events JOIN scored ON k = event_id")
 def iforest_scores(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     fitted = forest.fit_forest(df, ["user_id", "value"], EVENT_ORDER)
@@ -114,12 +142,14 @@ def topk_flag(spark, sf_dir):
     return forest.topk_flag(table(spark, sf_dir, "events").select("event_id", "value"), "value", 0.05)
 
 
-@query("iforest_drop")
+@query("iforest_drop", f"WITH RECURSIVE {EVENT_FOREST}, b AS (SELECT round(score, 12) AS bar FROM scored ORDER BY score DESC "
+       "OFFSET (SELECT greatest(1, floor(n * 0.05)::BIGINT) - 1 FROM c) LIMIT 1) SELECT events.* FROM events JOIN scored ON k = event_id, b WHERE round(score, 12) < bar")
 def iforest_drop(spark, sf_dir):
     op = {"type": "iforest_outliers", "contamination": 0.05, "features": ["user_id", "value"]}
     return apply_op(table(spark, sf_dir, "events"), op, order_by="event_id")
 
 
-@query("anomaly_rate")
+@query("anomaly_rate", f"WITH RECURSIVE {EVENT_FOREST} SELECT count(*) AS rows, count(CASE WHEN round(score, 12) >= 0.62 THEN 1 END) AS anomalies, "
+       "round(count(CASE WHEN round(score, 12) >= 0.62 THEN 1 END)::DOUBLE / count(*), 6) AS rate, NULL::VARCHAR AS reason FROM scored")
 def anomaly_rate(spark, sf_dir):
     return forest.anomaly_scan(table(spark, sf_dir, "events"), EVENT_ORDER).withColumn("rate", F.round("rate", 6))

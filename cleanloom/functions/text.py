@@ -36,6 +36,15 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def spare_name(df, wanted: str) -> str:
+    """A helper column's name that the table does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = wanted
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_integral(dt: T.DataType) -> bool:
     return isinstance(dt, INTEGRAL)
 

@@ -12,6 +12,7 @@ left out.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections import deque
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cleanloom.functions.text import is_numeric
+from cleanloom.functions.text import is_numeric, spare_name
 from cleanloom.operators.base import Op, Operator, RowOrder, dtype_of, ref
 from cleanloom.operators.scaling import imputed_features
 from cleanloom.plans.ordering import as_keys
@@ -38,6 +39,7 @@ ANOMALY_SCORE = 0.62
 SCAN_FEWEST_ROWS, SCAN_FEWEST_FEATURES = 50, 2
 # Hash buckets of the draws: few enough coarse ones to collect their counts, many fine ones inside each.
 COARSE_BITS, FINE_BITS = 12, 14
+HASH_BITS = 60
 SCORE_DIGITS = 12
 NODE_FIELDS = ["feature", "split", "left", "end"]
 
@@ -47,6 +49,11 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (math.log(n - 1) + EULER_GAMMA) - 2 * (n - 1) / n
 
 
+def draw(*parts: int | str) -> float:
+    """Number in [0, 1) that depends on the parts alone: the first 52 bits of the MD5 of their text."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
 def default_features(df: DataFrame, order: RowOrder) -> list[str]:
     return [c for c in order.data_columns(df) if is_numeric(dtype_of(df, c))]
 
@@ -54,19 +61,20 @@ def default_features(df: DataFrame, order: RowOrder) -> list[str]:
 def _draws(df: DataFrame, filled: dict[str, Column], keys: list[str], rows: int, seed: int, trees: int, sample: int) -> DataFrame:
     """Rows of every tree, drawn with replacement from the whole table.
 
-    A draw is a position in the order of the key hashes. Counts per bucket of hashes turn it into a bucket and a place
+    A draw is a position in the order of the keys' MD5 (its first HASH_BITS bits, then the keys). Counts per bucket of hashes turn it into a bucket and a place
     inside, so only the drawn buckets are shuffled and sorted; at most trees x sample draws reach the driver.
     """
     spark = df.sparkSession
     names, ids = [f"x{i}" for i in range(len(filled))], [f"k{i}" for i in range(len(keys))]
-    hashed = df.select(F.xxhash64(F.lit(seed), *map(ref, keys)).alias("h"), *[ref(k).alias(i) for k, i in zip(keys, ids)],
+    text = F.concat_ws(":", F.lit(str(seed)), *[ref(k).cast("string") for k in keys])
+    hashed = df.select(F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("h"), *[ref(k).alias(i) for k, i in zip(keys, ids)],
                        *[c.alias(n) for n, c in zip(names, filled.values())])
-    hashed = hashed.withColumn("coarse", F.shiftrightunsigned("h", 64 - COARSE_BITS).cast("int"))
-    hashed = hashed.withColumn("fine", F.shiftrightunsigned("h", 64 - COARSE_BITS - FINE_BITS).bitwiseAND(F.lit((1 << FINE_BITS) - 1)).cast("int"))
+    hashed = hashed.withColumn("coarse", F.shiftright("h", HASH_BITS - COARSE_BITS).cast("int"))
+    hashed = hashed.withColumn("fine", F.shiftright("h", HASH_BITS - COARSE_BITS - FINE_BITS).bitwiseAND(F.lit((1 << FINE_BITS) - 1)).cast("int"))
     counts = hashed.groupBy("coarse", "fine").agg(F.count(F.lit(1)).alias("n"))
     sizes = sorted((r.coarse, r.n) for r in counts.groupBy("coarse").agg(F.sum("n").alias("n")).collect())
     ends = np.cumsum([n for _, n in sizes])
-    drawn = np.concatenate([np.random.default_rng([seed, tree, 1]).integers(0, ends[-1], sample) for tree in range(trees)])
+    drawn = np.array([int(draw(seed, tree, slot) * int(ends[-1])) for tree in range(trees) for slot in range(sample)], np.int64)
     which = np.searchsorted(ends, drawn, side="right")
     starts = ends - [n for _, n in sizes]
     places = [(i // sample, i % sample, sizes[w][0], int(p - starts[w])) for i, (w, p) in enumerate(zip(which.tolist(), drawn.tolist()))]
@@ -85,21 +93,21 @@ def grow_tree(rows: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """Nodes of one tree as (feature, split, left, end).
 
     The right child follows the left one. A leaf points to itself with an
-    infinite split; ``end`` is its depth plus the expected rest of the path.
+    infinite split; ``end`` is its depth plus the expected rest of the path. The draws of a node depend on its place in
+    the tree: the root is 1, the children of node i are 2i and 2i + 1.
     """
-    rng = np.random.default_rng([seed, tree])
     depth_limit = math.ceil(math.log2(max(len(rows), 2)))
     nodes: list[list[float]] = []
-    todo = deque([(np.arange(len(rows)), 0, -1)])
+    todo = deque([(np.arange(len(rows)), 0, -1, 1)])
     while todo:
-        at, depth, parent = todo.popleft()
+        at, depth, parent, place = todo.popleft()
         here = len(nodes)
         nodes.append([0, np.inf, here, depth + average_path(len(at))])
         if parent >= 0 and nodes[parent][2] == parent:
             nodes[parent][2] = here
         if depth >= depth_limit or len(at) <= 1:
             continue
-        feature, u = int(rng.integers(rows.shape[1])), rng.random()
+        feature, u = int(draw(seed, tree, place, "f") * rows.shape[1]), draw(seed, tree, place, "s")
         values = rows[at, feature]
         low, high = values.min(), values.max()
         if not low < high:
@@ -108,8 +116,8 @@ def grow_tree(rows: np.ndarray, seed: int, tree: int) -> np.ndarray:
         left, right = at[values < split], at[values >= split]
         if len(left) and len(right):
             nodes[here][:2] = [feature, split]
-            todo.append((left, depth + 1, here))
-            todo.append((right, depth + 1, here))
+            todo.append((left, depth + 1, here, 2 * place))
+            todo.append((right, depth + 1, here, 2 * place + 1))
     return np.array(nodes, float)
 
 
@@ -189,13 +197,14 @@ def iforest_outliers(df: DataFrame, op: Op, params: dict, order: RowOrder) -> Da
     rows = df.count()
     if rows < FEWEST_ROWS:
         raise ValueError(f"An isolation forest needs {FEWEST_ROWS} rows or more, this table has {rows}.")
-    scored = with_scores(df, fit_forest(df, features, order, rows), "__score")
-    scores = scored.select("__score")
+    name = spare_name(df, "score")
+    scored = with_scores(df, fit_forest(df, features, order, rows), name)
+    scores = scored.select(name)
     if rows > LAST_BRACKET_ROWS:
         # The threshold takes several passes: they read eight bytes per row instead of scoring again.
         scores = stored(scores, "scores")
-    bar = top_threshold(scores, "__score", clamp_contamination(op.get("contamination")), rows)
-    return scored.filter(F.col("__score") < F.lit(bar)).drop("__score")
+    bar = top_threshold(scores, name, clamp_contamination(op.get("contamination")), rows)
+    return scored.filter(F.col(name) < F.lit(bar)).select(*map(ref, df.columns))
 
 
 def anomaly_scan(df: DataFrame, order: RowOrder, features: Sequence[str] | None = None) -> DataFrame:
@@ -206,8 +215,9 @@ def anomaly_scan(df: DataFrame, order: RowOrder, features: Sequence[str] | None
         return df.agg(F.count(F.lit(1)).alias("rows")).select(
             "rows", F.lit(None).cast("bigint").alias("anomalies"), F.lit(None).cast("double").alias("rate"),
             F.lit("too few rows or numeric columns").alias("reason"))
-    scored = with_scores(df, fit_forest(df, features, order, rows), "__score")
-    flagged = F.count(F.when(F.col("__score") >= ANOMALY_SCORE, 1))
+    name = spare_name(df, "score")
+    scored = with_scores(df, fit_forest(df, features, order, rows), name)
+    flagged = F.count(F.when(F.col(name) >= ANOMALY_SCORE, 1))
     return scored.agg(F.count(F.lit(1)).alias("rows"), flagged.alias("anomalies")).withColumn(
         "rate", F.col("anomalies") / F.col("rows")).withColumn("reason", F.lit(None).cast("string"))
 

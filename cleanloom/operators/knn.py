@@ -27,9 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cleanloom.functions.text import is_integral, is_numeric, to_numeric
+from cleanloom.functions.text import is_integral, is_numeric, spare_name, to_numeric
 from cleanloom.operators.base import Need, Op, Operator, RowOrder, collect_stats, column_of, dtype_of, ref, with_values
 from cleanloom.operators.impute import fill_null
 from cleanloom.plans.lookup import attach
@@ -70,7 +70,7 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
     prefix, hit = free_name(df, "f"), free_name(df, "answer")
     views = {f"{prefix}{i}": to_numeric(ref(f), dtype_of(df, f)) for i, f in enumerate(features)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items() for t, f in (("m", F.avg), ("s", F.stddev_samp), ("d", F.approx_count_distinct))]
-    missing = sum((v.isNull().cast("int") * F.lit(1 << i) for i, v in enumerate(views.values())), F.lit(0))
+    missing = mask_of(list(views.values()))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(target).alias("known"), F.approx_count_distinct(missing).alias("masks"), *aggs).first()
     if seen.known == 0:
         raise ValueError(f'Column "{column}" has no numeric value to learn neighbours from.')
@@ -85,9 +85,10 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
 
     names = list(views)
     keys = as_keys(order.order_by)
-    source, rid = df, keys[0]
+    source, rid, own = df, keys[0], spare_name(df, "known")
     if len(keys) > 1 or not is_integral(dtype_of(df, keys[0])):
-        source, rid = with_row_number(df, keys, "__rid", seen.rows), "__rid"
+        rid = spare_name(df, "rid")
+        source = with_row_number(df, keys, rid, seen.rows)
     # + 0.0 turns -0.0 into 0.0, so equal features are one group.
     base = source.select(
         ref(rid).cast("bigint").alias("rid"), target.alias("y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()]
@@ -96,9 +97,9 @@ def knn_impute(df: DataFrame, op: Op, params: dict, order: RowOrder) -> DataFram
     answers, gaps = _solve(base, names, scale, k, seen)
     if answers is None:
         return with_values(df, {column: target})
-    wide = source.select("*", target.alias("__y"), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()])
-    merged = attach(wide, answers.withColumnRenamed("answer", hit), names, "weight", seen.rows - seen.known, gaps, F.col("__y").isNull())
-    result = F.coalesce(F.col("__y"), ref(hit))
+    wide = source.select(*map(ref, source.columns), target.alias(own), *[(v + F.lit(0.0)).alias(n) for n, v in views.items()])
+    merged = attach(wide, answers.withColumnRenamed("answer", hit), names, "weight", seen.rows - seen.known, gaps, ref(own).isNull())
+    result = F.coalesce(ref(own), ref(hit))
     return merged.select(*[result.alias(c) if c == column else ref(c) for c in df.columns])
 
 
@@ -164,19 +165,26 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
     return left.join(right, cond).select(*[F.col(f"g.{n}").alias(n) for n in names], "weight", "answer"), n_gaps
 
 
+def mask_of(features: list[Column]) -> Column:
+    """Number for the set of features that a row lacks; one bit each, a hash of the bits beyond 62 features."""
+    if len(features) > 62:
+        return F.xxhash64(*[f.isNull() for f in features])
+    return sum((f.isNull().cast("bigint") * F.lit(1 << i) for i, f in enumerate(features)), F.lit(0).cast("bigint"))
+
+
 def _with_cells(base: DataFrame, names: list[str], seen) -> DataFrame:
     """Cell number: which features are missing, then quantile bins, finer where rows crowd.
 
     Any cells give the same answers, so estimates and hash collisions are harmless here.
     """
     wanted = min(MAX_CELLS, max(1, seen.known // PACKET_ROWS)) // max(1, seen.masks)
-    mask = sum((F.col(n).isNull().cast("bigint") * F.lit(1 << i) for i, n in enumerate(names)), F.lit(0).cast("bigint"))
-    out = base.withColumn("cell", mask)
+    out = base.withColumn("cell", mask_of([F.col(n) for n in names]))
     if wanted > 1:
         spark = base.sparkSession
         ranked = sorted(names, key=lambda n: -seen[f"{n}_d"])
         limit = 4 * max(PACKET_ROWS, seen.known // wanted)
-        crowded = spark.createDataFrame([(m,) for m in range(1 << len(names))], "cell bigint")
+        # The masks that occur; as several cells are wanted for each, they are fewer than MAX_CELLS.
+        crowded = spark.createDataFrame(out.select("cell").distinct().collect(), "cell bigint")
         for at in range(CELL_ROUNDS):
             binned = ranked[BINNED_FEATURES * at:BINNED_FEATURES * (at + 1)] or ranked[:BINNED_FEATURES]
             out = _split(out, crowded, binned, max(2, int(wanted ** (1 / len(binned)))))

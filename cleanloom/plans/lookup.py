@@ -33,6 +33,13 @@ def attach(
     """
     payload = [c for c in lookup.columns if c not in (*keys, weight)]
     named = lookup.select(*[ref(k).alias(f"__k_{k}") for k in keys], ref(weight).alias("__weight"), F.struct(*map(ref, payload)).alias("__hit"))
+    taken = {c.lower() for c in (*fact.columns, *lookup.columns)}
+    if any(c.startswith("__") for c in taken):
+        # Helper names begin with two underscores; a table that has such names is renamed for the while.
+        inner = {c: f"c{i}" for i, c in enumerate(dict.fromkeys((*fact.columns, *lookup.columns)))}
+        plain = fact.select(*[ref(c).alias(inner[c]) for c in fact.columns], needed.alias("n"))
+        got = attach(plain, lookup.select(*[ref(c).alias(inner[c]) for c in lookup.columns]), [inner[k] for k in keys], inner[weight], rows, lookup_rows, F.col("n"))
+        return got.select(*[ref(inner[c]).alias(c) for c in fact.columns], *[ref(inner[c]).alias(c) for c in payload])
     fact = fact.withColumn("__need", needed)
     kept = [ref(c) for c in fact.columns if c != "__need"]
     opened = [F.col("__hit").getField(p).alias(p) for p in payload]

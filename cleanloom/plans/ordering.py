@@ -52,6 +52,13 @@ def _scalar_position(df: DataFrame, keys: list[str]) -> Column | None:
     return c.cast("double") if is_numeric(dt) else None
 
 
+def renamed(df: DataFrame) -> dict[str, str] | None:
+    """Plain names for the columns of a table that uses a helper's kind of name (two underscores in front), else nothing."""
+    if not any(c.startswith("__") for c in df.columns):
+        return None
+    return {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
 @dataclass
 class Blocked:
     """A table with a block number per row; blocks are ordered and never overlap."""
@@ -108,6 +115,10 @@ def _running(col: Column) -> Column:
 
 def with_row_number(df: DataFrame, order_by: str | Sequence[str], name: str = "row_number", rows: int | None = None) -> DataFrame:
     """0-based position of every row."""
+    inner = renamed(df)
+    if inner:
+        got = with_row_number(df.toDF(*inner.values()), [inner[k] for k in as_keys(order_by)], "n", rows)
+        return got.toDF(*df.columns, name)
     b = blocked(df, order_by, rows)
     starts = b.summary(F.count(F.lit(1)).alias("n")).select(BLOCK, _running(F.col("n")).alias("__start"))
     local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*map(ref, b.keys)))
@@ -120,6 +131,10 @@ def rows_at(df: DataFrame, order_by: str | Sequence[str], indices: Sequence[int]
 
     Only blocks that hold a wanted position are sorted.
     """
+    inner = renamed(df)
+    if inner:
+        keys = as_keys(order_by)
+        return rows_at(df.toDF(*inner.values()), [inner[k] for k in keys], indices).toDF(*keys)
     b = blocked(df, order_by)
     wanted = sorted(set(indices))
     for i in wanted:
@@ -143,6 +158,10 @@ def rows_at(df: DataFrame, order_by: str | Sequence[str], indices: Sequence[int]
 def forward_filled(df: DataFrame, column: str, order_by: str | Sequence[str], partition_by: str | Sequence[str] | None = None) -> DataFrame:
     """Replace nulls by the last earlier non-null value; leading nulls stay."""
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    inner = renamed(df)
+    if inner:
+        got = forward_filled(df.toDF(*inner.values()), inner[column], [inner[k] for k in as_keys(order_by)], [inner[g] for g in groups])
+        return got.toDF(*df.columns)
     b = blocked(df, order_by)
     key = F.struct(*map(ref, b.keys)) if len(b.keys) > 1 else ref(b.keys[0])
     seen = ref(column).isNotNull()

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from cleanloom import apply_op
@@ -101,3 +102,28 @@ def test_plan_has_no_cross_product(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i), float(i % 7)) for i in range(60)], "rid int, y double, x double")
     plan = apply_op(df, {"type": "knn_impute", "column": "y"}, row_id="rid")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+
+
+def test_wide_tables_with_gaps(spark, monkeypatch):
+    """More features than a mask has bits, and cells from the masks that occur, not from all there could be."""
+    monkeypatch.setattr(knn, "PACKET_ROWS", 16)
+    rng = np.random.default_rng(3)
+    for width in (9, 70):
+        x = rng.normal(size=(160, width)).round(2)
+        x[rng.random(x.shape) < 0.03] = np.nan
+        y = [None if i % 8 == 1 else f"${i},000" for i in range(160)]
+        frame = pd.DataFrame(x, columns=[f"x{i}" for i in range(width)]).astype(object).where(~np.isnan(x), None)
+        rows = [(i, y[i], *frame.iloc[i]) for i in range(160)]
+        df = spark.createDataFrame(rows, "rid long, y string, " + ", ".join(f"x{i} double" for i in range(width))).repartition(3)
+        got = {r.rid: r.y for r in apply_op(df, {"type": "knn_impute", "column": "y", "k": 3}, row_id="rid").collect()}
+        z = (x - np.nanmean(x, 0)) / np.nanstd(x, 0, ddof=1)
+        for i in range(160):
+            if y[i] is not None:
+                assert got[i] == i * 1000
+                continue
+            known = []
+            for j in range(160):
+                both = ~np.isnan(z[i]) & ~np.isnan(z[j])
+                if y[j] is not None and both.any():
+                    known.append((round(float(np.sqrt(((z[i] - z[j])[both] ** 2).mean())), 9), j))
+            assert got[i] == pytest.approx(np.mean([j * 1000 for _, j in sorted(known)[:3]]))

@@ -7,7 +7,12 @@ from cleanloom.operators.base import RowOrder
 from cleanloom.operators.profile import dataset_summary, table_profile
 from cleanloom.sources.csv import preview
 
-NAMES = ["r.id", "a.b", "`q`", "weight", "f0", "answer", "cell"]
+# Awkward names, and names that helpers use inside; by position: row id, a, q, weight, f0, answer, cell.
+SETS = {
+    "odd": ["r.id", "a.b", "`q`", "weight", "f0", "answer", "cell"],
+    "helpers": ["__rid", "__y", "__score", "__block", "__need", "__salt", "__carry"],
+}
+NAMES = SETS["odd"]
 OPS = [
     {"type": "drop_row", "index": 3},
     {"type": "drop_rows", "indices": [0, 5, 39]},
@@ -40,13 +45,16 @@ def plain(odd):
     return odd.toDF("r", *"abcdef")
 
 
+@pytest.mark.parametrize("kind", SETS)
 @pytest.mark.parametrize("op", OPS, ids=lambda op: f"{op['type']}-{op.get('strategy') or op.get('column')}")
-def test_names_do_not_matter(odd, plain, op):
-    simple = dict(zip(NAMES, ["r", *"abcdef"]))
-    got = apply_op(odd, op, row_id="r.id")
+def test_names_do_not_matter(odd, plain, op, kind):
+    names, simple = SETS[kind], dict(zip(NAMES, ["r", *"abcdef"]))
+    there = {**op, **({"column": names[NAMES.index(op["column"])]} if "column" in op else {})}
+    got = apply_op(odd.toDF(*names), there, row_id=names[0])
     want = apply_op(plain, {**op, **({"column": simple[op["column"]]} if "column" in op else {})}, row_id="r")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
-    assert [simple.get(c, c) for c in got.columns] == want.columns
+    back = dict(zip(names, ["r", *"abcdef"]))
+    assert [back.get(c, c) for c in got.columns] == want.columns
 
 
 def test_reports_take_any_name(odd):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cleanloom.catalog.registry import half_up, number_text, numeric_like, percent, plain, query, strip, to_numeric
 from cleanloom.operators import profile as P
 from cleanloom.operators.base import RowOrder
+from cleanloom.plans.recipe import apply_op
+from cleanloom.plans.sketches import approx_quantiles, merge_sketches, rank_error, read_sketches, sketch_columns, unique_error
 from cleanloom.views import table, view, with_views
 
 ORDER = RowOrder.of(row_id="rid")
@@ -157,3 +159,53 @@ def table_profile(spark, sf_dir):
        + percent("7 * count(*) - " + " - ".join(f"count({c})" for c in COLUMNS), "7 * count(*)") + " AS missing_pct FROM orders_messy"))
 def dataset_summary(spark, sf_dir):
     return P.dataset_summary(_messy(spark, sf_dir), ORDER)
+
+
+SKETCHED = ["event_id", "user_id", "event_type", "value", "props"]
+
+
+MERGED = ("WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, CASE WHEN event_id % 4 > 0 THEN value END AS value, props FROM events) "
+          + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, TRUE AS unique_within, TRUE AS cuts_agree FROM e" for c in SKETCHED))
+
+
+@query("profile_merged", MERGED)
+def profile_merged(spark, sf_dir):
+    """Distinct counts from sketches of parts: within the stated error of the exact ones, and of each other for another cut.
+
+    The order of merging may move an estimate a little, so equal estimates are not promised.
+    """
+    df = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("value"), "props")
+    exact = df.agg(*[F.countDistinct(c).alias(c) for c in SKETCHED])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("exact")) for c in SKETCHED])))
+    merged = read_sketches(merge_sketches(sketch_columns(df, F.col("event_type"))))
+    other = read_sketches(merge_sketches(sketch_columns(df, F.col("event_id") % 7))).select("name", F.col("unique").alias("again"))
+    near = F.abs(F.col("unique") - F.col("exact")) <= F.lit(unique_error()) * F.col("exact")
+    return merged.join(exact, "name").join(other, "name").select("name", "rows", "nulls", near.alias("unique_within"), (F.abs(F.col("unique") - F.col("again")) <= F.lit(unique_error()) * F.col("exact")).alias("cuts_agree"))
+
+
+@query("quantiles_approx", "SELECT c.name, p::DOUBLE AS p, TRUE AS within FROM (VALUES ('user_id'), ('value')) c(name), (VALUES (0.05), (0.5), (0.99)) q(p) WHERE (SELECT count(*) FROM events) > 0")
+def quantiles_approx(spark, sf_dir):
+    """Whether the true rank of each sketched quantile is within the stated error of the wanted one."""
+    df, probs = table(spark, sf_dir, "events"), [0.05, 0.5, 0.99]
+    found = approx_quantiles(df, {c: F.col(c) for c in ("user_id", "value")}, probs)
+    rows = []
+    for name, values in found.items():
+        for p, v in zip(probs, values):
+            below, upto = (F.count(F.when(c, 1)) / F.count(name) for c in (F.col(name) < v, F.col(name) <= v))
+            rows.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), ((below - rank_error() <= p) & (upto + rank_error() >= p)).alias("within")))
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+@query("fill_median_approx", with_views(["events_gaps"], "SELECT event_id, value, value IS NULL AS filled, TRUE AS near FROM events_gaps"))
+def fill_median_approx(spark, sf_dir):
+    """Gaps filled with a median from a sketch; ``near`` tells whether its rank is the middle one within the stated error."""
+    gaps = view(spark, sf_dir, "events_gaps").select("event_id", "value")
+    done = apply_op(gaps, {"type": "fill_null", "column": "value", "strategy": "median", "approx": True}).withColumnRenamed("value", "full")
+    both = gaps.join(done, "event_id")
+    used = both.where("value is null").agg(F.max("full").alias("used"))
+    share = gaps.crossJoin(F.broadcast(used)).agg((F.count(F.when(F.col("value") < F.col("used"), 1)) / F.count("value")).alias("below"),
+                                                  (F.count(F.when(F.col("value") <= F.col("used"), 1)) / F.count("value")).alias("upto"), F.max("used").alias("used"))
+    ok = (F.col("below") - rank_error() <= 0.5) & (F.col("upto") + rank_error() >= 0.5)
+    near = (F.col("value").isNotNull() | (F.col("full") == F.col("used"))) & ok
+    return both.join(F.broadcast(share)).select("event_id", "value", F.col("value").isNull().alias("filled"), near.alias("near"))

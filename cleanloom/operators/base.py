@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanloom.functions.text import dtype_name, finite, is_numeric, ref
 from cleanloom.plans.quantiles import exact_quantiles
+from cleanloom.plans.sketches import approx_quantiles
 
 Op = dict[str, Any]
 
@@ -114,6 +115,13 @@ def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
         size = {c: out[Need(c, "count")] for c in columns}
         found = exact_quantiles(df, {c: values[c] for c in columns}, probs, size)
         out.update({Need(c, "quantiles", probs): found[c] for c in columns})
+    near: dict[tuple[float, ...], list[str]] = {}
+    for n in wanted:
+        if n.kind == "approx":
+            near.setdefault(n.probs, []).append(n.column)
+    for probs, columns in near.items():
+        found = approx_quantiles(df, {c: values[c] for c in columns}, probs)
+        out.update({Need(c, "approx", probs): found[c] or [None] * len(probs) for c in columns})
     for n in wanted:
         if n.kind == "mode":
             out[n] = most_frequent(df, n.column)

@@ -27,7 +27,9 @@ def _wanted(df: DataFrame, op: Op) -> list[Need]:
         return [Need(column, "mode")]
     if not is_numeric(dtype_of(df, column)):
         return []
-    return {"mean": [Need(column, "mean")], "median": [Need(column, "quantiles", MEDIAN)]}.get(strategy, [])
+    # ``approx`` takes a median of nearly middle rank from one small sketch.
+    median = Need(column, "approx" if op.get("approx") else "quantiles", MEDIAN)
+    return {"mean": [Need(column, "mean")], "median": [median]}.get(strategy, [])
 
 
 def _fit(df: DataFrame, op: Op, stats: dict, order: RowOrder) -> dict:

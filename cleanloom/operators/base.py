@@ -71,7 +71,7 @@ def dtype_of(df: DataFrame, column: str) -> T.DataType:
 def column_of(df: DataFrame, op: Op) -> str:
     column = op.get("column")
     if not column:
-        raise ValueError(f'{op["type"]} requires a column')
+        raise ValueError(f'Name the column that {op["type"]} shall work on.')
     dtype_of(df, column)
     return column
 

@@ -27,7 +27,7 @@ OPERATORS: dict[str, Operator] = {
 def operator(op: Op) -> Operator:
     found = OPERATORS.get(op.get("type"))
     if found is None:
-        raise ValueError(f'Unsupported op "{op.get("type")}"')
+        raise ValueError(f'No recipe step is called {op.get("type")!r}.')
     return found
 
 

@@ -13,7 +13,7 @@ def test_rename_and_drop_errors(frame):
             apply_op(df, {"type": "rename_column", "column": "a", "to": to})
     with pytest.raises(ValueError, match="does not exist"):
         apply_op(df, {"type": "drop_column", "column": "A"})
-    with pytest.raises(ValueError, match="Unsupported op"):
+    with pytest.raises(ValueError, match="No recipe step"):
         apply_op(df, {"type": "sort"})
     assert apply_op(df, {"type": "rename_column", "column": "a", "to": " c "}).columns == ["c", "b"]
 

@@ -37,14 +37,12 @@ def test_url_edges(spark):
 
 def brute_top(rows, k=5, every=50):
     import math
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good.setdefault((i, tuple(math.floor(256 * x) for x in v)), None)
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for own, (q, a) in enumerate(good):
         if q % every == 0:
-            scored = sorted((-max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in good if i != q)[:k]
+            scored = sorted((-max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for j, (i, b) in enumerate(good) if j != own)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -54,6 +52,8 @@ def test_search_equals_brute_force(spark, scale):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, scale) for _ in range(19)]) for i in range(230)]
     rows += [(400, rows[0][1]), (401, rows[0][1]), (3, rows[3][1]), (402, None), (403, [None] * 19), (404, [float("nan")] * 19), (None, rows[1][1]), (450, [1.0])]
+    # Repeated rows of a query (more than k, and two), of a candidate, and two vectors under one query's id.
+    rows += [(500, rows[7][1])] * 7 + [(100, rows[100][1])] + [(601, [9 * x for x in rows[100][1]])] * 3 + [(150, rows[9][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, id int")
     for blocks in ({}, {"candidates": 40, "queries": 2}):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **blocks).collect())
@@ -61,6 +61,17 @@ def test_search_equals_brute_force(spark, scale):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_search_sql_on_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(i % 60, [rng.gauss(0, 1) for _ in range(6)]) for i in range(130)]
+    rows += rows[:4] * 6
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.TOPK_SQL).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, FOLDER).toPandas()

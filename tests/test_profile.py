@@ -41,14 +41,48 @@ def test_sampled_profile_looks_at_the_first_rows(spark):
     assert (row.unique, row.rows, row.nulls, row.numeric_like) == (10, 51, 1, 1.0)
 
 
-def test_tally_is_shuffled_once(spark):
+@pytest.mark.parametrize("order", [ORDER, None])
+def test_tally_is_shuffled_once(spark, order):
     df = frame(spark, ["a", "b"] * 30, parts=2)
-    profile = P.table_profile(df, ORDER)
+    if order:
+        profile = P._fingerprint_measures(P.fingerprint_tally(df, ["c"], order), order)
+    else:
+        profile = P.table_profile(df)
     profile.collect()
     final = profile._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") == 2
 
 
+def test_no_text_is_shuffled(spark):
+    """Below the first exchange only numbers: fingerprints, counts, positions."""
+    df = frame(spark, ["long text " * 50, "b", None] * 9, parts=3)
+    tally = P.fingerprint_tally(df, ["c"], ORDER)
+    assert not [f for f in tally.schema.fields if f.dataType.typeName() == "string"]
+    plan = P._fingerprint_measures(tally, ORDER)._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" in plan.toString() and "first(v" not in plan.toString() and "min(v" not in plan.toString()
+
+
+def test_fingerprints_and_texts_agree(spark):
+    """The two ways of the profile on rows whose order is the order of their texts."""
+    rng = random.Random(3)
+    cells = sorted(rng.choice(["a", "A", " a", "B ", "b", "12", "1,200", "-3.5", "", "  ", "x y z", "é", "É"]) for _ in range(200))
+    df = spark.createDataFrame([(i, c, float(i % 7) / 4, None) for i, c in enumerate(cells)] + [(200, None, None, None)], "rid long, s string, x double, n string")
+    other = df.drop("rid")
+    cases = ["case_collisions", "sample"]
+    both = [P.table_profile(df, ORDER).drop(*cases).orderBy("position").collect(), P.table_profile(other).drop(*cases).orderBy("position").collect()]
+    assert both[0] == both[1]
+    assert P.table_profile(df, ORDER).where("name = 's'").first()["sample"] == sorted(set(cells) - {""})[:3]
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "rid"], ["d", "rid"]])
+def test_samples_follow_any_order(spark, keys):
+    """Text keys, several keys and dates; names like those used inside; repeated late values."""
+    rows = [(f"{i:03d}", i, f"v{(i * 7) % 5}" if i > 3 else None, "z") for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, rid int, v string, ci string").withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("rid"))).repartition(5)
+    got = {r.name: r.sample for r in P.table_profile(df, RowOrder.of(order_by=keys, row_id=[c for c in ("k", "rid", "d") if c in keys])).collect()}
+    assert got["v"] == ["v3", "v0", "v2"] and got["ci"] == ["z"]
+
+
 def test_deep_profile_of_a_coerced_column(spark):
     row = P.column_profile(frame(spark, [f"${v}" for v in (1, 2, 3, 4, 100)] * 4 + [None]), "c", ORDER).first()
     assert row.numeric and row.coerced and row.stats.median == 3.0 and row.outliers["count"] == 4

@@ -6,8 +6,8 @@ That is one shuffle with map-side combining, so a hot value costs nothing
 extra; every later measure reads the tally, not the table. Each branch reads
 all fields of the tally, which lets Spark reuse its exchange.
 
-The table profile shuffles 128-bit fingerprints in place of values, so long
-texts stay where they are; only the texts shown as samples are fetched.
+The table profile shuffles 128-bit fingerprints in place of long texts, which
+are measured where they are; only those shown as samples are fetched.
 """
 
 from __future__ import annotations
@@ -96,77 +96,98 @@ def case_collisions(tally: DataFrame, order: RowOrder) -> DataFrame:
 
 # State of a value, as bits.
 NULL, FILLED, PADDED, NUMBER, WHOLE = 1, 2, 4, 8, 16
+# Bytes up to which a text stands for itself in the tally of a table.
+SHORT = 64
 
 
-def _print(c: Column, name: str) -> list[Column]:
-    """128-bit fingerprint of a text as two columns; null for null."""
-    return [F.when(c.isNotNull(), F.xxhash64(F.lit(seed), c)).alias(f"{name}{seed}") for seed in (17, 71)]
+def _short(c: Column) -> Column:
+    return (F.octet_length(c) <= SHORT) & ~c.startswith("\0")
+
+
+def _key(c: Column) -> Column:
+    """A short text itself, a longer one's 128-bit fingerprint behind a zero character."""
+    hashed = F.concat(F.lit("\0"), *[x for seed in (17, 71) for x in (F.hex(F.xxhash64(F.lit(seed), c)), F.lit("."))])
+    return F.when(_short(c), c).when(c.isNotNull(), hashed)
 
 
 def _cells(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
-    """(…, ci, v): one row per cell, as displayed."""
+    """(…, ci, v): one row per cell, as displayed; ci is never null, so no join adds a filter for it to one branch only."""
     flat = [x for i, c in enumerate(columns) for x in (F.lit(i), display(ref(c), dtype_of(df, c)))]
-    return df.select(*more, F.stack(F.lit(len(columns)), *flat).alias("ci", "v"))
+    cells = df.select(*more, F.stack(F.lit(len(columns)), *flat).alias("ci", "v"))
+    return cells.withColumn("ci", F.coalesce("ci", F.lit(0)))
 
 
-def fingerprint_tally(df: DataFrame, columns: Sequence[str], order: RowOrder) -> DataFrame:
-    """One row per column and distinct value: fingerprints of the value, its trimmed and its folded text, state, words,
-    rows and first position. No value itself is shuffled."""
-    texts = [i for i, c in enumerate(columns) if is_text(dtype_of(df, c))]
-    v, t = F.col("v"), F.col("t")
-    cells = _cells(df, columns, _position(order).alias("first")).withColumn("t", F.when(_filled() & F.col("ci").isin(texts), strip(v)))
+def _state(v: Column, t: Column) -> Column:
+    """Bits of a value; ``t`` is its trimmed text, null outside text columns."""
     number = numeric_like(t)
-    text_state = F.when(v != t, PADDED).otherwise(0) + F.when(number & t.rlike(WHOLE_TEXT), NUMBER + WHOLE).when(number, NUMBER).otherwise(0)
-    state = F.when(v.isNull(), NULL).when(v == "", 0).otherwise(F.lit(FILLED) + F.when(t.isNotNull(), text_state).otherwise(0))
-    prints = [*_print(t, "t"), *_print(F.lower(t), "low")]
-    rows = cells.select("ci", "first", state.alias("state"), *_print(v, "v"), F.size(F.split(t, r"\s+")).alias("words"), *prints)
-    kept = [c for c in rows.columns if c[:1] in "tlw"]
-    tally = rows.groupBy("ci", "state", "v17", "v71").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"), *[F.min(c).alias(c) for c in kept])
+    of_text = F.when(v != t, PADDED).otherwise(0) + F.when(number, F.when(t.rlike(WHOLE_TEXT), NUMBER + WHOLE).otherwise(NUMBER)).otherwise(0)
+    return F.when(v.isNull(), NULL).when(v == "", 0).otherwise(F.lit(FILLED) + F.when(t.isNotNull(), of_text).otherwise(0))
+
+
+def bounded_tally(df: DataFrame, columns: Sequence[str], order: RowOrder) -> DataFrame:
+    """(ci, k, cnt, first, state, words, t, low): one row per column and distinct value.
+
+    ``k``, ``t`` and ``low`` are keys of the value, its trimmed and its folded text. Long texts are measured where they are
+    and only their keys are shuffled, so a row of the shuffle is small however long the texts; short ones are measured once
+    per distinct value.
+    """
+    texts = [i for i, c in enumerate(columns) if is_text(dtype_of(df, c))]
+    is_textual, v, t = F.col("ci").isin(texts) if texts else F.lit(False), F.col("v"), F.col("t")
+    cells = _cells(df, columns, _position(order).alias("first")).withColumn("t", F.when(~_short(v) & is_textual, strip(v)))
+    rows = cells.select(
+        "ci", "first", _key(v).alias("k"), F.when(~_short(v), _state(v, t)).alias("far_state"), F.size(F.split(t, r"\s+")).alias("far_words"),
+        _key(t).alias("far_t"), _key(F.lower(t)).alias("far_low"))
+    tally = rows.groupBy("ci", "k", "far_state", "far_words", "far_t", "far_low").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
     # Always true; it makes every branch read all fields, so that the branches share one exchange.
-    return tally.where(F.pmod(F.xxhash64("cnt", "first", *kept), F.lit(2)) < 2)
+    tally = tally.where(F.pmod(F.xxhash64("cnt", "first"), F.lit(2)) < 2)
+    k = F.col("k")
+    near = tally.withColumn("t", F.when(F.col("far_state").isNull() & _filled("k") & is_textual, strip(k)))
+    return near.select(
+        "ci", "k", "cnt", "first", F.coalesce("far_state", _state(k, t)).alias("state"), F.coalesce("far_words", F.size(F.split(t, r"\s+"))).alias("words"),
+        F.coalesce("far_t", _key(t)).alias("t"), F.coalesce("far_low", _key(F.lower(t))).alias("low"))
 
 
-def _fingerprint_measures(tally: DataFrame, order: RowOrder) -> DataFrame:
-    """One row per column: the sums of the tally, case collisions, and where its first values are."""
+def _bounded_measures(tally: DataFrame, order: RowOrder) -> DataFrame:
+    """One row per column: the sums of the tally, case collisions, and its first values. Filters are written on cnt, so
+    they stay above the shared tally."""
     cnt, state = F.col("cnt"), F.col("state")
 
     def rows_with(bit: int) -> Column:
         return F.coalesce(F.sum(F.when(state.bitwiseAND(bit) > 0, cnt)), F.lit(0))
 
     sums = tally.groupBy("ci").agg(
-        F.sum(cnt).alias("rows"), rows_with(NULL).alias("nulls"), rows_with(FILLED).alias("filled"), F.count(F.when(state.bitwiseAND(FILLED) > 0, 1)).alias("unique"),
+        F.sum(cnt).alias("rows"), rows_with(NULL).alias("nulls"), rows_with(FILLED).alias("filled"), F.count(F.when(state.bitwiseAND(FILLED) > 0, cnt)).alias("unique"),
         rows_with(PADDED).alias("whitespace"), rows_with(NUMBER).alias("numeric_text"), rows_with(WHOLE).alias("whole_text"), F.sum(cnt * F.col("words")).alias("words"))
-    spelled = tally.where(F.col("t17").isNotNull()).groupBy("ci", "t17", "t71").agg(
-        F.sum(cnt).alias("cnt"), F.min("first").alias("first"), F.min("low17").alias("low17"), F.min("low71").alias("low71"))
-    folded = spelled.groupBy("ci", "low17", "low71").agg((F.sum("cnt") - F.min_by("cnt", "first")).alias("clash"))
-    early = Window.partitionBy("ci").orderBy("first", "v17", "v71")
-    firsts = tally.where(state.bitwiseAND(FILLED) > 0).withColumn("n", F.row_number().over(early)).where(F.col("n") <= SAMPLES)
+    spelled = tally.where(F.when(F.col("t").isNotNull(), cnt).otherwise(0) > 0).groupBy("ci", "t", "low").agg(F.sum(cnt).alias("cnt"), F.min("first").alias("first"))
+    folded = spelled.groupBy("ci", "low").agg((F.sum("cnt") - F.min_by("cnt", "first")).alias("clash"))
+    early = Window.partitionBy("ci").orderBy("first", "k")
+    filled = tally.where(F.when(state.bitwiseAND(FILLED) > 0, cnt).otherwise(0) > 0)
+    firsts = filled.withColumn("n", F.row_number().over(early)).where(F.col("n") <= SAMPLES)
     lead = F.col("first") if len(order.order_by) == 1 else F.col("first").getField(order.order_by[0])
-    where = firsts.groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("n", lead.alias("lead"), "v17", "v71"))).alias("firsts"))
+    where = firsts.groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("n", lead.alias("lead"), "k"))).alias("firsts"))
     return sums.join(folded.groupBy("ci").agg(F.sum("clash").alias("case_collisions")), "ci", "left").join(where, "ci", "left")
 
 
 def _samples(df: DataFrame, columns: Sequence[str], order: RowOrder, found: Sequence) -> dict[int, list[str]]:
-    """The texts of the first values of each column, a few per column."""
-    asked = [(r.ci, x.n, x.v17, x.v71) for r in found for x in r.firsts or ()]
-    if not asked:
-        return {}
+    """The texts of the first values of each column, a few per column; only long ones are fetched."""
+    out = {r.ci: [x.k for x in r.firsts or ()] for r in found}
+    far = [(r.ci, n, x.k, x.lead) for r in found for n, x in enumerate(r.firsts or ()) if x.k.startswith("\0")]
+    if not far:
+        return out
     lead = order.order_by[0]
     if is_integral(dtype_of(df, lead)) or is_text(dtype_of(df, lead)):
         # Reaches the scan as a range, which is narrow: first values stand at the beginning.
-        df = df.where(ref(lead).isin(sorted({x.lead for r in found for x in r.firsts or ()})))
-    wanted = df.sparkSession.createDataFrame(asked, "ci int, n int, v17 bigint, v71 bigint")
-    cells = _cells(df, columns).where(_filled()).select("ci", "v", *_print(F.col("v"), "v"))
-    texts = cells.join(F.broadcast(wanted), ["ci", "v17", "v71"]).groupBy("ci", "n").agg(F.first("v").alias("v")).collect()
-    out: dict[int, list[str]] = {}
-    for r in sorted(texts, key=lambda r: r.n):
-        out.setdefault(r.ci, []).append(r.v)
+        df = df.where(ref(lead).isin(sorted({x[3] for x in far})))
+    wanted = df.sparkSession.createDataFrame([x[:3] for x in far], "ci int, n int, k string")
+    cells = _cells(df, columns).where(~_short(F.col("v"))).select("ci", "v", _key(F.col("v")).alias("k"))
+    for r in cells.join(F.broadcast(wanted), ["ci", "k"]).groupBy("ci", "n").agg(F.first("v").alias("v")).collect():
+        out[r.ci][r.n] = r.v
     return out
 
 
-def _fingerprint_parts(df: DataFrame, columns: Sequence[str], order: RowOrder) -> DataFrame:
+def _bounded_parts(df: DataFrame, columns: Sequence[str], order: RowOrder) -> DataFrame:
     """The measures of the whole profile, one row per column, already computed: a job for them and one for the samples."""
-    found = _fingerprint_measures(fingerprint_tally(df, columns, order), order).collect()
+    found = _bounded_measures(bounded_tally(df, columns, order), order).collect()
     samples = _samples(df, columns, order, found)
     names = ["ci", "rows", "nulls", "filled", "unique", "whitespace", "numeric_text", "whole_text", "words", "case_collisions"]
     rows = [(*[r[n] for n in names], samples.get(r.ci, [])) for r in found]
@@ -177,8 +198,8 @@ def table_profile(df: DataFrame, order: RowOrder | None = None, sample_rows: int
     """One row per column: type, nulls, distinct values, samples, text defects.
 
     ``sample_rows=2000`` reproduces a profile whose text measures look only at
-    the first rows; the default looks at all of them. With a row order the
-    values are compared by fingerprints; without one the smallest spelling
+    the first rows; the default looks at all of them. With a row order long
+    texts are compared by fingerprints; without one the smallest spelling
     counts as the first, so the texts themselves are compared.
     """
     order = order or RowOrder()
@@ -188,7 +209,7 @@ def table_profile(df: DataFrame, order: RowOrder | None = None, sample_rows: int
     head = spark.createDataFrame(heads, "ci int, name string, dtype string, is_text boolean")
     seen = df if sample_rows is None else first_rows(df, order, sample_rows)
     if order.order_by:
-        parts = _fingerprint_parts(seen, columns, order)
+        parts = _bounded_parts(seen, columns, order)
     else:
         tally = value_tally(seen, columns, order)
         parts = _measures(tally).join(first_values(tally), "ci", "left").join(case_collisions(tally, order), "ci", "left")

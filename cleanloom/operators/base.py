@@ -95,7 +95,7 @@ def with_values(df: DataFrame, new: dict[str, Any]) -> DataFrame:
 
 
 def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
-    """All wanted statistics: one aggregation, one quantile pass, one tally per mode."""
+    """All wanted statistics: one aggregation, one quantile pass, one tally for all modes."""
     wanted = list(dict.fromkeys(needs))
     out: dict[Need, Any] = {}
     # Missing features are skipped: infinities and NaN are not numbers here.
@@ -122,14 +122,22 @@ def collect_stats(df: DataFrame, needs: Iterable[Need]) -> dict[Need, Any]:
     for probs, columns in near.items():
         found = approx_quantiles(df, {c: values[c] for c in columns}, probs)
         out.update({Need(c, "approx", probs): found[c] or [None] * len(probs) for c in columns})
-    for n in wanted:
-        if n.kind == "mode":
-            out[n] = most_frequent(df, n.column)
+    modes = [n.column for n in wanted if n.kind == "mode"]
+    found = most_frequent(df, modes) if modes else {}
+    out.update({Need(c, "mode"): found.get(c) for c in modes})
     return out
 
 
-def most_frequent(df: DataFrame, column: str) -> Any:
-    """Most frequent non-null value; the smallest one wins a tie."""
-    tally = df.select(ref(column).alias("v")).filter("v is not null").groupBy("v").count()
-    top = tally.orderBy(F.col("count").desc(), F.col("v").asc()).first()
-    return top.v if top else None
+def most_frequent(df: DataFrame, columns: Iterable[str]) -> dict[str, Any]:
+    """Most frequent non-null value of each column, from one tally; the smallest one wins a tie."""
+    columns = list(columns)
+    types = list(dict.fromkeys(dtype_of(df, c) for c in columns))
+    # A value stands in the field of its type, so one tally serves columns of several types and keeps their order.
+    cells = [
+        F.struct(F.lit(i).alias("at"), *[(ref(c) if dtype_of(df, c) == t else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(types)])
+        for i, c in enumerate(columns)
+    ]
+    fields = [f"v{j}" for j in range(len(types))]
+    tally = df.select(F.inline(F.array(*cells))).where(F.coalesce(*[F.when(F.col(f).isNotNull(), True) for f in fields])).groupBy("at", *fields).count()
+    best = tally.groupBy("at").agg(F.min(F.struct(-F.col("count"), *fields)).alias("top")).collect()
+    return {columns[r["at"]]: r.top[f"v{types.index(dtype_of(df, columns[r['at']]))}"] for r in best}

@@ -1,7 +1,7 @@
 """Recipes: ordered, replayable lists of operations, and the command envelope.
 
-Applying a recipe builds one lazy plan. Neighbouring column-local operations on
-different columns share their statistics pass; fitted numbers become literals.
+Applying a recipe builds one lazy plan. Operations on different columns share
+their statistics passes; fitted numbers become literals.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cleanloom.functions.text import ref
 from cleanloom.operators import columns, forest, impute, knn, outliers, rows, scaling
-from cleanloom.operators.base import Op, Operator, RowOrder, collect_stats
-from cleanloom.session import shared_dir
+from cleanloom.operators.base import Need, Op, Operator, RowOrder, collect_stats
+from cleanloom.session import shared_dir, stored
 
 OPERATORS: dict[str, Operator] = {
     **columns.OPERATORS, **rows.OPERATORS, **impute.OPERATORS, **outliers.OPERATORS,
@@ -65,39 +66,128 @@ class FittedRecipe:
         return df
 
 
-def _run(ops: Sequence[Op], start: int) -> int:
-    """End of the stretch that can share one statistics pass."""
-    end, touched = start + 1, {ops[start].get("column")}
-    if not operator(ops[start]).column_local:
-        return end
-    while end < len(ops) and operator(ops[end]).column_local and ops[end].get("column") not in touched:
-        if ops[end].get("strategy") == "forward":
-            break
-        touched.add(ops[end].get("column"))
+def _own_column(op: Op) -> str | None:
+    """The one column a step reads and changes, if it keeps all rows: such steps on different columns commute."""
+    spec = operator(op)
+    local = spec.column_local or op["type"] == "trim"
+    return op.get("column") if local and op.get("strategy") != "forward" else None
+
+
+def _stretch(ops: Sequence[Op], start: int) -> int:
+    """End of the stretch of steps that commute across columns; a filter by statistics of one column may close it."""
+    end = start
+    while end < len(ops) and _own_column(ops[end]):
         end += 1
-    return end
+    if end < len(ops):
+        spec = operator(ops[end])
+        end += bool(spec.needs and not spec.column_local and ops[end].get("column"))
+    return max(end, start + 1)
+
+
+def _whole_rows(op: Op) -> bool:
+    """Steps that look at several rows or at columns they do not name."""
+    return not operator(op).row_local or op.get("strategy") == "forward"
+
+
+def _beyond_columns(op: Op) -> bool:
+    """Steps that a copy of some columns cannot follow."""
+    return _whole_rows(op) or op["type"] == "rename_column" or not (op.get("column") or op["type"] == "trim")
+
+
+def _read_later(ops: Sequence[Op], start: int) -> list[str]:
+    """Columns to copy for the statistics of the steps from ``start`` on: those they measure or filter by."""
+    measured, filtered = [], []
+    for op in ops[start:]:
+        if _beyond_columns(op):
+            break
+        if operator(op).needs and (op["type"] != "fill_null" or op.get("strategy") in ("mean", "median", "mode")):
+            measured.append(op["column"])
+        elif op["type"] == "drop_nulls":
+            filtered.append(op["column"])
+    return measured + filtered if measured else []
+
+
+class _Frames:
+    """The cleaned frame, and a narrow stored copy of what the next statistics read.
+
+    After a step that moves whole rows the columns of the following statistics are written once, so no pass repeats the
+    shuffle. Steps then change both frames alike; the copy ends with the first step that looks beyond its columns.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.narrow = df, None
+
+    @property
+    def measured(self) -> DataFrame:
+        return self.df if self.narrow is None else self.narrow
+
+    def transform(self, op: Op, params: dict, order: RowOrder, later: Sequence[str]) -> None:
+        spec, column = operator(op), op.get("column")
+        self.df = spec.transform(self.df, op, params, order)
+        if _whole_rows(op):
+            keep = [c for c in self.df.columns if c in later]
+            self.narrow = stored(self.df.select(*map(ref, keep)), "recipe-statistics") if keep else None
+        elif self.narrow is not None:
+            if _beyond_columns(op):
+                self.narrow = None
+            elif column is None or column in self.narrow.columns:
+                self.narrow = spec.transform(self.narrow, op, params, order)
 
 
 def fit_recipe(df: DataFrame, ops: Iterable[Op], order_by=None, row_id=None, checkpoint_every: int = 0) -> tuple[FittedRecipe, DataFrame]:
-    """Fit and apply in one go. ``checkpoint_every`` cuts the plan after that many fitted stretches."""
-    ops, order, steps, at, fitted = list(ops), RowOrder.of(order_by, row_id), [], 0, 0
+    """Fit and apply in one go. ``checkpoint_every`` cuts the plan after that many rounds of statistics.
+
+    Steps that change one column each wait only for earlier steps on their column. So a stretch of them takes as many
+    rounds of statistics as its busiest column has fitted steps, however many columns there are.
+    """
+    ops, order, at, rounds = list(ops), RowOrder.of(order_by, row_id), 0, 0
+    learned: list[dict] = [{} for _ in ops]
+    frames = _Frames(df)
+
+    def wants(i: int) -> list[Need]:
+        spec = operator(ops[i])
+        return spec.needs(frames.df, ops[i]) if spec.needs else []
+
+    def apply(i: int) -> None:
+        nonlocal order
+        frames.transform(ops[i], learned[i], order, _read_later(ops, i + 1))
+        if ops[i]["type"] == "rename_column":
+            order = order.renamed(ops[i]["column"], ops[i]["to"].strip())
+
     while at < len(ops):
-        end = _run(ops, at)
-        stretch = ops[at:end]
-        needs = [n for op in stretch if operator(op).needs for n in operator(op).needs(df, op)]
-        stats = collect_stats(df, needs) if needs else {}
-        learned = [operator(op).fit(df, op, stats, order) if operator(op).fit else {} for op in stretch]
-        for op, params in zip(stretch, learned):
-            df = operator(op).transform(df, op, params, order)
-            if op["type"] == "rename_column":
-                order = order.renamed(op["column"], op["to"].strip())
-            steps.append((op, params))
-        fitted += bool(needs)
-        if checkpoint_every and needs and fitted % checkpoint_every == 0:
-            shared_dir(df.sparkSession)
-            df = df.checkpoint()
+        end = _stretch(ops, at)
+        queues: dict[str | None, list[int]] = {}
+        for i in range(at, end):
+            queues.setdefault(ops[i].get("column"), []).append(i)
+        # A closing filter is fitted in its column's turn and applied after all others.
+        closing = end - 1 if end - at > 1 and not _own_column(ops[end - 1]) else None
+        while queues:
+            for queue in queues.values():
+                while queue and not wants(queue[0]):
+                    learned[queue[0]] = _fitted(frames.df, ops[queue[0]], {}, order)
+                    apply(queue.pop(0))
+            queues = {c: queue for c, queue in queues.items() if queue}
+            fronts = [queue.pop(0) for queue in queues.values()]
+            if not fronts:
+                break
+            stats = collect_stats(frames.measured, [n for i in fronts for n in wants(i)])
+            for i in fronts:
+                learned[i] = _fitted(frames.df, ops[i], stats, order)
+                if i != closing:
+                    apply(i)
+            rounds += 1
+            if checkpoint_every and rounds % checkpoint_every == 0:
+                shared_dir(df.sparkSession)
+                frames.df = frames.df.checkpoint()
+        if closing is not None:
+            apply(closing)
         at = end
-    return FittedRecipe(steps), df
+    return FittedRecipe(list(zip(ops, learned))), frames.df
+
+
+def _fitted(df: DataFrame, op: Op, stats: dict, order: RowOrder) -> dict:
+    fit = operator(op).fit
+    return fit(df, op, stats, order) if fit else {}
 
 
 def apply_op(df: DataFrame, op: Op, order_by=None, row_id=None) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanloom import apply_op, apply_recipe
+from cleanloom.operators.base import most_frequent
 from cleanloom.plans.recipe import Recipe
 from conftest import values
 
@@ -136,3 +137,67 @@ def test_filter_is_pushed_to_the_scan(spark, tmp_path):
     out = apply_recipe(spark.read.parquet(path), [{"type": "drop_nulls", "column": "a"}, {"type": "drop_column", "column": "c"}])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(a)" in plan and "c:bigint" not in plan
+
+
+LONG = [
+    {"type": "trim"},
+    {"type": "drop_duplicates"},
+    {"type": "cast", "column": "x", "to": "Float64"},
+    {"type": "fill_null", "column": "x", "strategy": "median"},
+    {"type": "fill_null", "column": "z", "strategy": "mode"},
+    {"type": "fill_null", "column": "y", "strategy": "mode"},
+    {"type": "trim", "column": "z"},
+    {"type": "scale", "column": "x", "scaler": "minmax"},
+    {"type": "cap_outliers", "column": "y", "multiplier": 0.5},
+    {"type": "drop_outliers", "column": "y", "multiplier": 0.3},
+    {"type": "drop_nulls", "column": "w"},
+    {"type": "fill_null", "column": "x", "strategy": "mean"},
+    {"type": "fill_null", "column": "v", "strategy": "mean"},
+]
+
+
+def messy_rows():
+    return [(i, None if i % 5 == 0 else f" {i % 7} ", None if i % 6 == 0 else i * i % 31, [None, "b ", "a", "b "][i % 4],
+             None if i % 9 == 0 else i, None if i % 4 == 1 else i / 2) for i in [*range(60), *range(20)]]
+
+
+MESSY = "i int, x string, y int, z string, w int, v double"
+
+
+@pytest.mark.parametrize("ops", [
+    LONG,
+    [{"type": "rename_column", "column": "y", "to": "u"}, {"type": "fill_null", "column": "u", "strategy": "mean"},
+     {"type": "drop_duplicates"}, {"type": "rename_column", "column": "u", "to": "y"}, {"type": "cap_outliers", "column": "y", "multiplier": 0.2}],
+    [{"type": "drop_duplicates"}, {"type": "drop_nulls"}, {"type": "fill_null", "column": "y", "strategy": "mean"}],
+    [{"type": "drop_duplicates"}, {"type": "drop_nulls", "column": "w"}, {"type": "scale", "column": "v"}, {"type": "drop_column", "column": "v"},
+     {"type": "drop_outliers", "column": "y"}, {"type": "fill_null", "column": "y", "strategy": "mean"}],
+    [{"type": "drop_duplicates"}, {"type": "fill_null", "column": "w", "strategy": "forward"}, {"type": "fill_null", "column": "w", "strategy": "mean"},
+     {"type": "drop_row", "index": 3}, {"type": "fill_null", "column": "v", "strategy": "median"}, {"type": "scale", "column": "w"}],
+    [{"type": "fill_null", "column": "z", "strategy": "constant", "value": "q"}, {"type": "fill_null", "column": "w", "strategy": "forward", "partition_by": "z"},
+     {"type": "normalize_case", "column": "z", "mode": "upper"}, {"type": "fill_null", "column": "z", "strategy": "mode"}],
+])
+def test_planned_recipe_equals_one_step_at_a_time(frame, ops):
+    df = frame(messy_rows(), MESSY, 3)
+    single = df
+    for op in ops:
+        single = apply_op(single, op, order_by="i")
+    got = apply_recipe(df, ops, order_by="i")
+    assert got.columns == single.columns and sorted(map(str, got.collect())) == sorted(map(str, single.collect()))
+
+
+def test_long_recipe_takes_few_executions(frame, spark):
+    df = frame(messy_rows(), MESSY, 3)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = apply_recipe(df, LONG, order_by="i")
+    # The copy after the duplicates; two rounds of at most aggregate, one pass of quantiles per grid and one tally; the last round of means.
+    assert store.executionsCount() - before <= 12
+    assert "recipe-statistics" not in out._jdf.queryExecution().toString()
+
+
+def test_modes_of_several_types_come_from_one_tally(frame, spark):
+    df = frame([(1, "b", 2.0, None), (1, "a", None, None), (2, "b", 1.0, None), (3, "a", 0.5, None)], "i int, s string, d double, n string", 2)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert most_frequent(df, ["i", "s", "d", "n"]) == {"i": 1, "s": "a", "d": 0.5}
+    assert store.executionsCount() - before == 1

@@ -62,11 +62,33 @@ def preview(spark, sf_dir):
     return csv.preview(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query("stream_ingest", f"SELECT count(*) AS rows, {STREAM_FILES} AS chunks, 6 AS cols, least(100, count(*))::INTEGER AS preview_rows, "
-       "'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS header FROM orders")
+# Four files of parts, three ways to write their header: order, blanks, a byte order mark, no name, missing columns.
+HEADERS = [["p_partkey", "p_name", "p_size"], ["\ufeffp_size ", " p_partkey", "p_brand"], ["p_brand", " ", "  p_partkey  "]]
+PICKED = [["p_partkey", "p_name", "p_size"], ["p_size", "p_partkey", "p_brand"], ["p_brand", "p_retailprice", "p_partkey"]]
+
+
+@query("csv_headers", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS p_name, CASE WHEN p_partkey % 3 < 2 THEN p_size::BIGINT END AS p_size, "
+       "CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 3 = 2 THEN p_retailprice END AS column_2 FROM part")
+def csv_headers(spark, sf_dir):
+    part, folder = table(spark, sf_dir, "part"), scratch_path(spark, "csv")
+    for i, (header, picked) in enumerate(zip(HEADERS, PICKED)):
+        csv.write_csv(part.where(F.col("p_partkey") % 3 == i).select(*picked).toDF(*header).repartition(2), f"{folder}/{i}")
+    return csv.read_csv(spark, f"{folder}/*", by_header=True)
+
+
+INGESTED = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS DECIMAL(18, 2))",
+            "o_orderdate": "CAST(o_orderdate AS DATE)", "o_orderpriority": "o_orderpriority"}
+# A row has a comma or a line feed behind each cell, and each file a header.
+HEADER = ",".join(INGESTED)
+BYTES = " + ".join(f"coalesce(strlen(CAST({x} AS VARCHAR)), 0)" for x in INGESTED.values())
+
+
+@query("stream_ingest", f"SELECT count(*) AS rows, {STREAM_FILES} AS chunks, (sum({BYTES} + {len(INGESTED)}) + {STREAM_FILES * (len(HEADER) + 1)})::BIGINT AS bytes, 6 AS cols, "
+       f"least(100, count(*))::INTEGER AS preview_rows, '{HEADER}' AS header FROM orders")
 def stream_ingest(spark, sf_dir):
-    path = _csv_copy(spark, table(spark, sf_dir, "orders"), STREAM_FILES)
-    return ingest_csv_stream(spark, path).as_frame(spark).drop("bytes")
+    cells = [F.expr(f"CAST({x} AS STRING)").alias(c) for c, x in INGESTED.items()]
+    path = _csv_copy(spark, table(spark, sf_dir, "orders").select(*cells), STREAM_FILES)
+    return ingest_csv_stream(spark, path).as_frame(spark)
 
 
 REPLAY = [

@@ -96,6 +96,49 @@ def _cells_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.drop("file", "record").toDF(*names), cells
 
 
+def unique_names(names: Sequence[str]) -> list[str]:
+    """A name that stands twice in a header gets a number behind it from its second place on: ``a``, ``a_2``."""
+    out: list[str] = []
+    for name in names:
+        n, free = 1, name
+        while free in out or (n > 1 and free in names):
+            n += 1
+            free = f"{name}_{n}"
+        out.append(free)
+    return out
+
+
+def text_by_header(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None) -> DataFrame:
+    """All cells as text, each file read by its own header, null tokens as null.
+
+    Headers may differ from file to file in order, in blanks around names, in a byte order mark, and in the columns they
+    have; a column absent from a file is null there. Names come in the order of the first file by path, then those that
+    only later files have. One pass finds the header of every file; the driver sees distinct headers only. Files with
+    nothing but blank lines count as absent.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    heads = lines.where(~F.col("value").rlike(r"^\s*$")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    kinds = heads.groupBy("head").agg(F.min("file").alias("file")).orderBy("file").collect()
+    headers = {r["head"]: unique_names(clean_names(next(python_csv.reader([r["head"].lstrip("\ufeff").rstrip("\r")])))) for r in kinds}
+    names = list(dict.fromkeys(n for header in headers.values() for n in header))
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    # Place of each name in the cells of a file, counted from 1; 0 where the file lacks it.
+    places = [(head, [header.index(n) + 1 if n in header else 0 for n in names]) for head, header in headers.items()]
+    of_file = heads.join(spark.createDataFrame(places, "head string, places array<int>"), "head").select("file", "places")
+    if heads.count() <= BROADCAST_ROWS:
+        of_file = F.broadcast(of_file)
+    width = max(map(len, headers.values()))
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    scan = spark.read.options(**READ_OPTIONS).schema(cells).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    rows = with_file_row_number(scan, "number") if row_id else scan
+    found = rows.select("file", *(["number"] if row_id else []), F.array(*cells.names).alias("cells")).join(of_file, "file")
+    place = [F.col("places")[i] for i in range(len(names))]
+    texts = [null_tokens(F.when(p > 0, F.element_at("cells", F.when(p > 0, p)))).alias(n) for p, n in zip(place, names)]
+    return found.select(*([F.col("number").alias(row_id)] if row_id else []), *texts)
+
+
 def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(INGEST_NULLS), c)
 
@@ -135,8 +178,18 @@ def typed(text: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, infer_rows: int | None = None,
-             row_id: str | None = None) -> DataFrame:
-    """Scan, infer and cast; ``row_id`` adds the 0-based row number in file order."""
+             row_id: str | None = None, by_header: bool = False) -> DataFrame:
+    """Scan, infer and cast; ``row_id`` adds the 0-based row number in file order.
+
+    ``by_header`` reads every file by its own header instead of by that of the first.
+    """
+    if by_header:
+        if multi_line:
+            raise ValueError("Files with line breaks inside cells are read by the header of the first one.")
+        text = text_by_header(spark, path, row_id)
+        data = text.drop(row_id) if row_id else text
+        types = {r.name: r.dtype for r in infer_types(data, infer_rows).collect()} if data.columns else {}
+        return typed(text, {**types, **({row_id: "String"} if row_id else {})})
     if multi_line:
         text, cells = _cells_of(multi_line_records(spark, path))
     else:

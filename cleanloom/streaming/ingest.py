@@ -10,14 +10,15 @@ from cleanloom.plans.recipe import FittedRecipe
 from cleanloom.session import scratch_path
 from cleanloom.sources.csv import PREVIEW_ROWS, READ_OPTIONS, clean_names
 
-COUNTS = "batch bigint, rows bigint, bytes bigint"
+COUNTS = "batch bigint, rows bigint, bytes bigint, chunks bigint"
 
 
 @dataclass
 class IngestCounters:
     """Totals over all micro-batches ever written to ``folder``.
 
-    Each batch has its own files, replaced when the batch is tried again, so a retry or a restart counts nothing twice.
+    A batch writes the totals up to itself, from those of the batch before: it reads one row, however many batches came
+    earlier. Its files are replaced when it is tried again, so a retry or a restart counts nothing twice.
     """
 
     spark: SparkSession
@@ -32,18 +33,22 @@ class IngestCounters:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{part}")
 
     def save(self, batch_id: int, batch: DataFrame) -> None:
-        """Count one micro-batch, and keep its first rows while the preview is not full."""
-        per_file = batch.groupBy("__f").agg(F.count(F.lit(1)).alias("n"), F.first("__z").alias("z"))
-        total = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("z"), F.lit(0)).alias("bytes"))
-        total.select(F.lit(batch_id).cast("bigint").alias("batch"), "rows", "bytes").write.mode("overwrite").parquet(f"{self.folder}/counts/{batch_id}")
-        earlier = self._read("counts", COUNTS).where(F.col("batch") < batch_id).agg(F.sum("rows")).first()[0] or 0
-        first = batch.drop("__f", "__z").limit(max(0, PREVIEW_ROWS - earlier))
-        if earlier < PREVIEW_ROWS:
-            first.write.mode("overwrite").parquet(f"{self.folder}/preview/{batch_id}")
+        """Count one micro-batch with its columns ``cells``, ``file``, ``size``, ``at``, and keep its first rows while the preview is not full."""
+        per_file = batch.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("z"))
+        now = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("z"), F.lit(0)).alias("bytes")).first()
+        past = self._read(f"counts/{batch_id - 1}", COUNTS).first() if batch_id else Row(rows=0, bytes=0, chunks=0)
+        total = [(batch_id, past.rows + now.rows, past.bytes + now.bytes, past.chunks + 1)]
+        self.spark.createDataFrame(total, COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/{batch_id}")
+        if past.rows < PREVIEW_ROWS:
+            first = batch.orderBy("file", "at", F.monotonically_increasing_id()).limit(PREVIEW_ROWS - past.rows)
+            numbered = first.select("file", "at", "cells").coalesce(1).select(F.monotonically_increasing_id().alias("n"), "cells")
+            numbered.select(F.lit(past.rows).alias("past"), "n", "cells").write.mode("overwrite").parquet(f"{self.folder}/preview/{batch_id}")
 
     def totals(self) -> Row:
-        counts = self._read("counts", COUNTS)
-        return counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("batch").alias("chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        """Those of the newest batch; zeros before the first."""
+        last = F.max_by(F.struct("rows", "bytes", "chunks"), "batch")
+        counts = self._read("counts", COUNTS).agg(last.alias("t"))
+        return counts.select(*[F.coalesce(f"t.{c}", F.lit(0)).alias(c) for c in ("rows", "bytes", "chunks")]).first()
 
     @property
     def rows(self) -> int:
@@ -59,8 +64,13 @@ class IngestCounters:
 
     @property
     def preview(self) -> list[tuple]:
-        """First rows that arrived, at most PREVIEW_ROWS."""
-        return [tuple(r) for r in self._read("preview", self.schema).limit(PREVIEW_ROWS).collect()]
+        """First rows that arrived, at most PREVIEW_ROWS: batches in turn, each by file and place in it."""
+        kept = self._read("preview", self.preview_schema)
+        return [tuple(r.cells) for r in kept.orderBy("past", "n").limit(PREVIEW_ROWS).collect()]
+
+    @property
+    def preview_schema(self) -> T.StructType:
+        return T.StructType([T.StructField("past", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cells", self.schema)])
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
         t = self.totals()
@@ -77,11 +87,12 @@ def ingest_csv_stream(spark: SparkSession, folder: str, files_per_batch: int = 1
     checkpoint = (checkpoint or scratch_path(spark, "ingest")).rstrip("/")
     counters = IngestCounters(spark, clean_names(names), f"{checkpoint}-counters")
     # Nothing may have arrived yet: an empty table makes the folders readable.
-    for part, schema in (("counts", COUNTS), ("preview", counters.schema)):
+    for part, schema in (("counts", COUNTS), ("preview", counters.preview_schema)):
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{counters.folder}/{part}/none")
     stream = (
         spark.readStream.options(**READ_OPTIONS).option("maxFilesPerTrigger", files_per_batch).schema(counters.schema).csv(folder)
-        .select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_size").alias("__z"))
+        .select(F.struct("*").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+                F.col("_metadata.file_block_start").alias("at"))
     )
     query = (
         stream.writeStream.foreachBatch(lambda batch, batch_id: counters.save(batch_id, batch)).trigger(availableNow=True)

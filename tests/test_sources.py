@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.plans.recipe import Recipe
 from cleanloom.sources import csv
-from cleanloom.streaming.ingest import ingest_csv_stream, replay_stream
+from cleanloom.streaming.ingest import IngestCounters, ingest_csv_stream, replay_stream
 from conftest import values
 
 
@@ -132,3 +132,52 @@ def test_fitted_recipe_on_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     replay_stream(stream, fitted, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert values(spark.read.parquet(str(tmp_path / "out")), "x", "id") == values(fitted.transform(df), "x", "id")
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    texts = {"a.csv": "id, name ,x\n1,ann,2\n2,NA,3\n", "b.csv": "\ufeffx,id,x\n4,3,5\n", "c.csv": "\n\nname,,id,more\r\n\"b,c\",q,4\r\n",
+             "d.csv": "", "e.csv": "id\n", "f.csv": "id,name,x\n5\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    df = csv.read_csv(spark, str(tmp_path), row_id="n", by_header=True)
+    assert df.columns == ["n", "id", "name", "x", "x_2", "column_2", "more"]
+    assert sorted(map(tuple, df.collect())) == [
+        (0, 1, "ann", 2, None, None, None), (1, 2, None, 3, None, None, None), (2, 3, None, 4, 5, None, None),
+        (3, 4, "b,c", None, None, "q", None), (4, 5, None, None, None, None, None)]
+    assert csv.read_csv(spark, str(tmp_path), by_header=True).count() == 5
+    with pytest.raises(ValueError, match="first one"):
+        csv.read_csv(spark, str(tmp_path), by_header=True, multi_line=True)
+
+
+def test_no_header_at_all(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n \n")
+    assert csv.read_csv(spark, str(tmp_path), row_id="n", by_header=True).columns == []
+
+
+def test_files_of_many_splits_keep_their_header(spark, tmp_path):
+    for k, header in enumerate(["a,b", "b,a"]):
+        (tmp_path / f"{k}.csv").write_text(header + "\n" + "".join(f"{i},{-i}\n" for i in range(1, 4000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        df = csv.read_csv(spark, str(tmp_path), row_id="n", by_header=True)
+        assert df.where("n = 3999").collect() == [(3999, -1, 1)] and df.where("a = -b and a != 0").count() == 7998
+        assert df.agg({"a": "sum"}).first()[0] == 0 and df.select("n").distinct().count() == 7998
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_tried_again_batch_counts_once(spark, tmp_path):
+    c = IngestCounters(spark, ["v"], str(tmp_path))
+
+    def batch(names, n):
+        rows = [((f"{name}{i}",), name, 10, 0) for name in names for i in range(n)]
+        return spark.createDataFrame(rows, "cells struct<v: string>, file string, size bigint, at bigint").repartition(3)
+
+    c.save(0, batch("ba", 40))
+    c.save(1, batch("c", 30))
+    c.save(1, batch("c", 30))
+    c.save(2, batch("d", 5))
+    assert (c.rows, c.bytes, c.chunks) == (115, 40, 3)
+    shown = [v for v, in c.preview]
+    assert len(shown) == 100 and [v[0] for v in shown] == ["a"] * 40 + ["b"] * 40 + ["c"] * 20

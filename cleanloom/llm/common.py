@@ -76,9 +76,13 @@ def in_fold(column: str, modulus: int, rest: int) -> Column:
     return F.crc32(F.coalesce(ref(column).cast("string"), F.lit(""))) % modulus == rest
 
 
-def spread_sample(df: DataFrame, id_col: str, rows: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows by a hash of the id, the same ones at every partitioning; never over twice as many."""
-    if total <= rows:
-        return df
-    share = int(rows / total * 1_000_000) + 1
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), ref(id_col)), F.lit(1_000_000)) < share).limit(2 * rows)
+def spread_sample(df: DataFrame, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows by a hash of the whole row, the same ones in the same order at every partitioning.
+
+    All rows if there are no more than ``rows``. Rows of one id are drawn each for itself, so a hot or null id is neither
+    all in nor all out; equal rows share their fate, and never more than twice ``rows`` are drawn, the first ones by hash.
+    """
+    draw = F.xxhash64(F.lit("sample"), *[ref(c) for c in df.columns])
+    share = int(rows / total * 1_000_000) + 1 if total > rows else 1_000_000
+    drawn = df.where(F.pmod(draw, F.lit(1_000_000)) < share)
+    return drawn.orderBy(draw, *[F.xxhash64(F.lit("order"), ref(c)) for c in df.columns]).limit(2 * rows)

@@ -119,7 +119,7 @@ GAIN = 30.0
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS, epochs: int = 5) -> Model:
-    """Fit on rows with a language: document frequencies over all of them, weights on about ``train_rows`` by hash of the id.
+    """Fit on rows with a language: document frequencies over all of them, weights on about ``train_rows`` by hash of the row.
 
     A fifth of the sample is held back to calibrate the temperature. The driver gets bucket counts, the sorted names
     of the languages and the sparse rows of the sample.
@@ -142,7 +142,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: in
             return {"at": at, "x": x}
         return step
 
-    sample = spread_sample(labelled, "id", train_rows, total)
+    sample = spread_sample(labelled, train_rows, total)
     got = map_rows(sample, ["text"], "at array<int>, x array<float>", make, keep=True).select("lang", "at", "x").toPandas()
     label = {name: i for i, name in enumerate(names)}
     order = np.random.default_rng(7).permutation(len(got))

@@ -278,7 +278,7 @@ def fit_field(df: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN
             return out
         return step
 
-    sample = spread_sample(df.select(ref(id_col).alias("id"), ref(text_col).alias("text")), "id", train_rows, df.count())
+    sample = spread_sample(df.select(ref(id_col).alias("id"), ref(text_col).alias("text")), train_rows, df.count())
     got = map_rows(sample, ["text"], ", ".join(f"{c} array<int>" for c in ("active", "sizes", "y", "l", "r", "key")), make).toPandas()
     join = {c: np.concatenate([np.asarray(x, np.int64) for x in got[c]] or [np.zeros(0, np.int64)]) for c in got.columns}
     rows = np.repeat(np.arange(len(join["sizes"])), join["sizes"])

@@ -1,14 +1,17 @@
 """Operators on texts: edge rows, brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 from cleanloom.llm import bpe, decontaminate, html_text, jaccard, language, masked_lm, pii, toxicity
+from cleanloom.llm.common import spread_sample
 
 @pytest.fixture
 def docs(spark):
@@ -273,6 +276,86 @@ def test_language_learns_and_edges(spark, docs):
     assert {r[1] for r in language.identify(docs(EDGES), train.limit(0)).collect()} == {"und"}
 
 
+def plain_buckets(text):
+    """Bucket of every n-gram by whole numbers."""
+    codes, out = [ord(c) for c in text.lower()], []
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for k, m in enumerate((0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[:n]):
+                h ^= codes[i + k] * m % 2**32
+            out.append((h ^ h >> 15) * (0x2C1B3C6D + 2 * n) % 2**32 >> 32 - language.BITS)
+    return out
+
+
+def test_buckets_equal_plain_hashes(monkeypatch):
+    rng = random.Random(4)
+    for slice_size in (1 << 20, 5):
+        monkeypatch.setattr(language, "SLICE", slice_size)
+        for size in (0, 1, 2, 3, 11, 40):
+            text = "".join(rng.choice("abÉ ß日\U0001f600") for _ in range(size))
+            assert sorted(b for part in language.buckets(text) for b in part.tolist()) == sorted(plain_buckets(text))
+
+
+def plain_ftrl(rows, labels, classes, epochs, train, alpha=1.0, beta=1.0, l1=2e-3, l2=1e-3):
+    """Weights by key and class, one number at a time."""
+    z, n = {}, {}
+
+    def weight(key, c):
+        v = z.get((key, c), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get((key, c), 0.0))) / alpha + l2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(train):
+            scores = [sum(x * weight(key, c) for key, x in rows[i].items()) for c in range(classes)]
+            top = [math.exp(s - max(scores)) for s in scores]
+            for key, x in rows[i].items():
+                for c in range(classes):
+                    g = x * (top[c] / sum(top) - (c == labels[i]))
+                    w, old = weight(key, c), n.get((key, c), 0.0)
+                    n[key, c] = old + g * g
+                    z[key, c] = z.get((key, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w
+    return weight
+
+
+def test_language_model_equals_plain_training(spark, docs):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(abc) for _ in range(rng.randint(0, 14))), lang)
+            for i, (abc, lang) in enumerate(rng.choice([("abc ", "l1"), ("bcd é", "l2"), ("xyz", "l3")]) for _ in range(30))]
+    df = spark.createDataFrame([*rows, (99, None, "l1"), (98, "abc", None)], "doc_id long, text string, lang string")
+    model = language.fit(df, "doc_id", "text", "lang", epochs=2)
+    labelled = df.where("lang is not null")
+    sample = [(plain_buckets(r.text or ""), r.lang) for r in spread_sample(labelled, 100, 31).collect()]
+    assert len(sample) == 31 and model.names == ["l1", "l2", "l3"]
+    idf = {b: math.log(32 / (1 + sum(b in found for found, _ in sample))) + 0.1 for found, _ in sample for b in found}
+    features = [{**{b: float(np.float32(found.count(b) / len(found))) * idf[b] * language.GAIN for b in set(found)}, "all": 1.0} for found, _ in sample]
+    order = np.random.default_rng(7).permutation(31)
+    weight = plain_ftrl(features, [model.names.index(lang) for _, lang in sample], 3, 2, np.setdiff1d(order, order[::5]))
+    for b in idf:
+        assert np.allclose(model.table[b], [weight(b, c) * idf[b] * language.GAIN for c in range(3)], rtol=1e-4, atol=1e-5)
+    assert np.allclose(model.offset, [weight("all", c) for c in range(3)], atol=1e-7)
+    fresh = [(1, "abcab"), (2, "dé dd"), (3, "zzxy"), (4, "Qa")]
+    got = {r.doc_id: r for r in language.identify(docs(fresh), df.where("doc_id <> -1")).collect()}
+    full = language.fit(df, "doc_id", "text", "lang")
+    for i, text in fresh:
+        found = plain_buckets(text)
+        score = [(sum(float(full.table[b][c]) for b in found) / len(found) + full.offset[c]) / full.temperature for c in range(3)]
+        top = [math.exp(s - max(score)) for s in score]
+        assert got[i].lang_pred == full.names[top.index(max(top))] and abs(got[i].score - max(top) / sum(top)) < 1e-5
+
+
+def test_sample_and_model_do_not_depend_on_partitions(spark):
+    rows = [(None if i % 3 else i, f"t{i % 200}", "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = [[tuple(r) for r in spread_sample(df.repartition(n), 100, 600).collect()] for n in (1, 7)]
+    assert drawn[0] == drawn[1] and 50 < len(drawn[0]) <= 200 and {None} < {r[0] for r in drawn[0]}
+    hot = spark.createDataFrame([(None, "same", "a")] * 500 + rows[:100], df.schema)
+    for seed in (1, 7):
+        assert len(spread_sample(hot.repartition(seed), 600, 600).collect()) == 600 and len(spread_sample(hot.repartition(seed), 20, 600).collect()) <= 40
+    models = [language.fit(df.repartition(n), "doc_id", "text", "lang", train_rows=100) for n in (1, 7)]
+    assert (models[0].table == models[1].table).all() and models[0].temperature == models[1].temperature
+
+
 # --- BPE -----------------------------------------------------------------------------------------------------------------
 
 def test_ids_equal_tiktoken_and_round_trip(docs):

@@ -45,3 +45,33 @@ def test_order_statistics_of_any_list(spark, xs):
     finally:
         Q.LAST_BRACKET_ROWS = old
     assert [got[r] for r in ranks] == [float(sorted(xs)[r]) for r in ranks]
+
+
+def test_reads_of_the_table_do_not_grow_with_ranks_and_columns(spark, monkeypatch):
+    """Every rank once had a pass of its own over all rows; now a sketch and one proving pass serve them all."""
+    monkeypatch.setattr(Q, "ONE_PASS_ROWS", 10)
+    monkeypatch.setattr(Q, "LAST_BRACKET_ROWS", 2000)
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 50)
+    xs = np.random.default_rng(5).normal(size=3000)
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = frame(spark, xs).localCheckpoint().mapInArrow(passed, "x double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = Q.exact_quantiles(df, {"x": F.col("x"), "y": -F.col("x")}, probs, {"x": 3000, "y": 3000})
+    assert np.allclose(got["x"], np.quantile(xs, probs), rtol=1e-12, atol=0)
+    assert np.allclose(got["y"], np.quantile(-xs, probs), rtol=1e-12, atol=0)
+    assert read.value == 2 * 3000
+
+
+@pytest.mark.parametrize("split", [1500, 1499, 1, 2999])
+def test_two_hot_values_on_both_sides_of_a_quantile(spark, monkeypatch, split):
+    monkeypatch.setattr(Q, "ONE_PASS_ROWS", 10)
+    monkeypatch.setattr(Q, "LAST_BRACKET_ROWS", 20)
+    xs = [1.0] * split + [4.0] * (3000 - split)
+    got = Q.exact_quantiles(frame(spark, xs), {"a.b c": F.col("x")}, [0.25, 0.5, 0.75])["a.b c"]
+    assert got == list(np.quantile(xs, [0.25, 0.5, 0.75]))

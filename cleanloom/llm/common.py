@@ -41,7 +41,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict[str, list]]], keep: bool = False) -> DataFrame:
     """Map Arrow batches: ``make`` runs once a task and gives a function of one Python list per named column that
-    returns one list per field of ``schema``.
+    returns one list, or Arrow array, per field of ``schema``.
 
     Without ``keep`` only the named columns leave the JVM. With it every column stays and the new ones are appended;
     their names must be free. Batches are worked on in slices of SLICE_ROWS, so only a slice is ever held as Python
@@ -59,7 +59,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 out = step(*[batch.column(i).to_pylist() for i in places])
-                new = [pa.array(out[f.name], type=f.type) for f in fields]
+                new = [out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in fields]
                 if keep:
                     yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
                 else:

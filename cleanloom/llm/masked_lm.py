@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +19,17 @@ WORDS, SHAPES = 223, 32
 CLASSES = 1 + WORDS + SHAPES
 # Hidden units and training steps; one step sees every context of the corpus.
 HIDDEN, STEPS, RATE = 24, 120, 0.05
-# Tokens classified at a time, words a task counts before it passes its counts on, and contexts in one product of the network.
-SLICE, COUNTED, CONTEXTS = 1_000_000, 200_000, 4_096
+# Tokens worked on at a time in numpy, words a task counts before it passes its counts on, and contexts in one product of the network.
+SLICE, COUNTED, CONTEXTS = 200_000, 200_000, 4_096
+# Uncommon words a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 48
 # Words whose counts every task holds (all others are joined; no result depends on it), and the count taken from each word for unseen ones.
 HELD, DISCOUNT = 50_000, 0.5
 
 
+DIGIT = re.compile("[0-9]")
+
+
 def tokens(text: str | None) -> list[str]:
     """Lower-cased pieces between white space."""
     return (text or "").lower().split()
@@ -32,7 +38,7 @@ def tokens(text: str | None) -> list[str]:
 def shape(token: str) -> int:
     """One of SHAPES classes of an uncommon token: length in eight steps, ending in three kinds, digits apart."""
     size = min(7, (len(token) - 1) // 2)
-    if any(c in "0123456789" for c in token):
+    if DIGIT.search(token):
         return 24 + size
     last = token[-1]
     return size * 3 + (0 if last.isalpha() else 1 if last in ".!?" else 2)
@@ -44,15 +50,14 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     Tasks pre-aggregate their tokens in tables of bounded size before the shuffle.
     """
     def run(batches):
-        tally: dict[str, int] = {}
+        tally: Counter[str] = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in tokens(text):
-                    tally[w] = tally.get(w, 0) + 1
+                tally.update(tokens(text))
                 if len(tally) > COUNTED:
                     yield out()
                     tally.clear()
@@ -73,8 +78,8 @@ def commonest(counts: DataFrame, words: int) -> list:
 def word_table(counts: DataFrame, words: list[str]) -> DataFrame:
     """``word, n, class`` of every counted token."""
     def make():
-        classer = Classer(words)
-        return lambda found, n: {"word": found, "n": n, "class": [classer.known.get(w) or 1 + WORDS + shape(w) for w in found]}
+        known = {w: i + 1 for i, w in enumerate(words)}
+        return lambda found, n: {"word": found, "n": n, "class": [known.get(w) or 1 + WORDS + shape(w) for w in found]}
 
     return map_rows(counts, ["word", "n"], "word string, n long, class int", make)
 
@@ -105,26 +110,58 @@ class Spelling:
         return sum(self.log.get(c, self.other) for c in token) + self.log.get("", self.other)
 
 
+class Slots:
+    """Numbers of tokens: common ones have their place in a list, all others one number a shape behind it; remembers
+    uncommon tokens up to a bound."""
+
+    def __init__(self, common: list[str]):
+        self.common = {w: i for i, w in enumerate(common)}
+        self.first = len(common)
+        self.kept = dict(self.common)
+
+    def __call__(self, found: list[str]) -> list[int]:
+        slots = list(map(self.kept.get, found))
+        if None in slots:
+            if len(self.kept) - self.first > REMEMBERED:
+                self.kept = dict(self.common)
+            for i, slot in enumerate(slots):
+                if slot is None:
+                    slots[i] = self.first + shape(found[i])
+                    if len(found[i]) <= LONGEST:
+                        self.kept[found[i]] = slots[i]
+        return slots
+
+
 class Classer:
-    """Maps tokens to classes; remembers uncommon tokens up to a bound."""
+    """Maps the tokens of a text to classes, with the border on both sides."""
 
     def __init__(self, words: list[str]):
-        self.known = {w: i + 1 for i, w in enumerate(words)}
-        self.kept = dict(self.known)
+        self.slots = Slots(words)
+        # A full list of words makes shapes follow them; a shorter one leaves a gap.
+        self.of = np.concatenate([1 + np.arange(len(words)), 1 + WORDS + np.arange(SHAPES)])
 
     def __call__(self, text: str | None) -> np.ndarray:
+        return np.concatenate([[0], self.of[np.array(self.slots(tokens(text)), np.int64)], [0]])
+
+
+def joined(texts, slots: Slots, border: int):
+    """Runs of texts with about SLICE tokens: ``(token lists, flat slots)``; a border stands before, between and behind the texts."""
+    held, flat = [], [border]
+    for text in texts:
         found = tokens(text)
-        get = self.kept.get
-        ids = [get(t, -1) for t in found]
-        if -1 in ids:
-            if len(self.kept) > 400_000:
-                self.kept = dict(self.known)
-            for i, c in enumerate(ids):
-                if c < 0:
-                    ids[i] = 1 + WORDS + shape(found[i])
-                    if len(found[i]) <= 48:
-                        self.kept[found[i]] = ids[i]
-        return np.array([0, *ids, 0], np.int64)
+        held.append(found)
+        flat += slots(found)
+        flat.append(border)
+        if len(flat) > SLICE:
+            yield held, np.array(flat, np.int32)
+            held, flat = [], [border]
+    if held:
+        yield held, np.array(flat, np.int32)
+
+
+def cells_of(classes: np.ndarray) -> np.ndarray:
+    """The cell of left, right and middle class around each place but the ends."""
+    return (classes[:-2] * CLASSES + classes[2:]) * CLASSES + classes[1:-1]
 
 
 def context_counts(df: DataFrame, text_col: str, words: list[str]) -> np.ndarray:
@@ -133,15 +170,12 @@ def context_counts(df: DataFrame, text_col: str, words: list[str]) -> np.ndarray
     Each task emits its non-empty cells once; their sums are shuffled by cell, at most CLASSES ** 3 of them.
     """
     def run(batches):
-        classer, total = Classer(words), np.zeros(CLASSES ** 3, np.int64)
+        slots, total = Slots(words), np.zeros(CLASSES ** 3, np.int64)
+        of = np.append(Classer(words).of, 0).astype(np.int32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c = classer(text)
-                for at in range(1, len(c) - 1, SLICE):
-                    end = min(len(c) - 1, at + SLICE)
-                    cell = (c[at - 1:end - 1] * CLASSES + c[at + 1:end + 1]) * CLASSES + c[at:end]
-                    which, n = np.unique(cell, return_counts=True)
-                    total[which] += n
+            for _, flat in joined(batch.column(0).to_pylist(), slots, len(of) - 1):
+                c = of[flat]
+                np.add.at(total, cells_of(c)[c[1:-1] > 0], 1)
         cells = np.flatnonzero(total)
         for at in range(0, len(cells), 200_000):
             part = cells[at:at + 200_000]
@@ -243,26 +277,32 @@ def score_documents(df: DataFrame, train: DataFrame | None = None, id_col: str =
 
     def make():
         words, net, more, tokens_of, unseen, spelling = shared.value
-        classer, table = Classer(words), net.table()
-        log = {w: float(np.log((n - DISCOUNT) / tokens_of[1 + WORDS + shape(w)])) for w, n in more}
-        log.update((w, 0.0) for w in words)
-
-        def step(texts: list) -> dict[str, list]:
-            out: dict[str, list] = {"n": [], "total": [], "rest": []}
-            for text in texts:
-                c = classer(text)
-                total = float(table[(c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]].sum(dtype=np.float64))
-                rest: dict[str, int] = {}
-                for w in tokens(text):
-                    known = log.get(w)
-                    if known is None:
-                        rest[w] = rest.get(w, 0) + 1
-                    else:
-                        total += known
-                out["n"].append(len(c) - 2)
-                out["total"].append(total)
-                out["rest"].append([{"word": w, "times": n, "new": spelling(w) + unseen[1 + WORDS + shape(w)] if spelling else 0.0} for w, n in rest.items()])
-            return out
+        table, slots = net.table(), Slots([*words, *[w for w, _ in more]])
+        # Class and log-probability within it by slot: common words, words held here, shapes, the border.
+        far = 1 + WORDS + np.arange(SHAPES)
+        held_in = np.array([1 + WORDS + shape(w) for w, _ in more], np.int64)
+        of = np.concatenate([1 + np.arange(len(words)), held_in, far, [0]]).astype(np.int32)
+        log = np.zeros(len(of))
+        log[len(words):slots.first] = np.log((np.array([n for _, n in more], np.float64) - DISCOUNT) / tokens_of[held_in])
+
+        def step(texts: list) -> dict[str, list | pa.Array]:
+            n, totals, ends, rest, times = [], [], [0], [], []
+            for held, flat in joined(texts, slots, len(of) - 1):
+                c = of[flat]
+                # A text's part ends with the border behind it, which counts nothing, so no part is empty.
+                starts = np.cumsum([0] + [len(found) + 1 for found in held[:-1]])
+                price = np.where(c[1:-1] > 0, table[cells_of(c)], 0.0)
+                totals.append(np.add.reduceat(np.append(price, 0.0) + log[flat[1:]], starts))
+                uncommon = (flat[1:] >= slots.first) & (c[1:] > 0)
+                for at, found in zip(starts.tolist(), held):
+                    n.append(len(found))
+                    tally = Counter([found[i] for i in np.flatnonzero(uncommon[at:at + len(found)]).tolist()])
+                    rest += tally
+                    times += tally.values()
+                    ends.append(len(rest))
+            new = [spelling(w) + unseen[1 + WORDS + shape(w)] for w in rest] if spelling else np.zeros(len(rest))
+            parts = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(times, pa.int32()), pa.array(new, pa.float64())], names=["word", "times", "new"])
+            return {"n": n, "total": np.concatenate([np.zeros(0), *totals]), "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)}
         return step
 
     # Stored, so that the numbers of the rows stay the same.

@@ -149,6 +149,20 @@ def test_context_counts_equal_plain_counts(docs):
     assert np.allclose(np.exp(masked_lm.Network.fit(counts).table()).reshape(-1, masked_lm.CLASSES).sum(1), 1, atol=1e-3)
 
 
+def test_runs_of_texts_are_split_once_and_keep_their_borders(monkeypatch):
+    import numpy as np
+    split, calls = masked_lm.tokens, []
+    monkeypatch.setattr(masked_lm, "tokens", lambda text: calls.append(text) or split(text))
+    monkeypatch.setattr(masked_lm, "SLICE", 7)
+    texts, words = ["a b a c9", None, "", "x", "b " * 20 + "yy", "a"], ["a", "b"]
+    of = np.append(masked_lm.Classer(words).of, 0)
+    runs = list(masked_lm.joined(texts, masked_lm.Slots(words), len(of) - 1))
+    assert calls == texts and len(runs) == 3 and [t for held, _ in runs for t in held] == [split(t) for t in texts]
+    got = [masked_lm.cells_of(of[flat])[of[flat][1:-1] > 0] for _, flat in runs]
+    want = [masked_lm.cells_of(masked_lm.Classer(words)(t)) for t in texts]
+    assert np.concatenate(got).tolist() == np.concatenate(want).tolist()
+
+
 def test_every_word_reaches_the_score(spark, docs):
     rng = random.Random(4)
     seen = ["".join(rng.choice("aeioust") for _ in range(rng.randint(4, 9))) for _ in range(900)]

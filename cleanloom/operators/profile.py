@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from cleanloom.functions.text import (
     display, dtype_name, exact_text, half_up, is_integral, is_numeric, is_text, numeric_like, percent, strip, to_numeric,
@@ -52,6 +52,8 @@ def value_tally(df: DataFrame, columns: Sequence[str], order: RowOrder, exact: b
     form = exact_text if exact else display
     cells = [x for i, c in enumerate(columns) for x in (F.lit(i), form(ref(c), dtype_of(df, c)))]
     long = df.select(_position(order).alias("first"), F.stack(F.lit(len(columns)), *cells).alias("ci", "v"))
+    # Never null, so no join adds a filter for it to one branch only.
+    long = long.withColumn("ci", F.coalesce("ci", F.lit(0)))
     return long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"), F.min("first").alias("first"))
 
 
@@ -307,40 +309,57 @@ def numeric_decision(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return rows.select("name", "parsed", "nonblank", "ratio", numeric.alias("numeric"), (numeric & ~F.col("typed")).alias("coerced"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """min, quartiles, max, mean, deviation and range of the numeric view, four decimals."""
+SUMMARY = ("min", "q1", "median", "q3", "max", "mean", "std", "iqr")
+
+
+def _summaries(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Unrounded statistics of the numeric view of each column that has numbers, and how many."""
     views = {f"v{i}": to_numeric(ref(c), dtype_of(df, c)) for i, c in enumerate(columns)}
     aggs = [f(v).alias(f"{n}_{t}") for n, v in views.items()
             for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))]
     row = df.agg(*aggs).first()
     sizes = {n: row[f"{n}_n"] for n in views}
     quarters = exact_quantiles(df, views, QUARTERS, sizes)
-    out = []
+    out = {}
     for c, n in zip(columns, views):
         if sizes[n]:
             q1, q2, q3 = quarters[n]
-            out.append((c, sizes[n], row[f"{n}_lo"], q1, q2, q3, row[f"{n}_hi"], row[f"{n}_m"], row[f"{n}_s"] or 0.0, q3 - q1))
-    names = ["min", "q1", "median", "q3", "max", "mean", "std", "iqr"]
-    raw = df.sparkSession.createDataFrame(out, "name string, values bigint, " + ", ".join(f"`{n}` double" for n in names))
-    return raw.select("name", "values", *[half_up(F.col(n), STAT_DIGITS).alias(n) for n in names])
+            found = (row[f"{n}_lo"], q1, q2, q3, row[f"{n}_hi"], row[f"{n}_m"], row[f"{n}_s"] or 0.0, q3 - q1)
+            out[c] = {"values": sizes[n], **dict(zip(SUMMARY, found))}
+    return out
+
+
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """min, quartiles, max, mean, deviation and range of the numeric view, four decimals."""
+    return _rounded(df.sparkSession, _summaries(df, columns))
+
+
+def _rounded(spark: SparkSession, found: dict[str, dict[str, float]]) -> DataFrame:
+    raw = spark.createDataFrame(
+        [(c, r["values"], *[r[n] for n in SUMMARY]) for c, r in found.items()], "name string, values bigint, " + ", ".join(f"`{n}` double" for n in SUMMARY))
+    return raw.select("name", "values", *[half_up(F.col(n), STAT_DIGITS).alias(n) for n in SUMMARY])
 
 
-def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """Equal-width bins of the numeric view, empty ones included; no rows for a constant column."""
+def histogram(df: DataFrame, column: str, bins: int = BINS, ends: tuple[float, float] | None = None) -> DataFrame:
+    """Equal-width bins of the numeric view, empty ones included; no rows for a constant column.
+
+    ``ends``, the smallest and the largest value, saves the pass that finds them.
+    """
     x = to_numeric(ref(column), dtype_of(df, column))
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = ends or df.agg(F.min(x), F.max(x)).first()
     spark = df.sparkSession
-    if ends.lo is None or not ends.hi > ends.lo:
+    if lo is None or not hi > lo:
         return spark.createDataFrame([], "bin int, count bigint, min double, max double")
-    step = (ends.hi - ends.lo) / bins
-    raw = F.floor((F.col("x") - F.lit(ends.lo)) / F.lit(step)).cast("int")
+    step = (hi - lo) / bins
+    # Counted by the unbounded bin first: a cell is read as a number once, and at most bins + 1 groups are left.
+    raw = df.select(F.floor((x - F.lit(lo)) / F.lit(step)).cast("int").alias("raw")).groupBy("raw").count()
     # least and greatest skip nulls, so missing values leave before.
-    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), raw))
-    found = df.select(x.alias("x")).filter("x is not null").groupBy(at.alias("bin")).count()
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.col("raw")))
+    found = raw.where(F.when(F.col("count") > 0, F.col("raw")).isNotNull()).groupBy(at.alias("bin")).agg(F.sum("count").alias("count"))
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(found, "bin", "left").select(
         "bin", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
-        half_up(F.lit(ends.lo), STAT_DIGITS).alias("min"), half_up(F.lit(ends.hi), STAT_DIGITS).alias("max"))
+        half_up(F.lit(lo), STAT_DIGITS).alias("min"), half_up(F.lit(hi), STAT_DIGITS).alias("max"))
 
 
 def top_values(df: DataFrame, column: str, order: RowOrder | None = None, n: int = TOP_VALUES) -> DataFrame:
@@ -370,11 +389,12 @@ def column_profile(df: DataFrame, column: str, order: RowOrder | None = None, mu
     )
     stats, outliers, bars, tops = F.lit(None), F.lit(None), F.lit(None), F.lit(None)
     if decision.numeric and decision.parsed:
-        summary = numeric_summary(df, [column]).first()
-        stats = F.struct(*[F.lit(summary[n]).alias(n) for n in ("min", "q1", "median", "q3", "max", "mean", "std", "iqr")])
-        o = outlier_row(df, column, m)
+        found = _summaries(df, [column])
+        exact, summary = found[column], _rounded(spark, found).first()
+        stats = F.struct(*[F.lit(summary[n]).alias(n) for n in SUMMARY])
+        o = outlier_row(df, column, m, [exact["q1"], exact["q3"]])
         outliers = F.struct(*[F.lit(o[n]).alias(n) for n in ("count", "pct", "lower_bound", "upper_bound", "multiplier")])
-        counts = [r["count"] for r in histogram(df, column).orderBy("bin").collect()]
+        counts = [r["count"] for r in histogram(df, column, ends=(exact["min"], exact["max"])).orderBy("bin").collect()]
         bars = F.array(*[F.lit(c).cast("bigint") for c in counts]) if counts else F.lit(None)
     else:
         rows = top_values(df, column, order).collect()
@@ -390,12 +410,13 @@ def column_profile(df: DataFrame, column: str, order: RowOrder | None = None, mu
     return full.withColumn("tips", tips()).drop("ratio")
 
 
-def outlier_row(df: DataFrame, column: str, multiplier: float) -> dict:
-    """Outlier count and bounds of the numeric view of any column."""
-    x = to_numeric(ref(column), dtype_of(df, column))
-    b = bounds_from(exact_quantiles(df, {"x": x}, (0.25, 0.75))["x"], multiplier)
+def outlier_row(df: DataFrame, column: str, multiplier: float, quartiles: list[float] | None = None) -> dict:
+    """Outlier count and bounds of the numeric view of any column; its quartiles are found unless given."""
+    data = df.select(to_numeric(ref(column), dtype_of(df, column)).alias("x"))
+    x = F.col("x")
+    b = bounds_from(quartiles or exact_quantiles(data, {"x": x}, (0.25, 0.75))["x"], multiplier)
     outside = F.count(F.when((x < b["lower"]) | (x > b["upper"]), 1))
-    row = df.agg(
+    row = data.agg(
         outside.alias("count"), percent(outside, F.count(x)).alias("pct"),
         half_up(F.lit(b["lower"]), STAT_DIGITS).alias("lower_bound"), half_up(F.lit(b["upper"]), STAT_DIGITS).alias("upper_bound"),
     ).first()

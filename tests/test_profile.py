@@ -188,3 +188,20 @@ def test_analyze_all(spark):
     row = A.analyze_all(df, ORDER, {"task": "clustering", "target": None}).first()
     assert (row.rows, row.cols, row.numeric_cols, row.text_cols) == (120, 3, 2, 1) and not row.complex
     assert any("Standard-scale" in p.title for p in row.proposals)
+
+
+def test_column_profile_reads_the_table_once_a_measure(spark):
+    """Quartiles, ends and the tally were found again for outliers, the histogram and each branch of the profile."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"${i % 90},000" if i % 10 else None) for i in range(400)] + [(400, "$9,000,000")]
+    df = spark.createDataFrame(rows, "rid long, x string").repartition(3).localCheckpoint().mapInArrow(passed, "rid long, x string")
+    got = P.column_profile(df, "x", RowOrder.of(row_id="rid")).first()
+    assert (got.nulls, got.unique, got.outliers["count"], sum(got.histogram), got.stats["max"]) == (40, 82, 1, 361, 9e6)
+    # Share of numbers, summary, quartiles, outliers, histogram, tally.
+    assert read.value == 6 * 401

@@ -15,7 +15,8 @@ Comparing every gap with every known row would be quadratic. Instead
 3. the boxes alone give each gap an upper limit for its k-th distance, hence
    every cell that can hold a neighbour; gaps of one cell share that search;
 4. cells are cut into packets of bounded size, gaps are sent to the packets of
-   their cells, and each meeting returns only its ``k`` best.
+   their cells, and each packet is read once beside all its gaps, a block of
+   gaps at a time; only the ``k`` best of each gap go on.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ GAPS_PER_PACKET = 1_024
 GAPS_PER_TASK = 65_536
 MAX_CELLS = 65_536
 BINNED_FEATURES, CELL_ROUNDS = 3, 3
+# Numbers in one array of a task, so its memory does not depend on the table.
+BLOCK = 262_144
 
 
 def clamp_k(value) -> int:
@@ -150,9 +153,9 @@ def _solve(base: DataFrame, names: list[str], scale: list[tuple[float, float]],
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .drop("copies")
     )
-    meetings = asks.join(packets, ["cell", "packet", "copy"])
-    found = meetings.select("q", *names, "rid", "y").mapInPandas(
-        lambda it: _meet(it, names, scale, k), ", ".join([*[f"{n} double" for n in names], "d double", "rid bigint", "y double"])
+    place = ["cell", "packet", "copy"]
+    found = asks.groupBy(*place).cogroup(packets.groupBy(*place)).applyInPandas(
+        lambda left, right: _meet(left, right, names, scale, k), ", ".join([*[f"{n} double" for n in names], "d double", "rid bigint", "y double"])
     )
     best = Window.partitionBy(*names).orderBy("d", "rid")
     nearest = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -263,7 +266,7 @@ def _ask(batches: Iterator[pd.DataFrame], cells: _Cells, k: int) -> Iterator[pd.
             short = everywhere[cells.reach(z.min(axis=0)[None], z.max(axis=0)[None], k, everywhere)[0]]
             if not len(short):
                 continue
-            step = max(1, 2_000_000 // (len(short) * len(m)))
+            step = max(1, BLOCK // (len(short) * len(m)))
             for at in range(0, len(raw), step):
                 hit = cells.reach(z[at:at + step], z[at:at + step], k, short)
                 out = []
@@ -276,33 +279,41 @@ def _ask(batches: Iterator[pd.DataFrame], cells: _Cells, k: int) -> Iterator[pd.
                     yield pd.DataFrame(out, columns=["cell", "packet", "q"])
 
 
-def _meet(batches: Iterator[pd.DataFrame], names: list[str], scale: list[tuple[float, float]], k: int) -> Iterator[pd.DataFrame]:
-    """Distances between the gaps of a message and the rows of a packet; the k best per gap remain."""
+def _meet(asks: pd.DataFrame, packets: pd.DataFrame, names: list[str], scale: list[tuple[float, float]], k: int) -> pd.DataFrame:
+    """The k best rows of one packet for each gap that asks it, in blocks of gaps."""
     m, s = np.array([a for a, _ in scale]), np.array([b for _, b in scale])
-    d = len(names)
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            raw = np.asarray(row.q, float).reshape(-1, d)
-            known = np.column_stack([np.asarray(getattr(row, n), float) for n in names])
-            rid, y = np.asarray(row.rid, np.int64), np.asarray(row.y, float)
-            q, c = (raw - m) / s, (known - m) / s
-            total, dims = np.zeros((len(q), len(c))), np.zeros((len(q), len(c)))
-            for i in range(d):
-                diff = q[:, i, None] - c[None, :, i]
-                ok = ~np.isnan(diff)
-                total += np.where(ok, diff, 0.0) ** 2
-                dims += ok
-            dist = np.where(dims > 0, np.round(np.sqrt(total / np.maximum(dims, 1)), DISTANCE_DIGITS), np.inf)
-            by_rid = np.argsort(rid, kind="stable")
-            order = by_rid[np.argsort(dist[:, by_rid], axis=1, kind="stable")[:, :k]]
-            best = np.take_along_axis(dist, order, 1)
-            keep = np.isfinite(best)
-            who = np.repeat(np.arange(len(q)), keep.sum(axis=1))
-            if not len(who):
-                continue
-            out = pd.DataFrame(raw[who], columns=names)
-            out["d"], out["rid"], out["y"] = best[keep], rid[order][keep], y[order][keep]
-            yield out
+    d, parts = len(names), []
+    if len(asks) and len(packets):
+        row = packets.iloc[0]
+        raw = np.concatenate([np.asarray(q, float) for q in asks["q"]]).reshape(-1, d)
+        known = (np.column_stack([np.asarray(row[n], float) for n in names]) - m) / s
+        rid, y = np.asarray(row["rid"], np.int64), np.asarray(row["y"], float)
+        step = max(1, BLOCK // len(rid))
+        for at in range(0, len(raw), step):
+            who, dist, what = _nearest((raw[at:at + step] - m) / s, known, rid, k)
+            parts.append((at + who, dist, what))
+    who, dist, what = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+    out = pd.DataFrame(raw[who] if parts else np.zeros((0, d)), columns=names)
+    out["d"], out["rid"], out["y"] = dist, rid[what] if parts else what, y[what] if parts else dist
+    return out
+
+
+def _nearest(q: np.ndarray, known: np.ndarray, rid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gap, distance and place of the k nearest known rows of each gap; ties go to the smaller ``rid``."""
+    total, dims = np.zeros((len(q), len(known))), np.zeros((len(q), len(known)))
+    for i in range(q.shape[1]):
+        diff = q[:, i, None] - known[None, :, i]
+        ok = ~np.isnan(diff)
+        total += np.where(ok, diff, 0.0) ** 2
+        dims += ok
+    dist = np.where(dims > 0, np.round(np.sqrt(total / np.maximum(dims, 1)), DISTANCE_DIGITS), np.inf)
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k] if len(known) > k else np.inf
+    # All rows as near as the k-th, of which the first by distance and rid stay.
+    who, what = np.nonzero((dist <= limit) & np.isfinite(dist))
+    order = np.lexsort((rid[what], dist[who, what], who))
+    who, what = who[order], what[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], dist[who[keep], what[keep]], what[keep]
 
 
 # Executors need no installed copy of this package.

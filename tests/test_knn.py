@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -127,3 +129,36 @@ def test_wide_tables_with_gaps(spark, monkeypatch):
                 if y[j] is not None and both.any():
                     known.append((round(float(np.sqrt(((z[i] - z[j])[both] ** 2).mean())), 9), j))
             assert got[i] == pytest.approx(np.mean([j * 1000 for _, j in sorted(known)[:3]]))
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_search_for_cells_is_bounded():
+    """Arrays of 2,000,000 numbers were made, a dozen at a time."""
+    rng = np.random.default_rng(2)
+    lo = rng.random((400, 2))
+    cells = knn._Cells(np.arange(400), np.full(400, 9), np.ones(400, int), lo, lo + 0.4, (np.zeros(2), np.ones(2)))
+    gaps = pd.DataFrame({"cell": 7, **{f"f{i}": rng.random(20_000) for i in range(2)}})
+    sent, peak = peak_mb(lambda: sum(len(q) for out in knn._ask([gaps], cells, 3) for q in out["q"]))
+    assert sent >= 2 * len(gaps) and peak < 60
+
+
+def test_packet_meets_all_its_gaps_in_bounded_memory():
+    """A copy of the packet once went with every message of gaps."""
+    rng = np.random.default_rng(3)
+    gaps, rows, rid = rng.integers(0, 30, (30_000, 2)).astype(float), rng.integers(0, 30, (2_000, 2)).astype(float), rng.permutation(2_000)
+    asks = pd.DataFrame({"q": [gaps[i:i + 1_000].ravel() for i in range(0, len(gaps), 1_000)]})
+    packet = pd.DataFrame([{"f0": rows[:, 0], "f1": rows[:, 1], "rid": rid, "y": rid * 2.0}])
+    got, peak = peak_mb(lambda: knn._meet(asks, packet, ["f0", "f1"], [(0.0, 1.0), (0.0, 1.0)], 4))
+    assert peak < 60 and len(got) == 4 * len(gaps) and (got["y"] == got["rid"] * 2).all()
+    for i in range(0, len(gaps), 997):
+        dist = np.round(np.sqrt(((rows - gaps[i]) ** 2).sum(axis=1) / 2), 9)
+        assert got["rid"][4 * i:4 * i + 4].tolist() == rid[np.lexsort((rid, dist))[:4]].tolist()
+    assert not len(knn._meet(asks[:0], packet, ["f0", "f1"], [(0.0, 1.0), (0.0, 1.0)], 4))
